@@ -67,7 +67,7 @@ _DEFINED = {
     "initial_list_status": "case when o_orderkey % 2 = 0 then 'w' else 'f' end",
     "pymnt_plan": "case when o_orderkey % 101 = 3 and h >= 92 - 8*g - 10*t60 then 'y' else 'n' end",
     "acc_now_delinq": "case when o_custkey % 50 = 0 then null"
-    " when o_custkey % 7 >= 5 then 1 else 0 end",
+    " when o_custkey % 7 >= 5 then cast(1 as double) else cast(0 as double) end",
     "debt_settlement_flag": "case when o_orderkey % 61 = 0 then 'Y' else 'N' end",
 }
 
