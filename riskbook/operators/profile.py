@@ -84,13 +84,19 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).distinct()
 
 
-def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, n_distinct), exact; missing counts as one value.
+def distinct_counts(
+    df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False
+) -> DataFrame:
+    """(column, n_distinct); missing counts as one value.
 
-    Values are made distinct as (column, value) pairs, first within each task,
-    so no task has to hold the values of a whole column.
+    Exactly, values are made distinct as (column, value) pairs, first within
+    each task, so no task has to hold the values of a whole column. The
+    approximation shuffles only sketches, for screening a wide table.
     """
     columns = list(columns or df.columns)
+    if approximate:
+        with_null = "approx_count_distinct({c}) + int(count(*) > count({c}))"
+        return column_aggregates(df, columns, {"n_distinct": with_null}, buffers=8)
     groups: dict[str, list[str]] = {}
     for f in df.schema.fields:
         if f.name in columns:

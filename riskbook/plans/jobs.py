@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -227,9 +229,12 @@ def train_models(
         marked = split.stratified_split(rows, key, y)
         return models.fit_ols(marked.filter("is_train"), y, predictors, levels), marked
 
-    pd, pd_rows = fit(prepared, target)
-    lgd, lgd_rows = fit(defaults, "recovery_rate")
-    ead, ead_rows = fit(defaults, "ccf")
+    # The three fits do not depend on each other, so their jobs run side by side.
+    wanted = [(prepared, target), (defaults, "recovery_rate"), (defaults, "ccf")]
+    with ThreadPoolExecutor(len(wanted)) as pool:
+        inherit = inheritable_thread_target(prepared.sparkSession)
+        fits = [pool.submit(inherit(fit), *w) for w in wanted]
+        (pd, pd_rows), (lgd, lgd_rows), (ead, ead_rows) = [f.result() for f in fits]
     return Trained(pd, lgd, ead, pd_rows, lgd_rows, ead_rows)
 
 

@@ -71,11 +71,13 @@ def _book(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.resolve(loan_view(spark, sf_dir))
 
 
-def _targeted(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _targeted(spark: SparkSession, sf_dir: str, staged: bool = False) -> DataFrame:
     """Resolved loans with the 0/1 target and the mean-imputed predictor dti."""
     book = _book(spark, sf_dir).select(
         "id", "loan_status", *PREDICTORS, "funded_amnt", "recoveries", "total_rec_prncp"
     )
+    if staged:
+        book = stage(book, "book")
     return clean.impute_mean(book, ["dti"]).withColumn(
         "loan_status", binary_target(F.col("loan_status"))
     )
@@ -83,7 +85,7 @@ def _targeted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _trained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, jobs.Trained]:
     # Several passes follow, so the join behind the view is run once.
-    book = stage(_targeted(spark, sf_dir), "book")
+    book = _targeted(spark, sf_dir, staged=True)
     return book, jobs.train_models(book)
 
 
