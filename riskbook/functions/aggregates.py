@@ -24,8 +24,10 @@ def null_count(column: Column) -> Column:
 def pearson(a: Column, b: Column, strict_nulls: bool = True) -> Column:
     """Correlation; strict voids it on any missing value, else incomplete pairs are skipped.
 
-    A column without variation has no correlation: NULL, not NaN.
+    A column without variation has no correlation: NULL. The built-in corr
+    divides by zero there, which is an error under ANSI rules.
     """
-    r = F.corr(a.cast("double"), b.cast("double"))
-    r = F.when(~F.isnan(r), r)
+    x = F.when(b.isNotNull(), a.cast("double"))
+    y = F.when(a.isNotNull(), b.cast("double"))
+    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
     return strict(r, a, b) if strict_nulls else r
