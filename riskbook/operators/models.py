@@ -177,7 +177,7 @@ def fit_stats(model: LinearModel, train: DataFrame) -> DataFrame:
         F.try_divide(sse, df_resid).alias("dispersion"),
         "null_deviance",
         "deviance",
-        (n * (F.log(F.lit(2 * math.pi) * sse / n) + 1) + 2 * (k + 2)).alias("aic"),
+        (n * (F.log(F.lit(2 * math.pi) * F.try_divide(sse, n)) + 1) + 2 * (k + 2)).alias("aic"),
     )
 
 

@@ -3,26 +3,31 @@
 The built-in exact percentile keeps every distinct value of a column in one
 buffer. Here a mergeable sketch proposes a bracket around each wanted rank, a
 count over the table tells on which side of the bracket's ends the rank lies,
-and this repeats inside the bracket until few enough values are left for the
-built-in. The counts are exact, so the result does not depend on the sketch.
+and this repeats inside the bracket until few enough values are left to rank.
+The counts are exact, so the result does not depend on the sketch. Only a table
+small enough as a whole goes to the built-in.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from fractions import Fraction
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from riskbook.functions.text import double_literal, quoted
-from riskbook.operators.batched import MAX_BUFFERS
+from riskbook.operators.batched import MAX_BUFFERS, column_aggregates
+from riskbook.schema import columns_of_type
 
-# Values of one target that may meet in one aggregation buffer, and the sum
-# over all targets of one aggregate.
+# Values of one bracket that are ranked together, by one task.
 MAX_VALUES = 200_000
-MAX_VALUES_PER_PASS = 2_000_000
+# Brackets ranked in one pass.
+MAX_BRACKETS = 40
+# Twelve columns share a pass of the built-in aggregates.
+BUILT_IN_BUFFERS = 8
 SKETCH_ERROR = 1e-4
 
 
@@ -117,37 +122,35 @@ def _count_brackets(
 
 
 def _finish(df: DataFrame, targets: list[_Target]) -> dict:
-    """Values of targets whose brackets hold few values, in passes of bounded size."""
+    """Values of targets whose brackets hold few values.
+
+    Equal values are counted first, then each bracket is ranked by a window of
+    its own; the brackets spread over the tasks.
+    """
     groups: dict[tuple, list[_Target]] = {}
     for t in targets:
         groups.setdefault((t.column, t.low, t.high), []).append(t)
-    passes: list[list[list[_Target]]] = [[]]
-    load = 0
-    for group in groups.values():
-        if passes[-1] and load + group[0].size > MAX_VALUES_PER_PASS:
-            passes.append([])
-            load = 0
-        passes[-1].append(group)
-        load += group[0].size
-
     found = {}
-    for part in passes:
-        if not part:
-            continue
+    brackets = list(groups.values())
+    for start in range(0, len(brackets), MAX_BRACKETS):
+        part = brackets[start : start + MAX_BRACKETS]
         inner = df.selectExpr(*[f"{g[0].inside()} as v{i}" for i, g in enumerate(part)])
-        inner = inner.filter(f"coalesce({', '.join(inner.columns)}) is not null")
-        # Halfway between two ranks, so that no rounding can reach the next one.
-        row = inner.selectExpr(
-            *[
-                "percentile_disc(array({})) within group (order by v{i}) as q{i}".format(
-                    ", ".join(double_literal((t.rank + 0.5) / t.size) for t in g), i=i
-                )
-                for i, g in enumerate(part)
-            ]
-        ).first()
-        for i, g in enumerate(part):
-            for t, value in zip(g, row[f"q{i}"]):
-                found[t.column, t.position] = value
+        values = inner.unpivot([], inner.columns, "bracket", "value").filter("value is not null")
+        upto = Window.partitionBy("bracket").orderBy("value")
+        running = values.groupBy("bracket", "value").count().withColumn(
+            "upto", F.sum("count").over(upto)
+        )
+        wanted = df.sparkSession.createDataFrame(
+            [(f"v{i}", t.rank, i, j) for i, g in enumerate(part) for j, t in enumerate(g)],
+            "bracket string, rank bigint, i int, j int",
+        )
+        # As many rows as quantiles were asked for.
+        hits = running.join(F.broadcast(wanted), "bracket").filter(
+            "upto - count <= rank and rank < upto"
+        )
+        for row in hits.select("i", "j", "value").collect():
+            t = part[row["i"]][row["j"]]
+            found[t.column, t.position] = row["value"]
     return found
 
 
@@ -171,43 +174,83 @@ def order_statistics(
     return {c: [found[c, i] for i in range(len(wanted))] for c, wanted in ranks.items()}
 
 
+def _numbers(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
+    """SQL for each column as double, NaN counting as missing."""
+    whole = set(columns_of_type(df, "integer"))
+    return {
+        c: f"double({quoted(c)})" if c in whole else f"nullif(double({quoted(c)}), double('NaN'))"
+        for c in columns
+    }
+
+
 def _as_doubles(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, dict[str, int]]:
-    names = [quoted(c) for c in columns]
-    values = df.selectExpr(*[f"nullif(double({c}), double('NaN')) as {c}" for c in names])
-    return values, values.selectExpr(*[f"count({c}) as {c}" for c in names]).first().asDict()
+    numbers = _numbers(df, columns)
+    values = df.selectExpr(*[f"{sql} as {quoted(c)}" for c, sql in numbers.items()])
+    counted = column_aggregates(values, columns, {"n": "count({c})"})
+    return values, {r["column"]: r["n"] for r in counted.collect()}
+
+
+def _built_in(df: DataFrame, columns: Sequence[str], sql: Callable[[str], str]) -> dict:
+    """Quantiles of a small table by the built-in aggregates, in one pass."""
+    rows = column_aggregates(df, columns, {"values": sql}, buffers=BUILT_IN_BUFFERS).collect()
+    return {r["column"]: r["values"] for r in rows}
+
+
+def _places(shares: Sequence[float]) -> str:
+    return f"array({', '.join(map(double_literal, shares))})"
 
 
 def discrete_quantiles(
-    df: DataFrame, columns: Sequence[str], shares: Sequence[str], **limits
+    df: DataFrame,
+    columns: Sequence[str],
+    shares: Sequence[str],
+    max_values: int = MAX_VALUES,
+    sketch_error: float = SKETCH_ERROR,
 ) -> dict[str, list[float]]:
     """Smallest value with at least that share of the column at or below it.
 
-    Shares are given as text ("0.1") so that ranks are exact. A column without
-    values gives an empty list.
+    Shares are given as text ("0.1", "1/3") so that ranks are exact. A column
+    without values gives an empty list.
     """
     values, sizes = _as_doubles(df, columns)
     ranks = {
         c: [max(0, math.ceil(Fraction(s) * n) - 1) for s in shares] if n else []
         for c, n in sizes.items()
     }
-    return order_statistics(values, sizes, ranks, **limits)
+    if max(sizes.values()) > max_values:
+        return order_statistics(values, sizes, ranks, max_values, sketch_error)
+
+    def sql(c: str) -> str:
+        # Halfway between two ranks, so that no rounding can reach the next one.
+        places = _places([(r + 0.5) / sizes[c] for r in ranks[c]] or [0.5])
+        return f"percentile_disc({places}) within group (order by {quoted(c)})"
+
+    return {c: v or [] for c, v in _built_in(values, columns, sql).items()}
 
 
 def interpolated_quantiles(
-    df: DataFrame, columns: Sequence[str], shares: Sequence[str], **limits
+    df: DataFrame,
+    columns: Sequence[str],
+    shares: Sequence[str],
+    max_values: int = MAX_VALUES,
+    sketch_error: float = SKETCH_ERROR,
 ) -> dict[str, list[float | None]]:
     """Quantiles that interpolate between the two neighbouring values."""
+    if df.count() <= max_values:
+        numbers = _numbers(df, columns)
+        places = _places([float(Fraction(s)) for s in shares])
+        found = _built_in(df, columns, lambda c: f"percentile({numbers[c]}, {places})")
+        return {c: v or [None] * len(shares) for c, v in found.items()}
+
     values, sizes = _as_doubles(df, columns)
-    places = {c: [Fraction(s) * (n - 1) for s in shares] if n else [] for c, n in sizes.items()}
-    ranks = {
-        c: [r for p in ps for r in (math.floor(p), math.ceil(p))] for c, ps in places.items()
-    }
-    ends = order_statistics(values, sizes, ranks, **limits)
+    spots = {c: [Fraction(s) * (n - 1) for s in shares] if n else [] for c, n in sizes.items()}
+    ranks = {c: [r for p in ps for r in (math.floor(p), math.ceil(p))] for c, ps in spots.items()}
+    ends = order_statistics(values, sizes, ranks, max_values, sketch_error)
     return {
         c: [
             ends[c][2 * i] + float(p - math.floor(p)) * (ends[c][2 * i + 1] - ends[c][2 * i])
             for i, p in enumerate(ps)
         ]
         or [None] * len(shares)
-        for c, ps in places.items()
+        for c, ps in spots.items()
     }

@@ -227,7 +227,6 @@ def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def column_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = jobs.with_ratios(_book(spark, sf_dir)).drop("id", "member_id")
-    book = stage(book.select(*columns_of_type(book, "numeric")), "numeric")
     return rounded(profile.summarize_columns(book))
 
 
@@ -341,11 +340,11 @@ def _woe(column: str) -> Query:
 
 
 def information_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = stage(_book(spark, sf_dir), "book").withColumn(
-        "loan_status", binary_target(F.col("loan_status"))
-    )
     features = [*PREDICTORS, "purpose", "addr_state", "home_ownership", "emp_length",
                 "funded_amnt", "annual_inc", "revol_bal", *IMPUTED_COLUMNS[1:]]
+    book = stage(_book(spark, sf_dir).select("loan_status", *features), "book").withColumn(
+        "loan_status", binary_target(F.col("loan_status"))
+    )
     woe = associate.woe_table(book, "loan_status", features)
     return rounded(associate.information_value(woe))
 

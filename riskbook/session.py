@@ -1,0 +1,21 @@
+"""Session settings that suit wide tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+SETTINGS = {
+    # The JVM does not compile methods above 8000 bytes of bytecode. A projection
+    # of some fifty columns generates a longer one, which would be interpreted
+    # for every row; above this limit Spark goes back to smaller methods.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the settings to a session; results do not depend on them."""
+    for name, value in SETTINGS.items():
+        spark.conf.set(name, value)
+    return spark
