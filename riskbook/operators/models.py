@@ -122,8 +122,10 @@ def fit_ols(
         summary = regression.summary
         errors = list(summary.coefficientStandardErrors)
         t_values, p_values = list(summary.tValues), list(summary.pValues)
-    except Exception:
+    except Exception as error:
         # Collinear predictors: coefficients exist, their errors do not.
+        if "No Std. Error" not in str(error):
+            raise
         errors = t_values = p_values = [None] * (len(terms) + 1)
     estimates = [*weights, float(regression.intercept)]
     table = list(zip([*terms, "(Intercept)"], estimates, errors, t_values, p_values))

@@ -416,8 +416,8 @@ def _fitted(*names: str) -> str:
 
 def _moments(name: str) -> str:
     return _fitted(name) + "\n" + _union([
-        f"select sub_grade as moment, {rnd('avg(y)', 4)} as value from {name}_train group by 1",
-        f"select case when t = 1 then ' 60 months' else ' 36 months' end as moment, {rnd('avg(y)', 4)} as value from {name}_train group by 1",
+        f"select sub_grade as moment, {rnd('avg(y)', 7)} as value from {name}_train group by 1",
+        f"select case when t = 1 then ' 60 months' else ' 36 months' end as moment, {rnd('avg(y)', 7)} as value from {name}_train group by 1",
         f"select 'int_rate' as moment, {rnd('sum(y*r)', 4)} as value from {name}_train",
         f"select 'dti' as moment, {rnd('sum(y*d)', 4)} as value from {name}_train",
     ])

@@ -388,13 +388,14 @@ def _fit_moments(name: str) -> Query:
         model, rows = _model(_trained(spark, sf_dir)[1], name)
         train = models.score(model, rows.filter("is_train"))
         p = F.col("prediction")
-        keys = segments_of(train, ["sub_grade", "term"], F.avg(p))
+        # More digits for the means: those of two-digit targets can end in a 5.
+        keys = rounded(segments_of(train, ["sub_grade", "term"], F.avg(p)), 7)
         sums = train.agg(F.sum(p * F.col("int_rate")).alias("r"), F.sum(p * F.col("dti")).alias("d"))
         slopes = sums.selectExpr(
             "inline(array(named_struct('moment', 'int_rate', 'value', r),"
             " named_struct('moment', 'dti', 'value', d)))"
         )
-        return rounded(keys.unionAll(slopes), 4)
+        return keys.unionAll(rounded(slopes, 4))
 
     return run
 
