@@ -18,7 +18,6 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import SparkSession  # noqa: E402
 
 from riskbook.plans.queries import all_queries  # noqa: E402
-from riskbook.session import tune  # noqa: E402
 
 HEADLINE = [
     "prepared_loans",  # prepare
@@ -46,7 +45,6 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    tune(spark)
     queries = all_queries()
 
     def timed(name: str) -> float:
