@@ -238,53 +238,48 @@ def encoder(path: str) -> Encoder:
 
 
 
-def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The id, ``n_tokens``, ``ids`` and the text ``decoded`` from them, a row for each row.
-
-    Runs map-side, a row's text in one piece, batches of about 2 MB. Repeated ids stay.
+OUTPUTS = {
+    "n_tokens": "long",
+    "ids": "array<int>",
+    "ids_sha256": "string",
+    "decoded": "string",
+    "decoded_sha256": "string",
+}
+
+
+def encode_documents(
+    docs: DataFrame, path: str, keep: Sequence[str] = ("doc_id",), outputs: Sequence[str] = tuple(OUTPUTS), text: str = "text"
+) -> DataFrame:
+    """The columns ``keep`` and ``outputs`` of every row; the decoded text is made from the ids.
+
+    ``ids_sha256`` is the digest of the decimal ids joined by commas. Runs map-side, a row's
+    text in one piece, in slices of about 4 MB. Repeated rows stay.
     """
-
-    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
-        for batch in source:
-            for part in text_slices(batch.column(1)):
-                ids, bounds = coder.encode([part.text(i).decode() for i in range(part.n)])
-                pieces = [ids[bounds[i] : bounds[i + 1]] for i in range(part.n)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0)[part.rows],
-                        pa.array(np.diff(bounds)),
-                        pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)),
-                        pa.array([coder.vocab.decode(p).decode("utf-8", "replace") for p in pieces]),
-                    ],
-                    names=[id_column, "n_tokens", "ids", "decoded"],
-                )
-
-    kind = docs.schema[id_column].dataType.simpleString()
-    schema = f"`{id_column}` {kind}, n_tokens long, ids array<int>, decoded string"
-    return docs.select(id_column, text).mapInArrow(batches, schema)
-
-
-def token_digests(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Digests of the ids (decimal, comma-joined) and of the decoded text, without moving either."""
+    keep = list(keep)
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         decimal = np.array([str(i).encode() for i in range(len(coder.vocab.token_bytes))], dtype=object)
         for batch in source:
-            for part in text_slices(batch.column(1)):
+            for part in text_slices(batch.column(len(keep)), max_bytes=1 << 22):
                 ids, bounds = coder.encode([part.text(i).decode() for i in range(part.n)])
-                said = decimal[ids].tolist()
-                digests, decoded = [], []
-                for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                    digests.append(hashlib.sha256(b",".join(said[low:high])).hexdigest())
-                    text_again = coder.vocab.decode(ids[low:high]).decode("utf-8", "replace")
-                    decoded.append(hashlib.sha256(text_again.encode()).hexdigest())
+                spans = list(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+                made = {"n_tokens": pa.array(np.diff(bounds), pa.int64())}
+                if "ids" in outputs:
+                    made["ids"] = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+                if "ids_sha256" in outputs:
+                    said = decimal[ids].tolist()
+                    made["ids_sha256"] = pa.array(
+                        [hashlib.sha256(b",".join(said[a:b])).hexdigest() for a, b in spans], pa.string()
+                    )
+                if "decoded" in outputs or "decoded_sha256" in outputs:
+                    decoded = [coder.vocab.decode(ids[a:b]).decode("utf-8", "replace") for a, b in spans]
+                    made["decoded"] = pa.array(decoded, pa.string())
+                    made["decoded_sha256"] = pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded], pa.string())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[part.rows], pa.array(np.diff(bounds)), pa.array(digests, pa.string()), pa.array(decoded, pa.string())],
-                    names=[id_column, "n_tokens", "ids_sha256", "decoded_sha256"],
+                    [batch.column(i)[part.rows] for i in range(len(keep))] + [made[o] for o in outputs],
+                    names=[*keep, *outputs],
                 )
 
-    kind = docs.schema[id_column].dataType.simpleString()
-    schema = f"`{id_column}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(id_column, text).mapInArrow(batches, schema)
+    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
+    return docs.select(*keep, text).mapInArrow(batches, ", ".join(kinds + [f"{o} {OUTPUTS[o]}" for o in outputs]))

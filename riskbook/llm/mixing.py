@@ -168,7 +168,8 @@ def mix(docs: DataFrame, id_column: str = "doc_id", source: str = "source", text
 #: The plan of ``documents`` for DuckDB.
 SQL = r"""
 with sized as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) as size,
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0) as size,
          md5(cast(doc_id as varchar)) as shuffle,
          row_number() over (partition by doc_id order by source nulls last, md5(coalesce(text, ''))) as place
   from documents

@@ -4,23 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, mixing, quality, secret_scan, toxicity
+from .shipping import ship_package
+from . import bpe, line_dedup, mixing, parity_join, quality, secret_scan, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
-    return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    outputs = ("n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), outputs=outputs)
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +32,11 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document."""
+    return parity_join.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mixing.plan_mix(table(spark, sf_dir, "documents")).drop("place", "copies")
@@ -61,12 +70,17 @@ def llm_queries() -> dict[str, Query]:
     return {
         "op2_bpe": op2_bpe,
         "op4_secrets": op4_secrets,
+        "op5_ngram_join": op5_ngram_join,
         "op6_mix": op6_mix,
         "op7_quality": op7_quality,
         "op8_toxicity": op8_toxicity,
         "op10_lines": op10_lines,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op6_mix": mixing.SQL, "op10_lines": line_dedup.SQL}
+    found = {"op6_mix": mixing.SQL, "op10_lines": line_dedup.SQL}
+    if corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found

@@ -123,8 +123,8 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
-def text_slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[Slice]:
-    """Cut a string column (null: empty) into slices of about ``max_bytes``.
+def text_slices(column: pa.Array, max_bytes: int = SLICE_BYTES, max_rows: int = 1 << 30) -> Iterator[Slice]:
+    """Cut a string column (null: empty) into slices of about ``max_bytes``, ``max_rows`` at most.
 
     A row is never cut, so one longer text makes a slice of its own.
     """
@@ -137,7 +137,7 @@ def text_slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[Slic
     low = 0
     while low < len(column):
         high = int(np.searchsorted(offsets, offsets[low] + max_bytes, side="right")) - 1
-        high = min(max(high, low + 1), len(column))
+        high = min(max(high, low + 1), low + max_rows, len(column))
         yield Slice(
             slice(low, high),
             data[offsets[low] : offsets[high]],
