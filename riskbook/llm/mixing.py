@@ -121,7 +121,7 @@ def plan_mix(docs: DataFrame, id_column: str = "doc_id", source: str = "source",
     )
     shares = targets(read.groupBy("source").agg(F.sum("size").alias("source_size")), weights)
     shares = work.save(shares.withColumn("queue", named).drop("source"), "targets")
-    budget = shares.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("budget"))
+    budget = shares.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("budget")).first()["budget"]
     rows = rows.join(shares, "queue")
 
     finish = (F.col("epoch") * F.col("source_size") + F.col("running")).cast("double") / F.col("target")
@@ -137,7 +137,7 @@ def plan_mix(docs: DataFrame, id_column: str = "doc_id", source: str = "source",
     order = [F.col(c) for c in ("finish", "queue", "epoch", "shuffle", "doc_id", "place")]
     sent = _running(copies.withColumn("range", ranges), [], "range", order, "size")
     taken = (
-        sent.crossJoin(F.broadcast(budget)).where(F.col("running") <= F.col("budget"))
+        sent.where(F.col("running") <= budget)
         .groupBy("doc_id", "place").agg(F.count(F.lit(1)).alias("copies"))
     )
     result = (

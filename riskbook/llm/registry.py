@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shipping import ship_package
-from . import bpe, line_dedup, mixing, parity_join, quality, secret_scan, toxicity
+from . import bpe, chat, line_dedup, mixing, parity_join, quality, secret_scan, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "byte_bpe_50k.json"
@@ -21,6 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted and read back, and one whose texts are control strings."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    typed = turns.unionByName(extra).withColumn("parts", chat.text_parts())
+    return chat.read_back(chat.format_turns(typed))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     outputs = ("n_tokens", "ids_sha256", "decoded_sha256")
@@ -55,6 +64,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, read back from token files."""
+    return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the lines that ten or more of them share, as digests."""
     kept = line_dedup.drop_common_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -68,19 +82,21 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Query]:
     return {
+        "op1_chat": op1_chat,
         "op2_bpe": op2_bpe,
         "op4_secrets": op4_secrets,
         "op5_ngram_join": op5_ngram_join,
         "op6_mix": op6_mix,
         "op7_quality": op7_quality,
         "op8_toxicity": op8_toxicity,
+        "op9_token_files": op9_token_files,
         "op10_lines": op10_lines,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def llm_oracles() -> dict[str, str]:
-    found = {"op6_mix": mixing.SQL, "op10_lines": line_dedup.SQL}
+    found = {"op1_chat": chat.SQL, "op6_mix": mixing.SQL, "op10_lines": line_dedup.SQL}
     if corpus_pipeline.ORACLE_SQL:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found
