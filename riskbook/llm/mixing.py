@@ -150,7 +150,7 @@ def plan_mix(docs: DataFrame, id_column: str = "doc_id", source: str = "source",
         .withColumn("taken", F.col("copies") * F.col("size"))
     )
     out = work.save(result, "plan")
-    work.drop("read", "rows", "targets", "copies")
+    work.keep_only("plan")
     return out
 
 

@@ -499,7 +499,7 @@ def similar_components(docs: DataFrame, link: Link = Link()) -> DataFrame:
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
     out = work.save(out, "components")
-    work.drop("described", "nodes", "grouped", "spokes", "near", "placed", "more", "pairs", "sets", "checked", "split", "rest", "late")
+    work.keep_only("components")
     return out
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shipping import ship_package
-from . import bpe, chat, line_dedup, mixing, parity_join, quality, secret_scan, token_files, toxicity
+from . import ann, bpe, chat, line_dedup, mixing, parity_join, quality, secret_scan, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "byte_bpe_50k.json"
@@ -36,6 +36,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), outputs=outputs)
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest vectors of every vector whose id is divisible by twenty."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document."""
     return secret_scan.scan(table(spark, sf_dir, "documents"))
@@ -84,6 +89,7 @@ def llm_queries() -> dict[str, Query]:
     return {
         "op1_chat": op1_chat,
         "op2_bpe": op2_bpe,
+        "op3_neighbours": op3_neighbours,
         "op4_secrets": op4_secrets,
         "op5_ngram_join": op5_ngram_join,
         "op6_mix": op6_mix,
@@ -96,7 +102,7 @@ def llm_queries() -> dict[str, Query]:
 
 
 def llm_oracles() -> dict[str, str]:
-    found = {"op1_chat": chat.SQL, "op6_mix": mixing.SQL, "op10_lines": line_dedup.SQL}
+    found = {"op1_chat": chat.SQL, "op3_neighbours": ann.SQL, "op6_mix": mixing.SQL, "op10_lines": line_dedup.SQL}
     if corpus_pipeline.ORACLE_SQL:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found

@@ -14,18 +14,25 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        self.names: set[str] = set()
         self.folder = f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as Parquet and read it back: later readers don't compute it again."""
         path = f"{self.folder}/{name}"
+        self.names.add(name)
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Delete tables of this run that nothing reads any more (all of them without names)."""
+        """Delete tables of this run that nothing reads any more."""
         jvm = self.spark._jvm
         conf = self.spark._jsc.hadoopConfiguration()
-        for path in [f"{self.folder}/{n}" for n in names] or [self.folder]:
-            target = jvm.org.apache.hadoop.fs.Path(path)
+        for name in names:
+            target = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
             target.getFileSystem(conf).delete(target, True)
+            self.names.discard(name)
+
+    def keep_only(self, name: str) -> None:
+        """Delete all tables of this run but one, which the caller goes on reading."""
+        self.drop(*(self.names - {name}))
