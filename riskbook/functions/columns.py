@@ -46,9 +46,14 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.try_divide(numerator.cast("double"), denominator.cast("double"))
 
 
+def recovery_share(recoveries: Column, funded: Column) -> Column:
+    """Recovered share of the funded amount as it is."""
+    return ratio(recoveries, funded)
+
+
 def recovery_rate(recoveries: Column, funded: Column) -> Column:
     """Recovered share of the funded amount, capped above but not below."""
-    share = ratio(recoveries, funded)
+    share = recovery_share(recoveries, funded)
     return F.when(share > RECOVERY_CAP, F.lit(RECOVERY_CAP)).otherwise(share)
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskbook.functions.aggregates import pearson
@@ -16,8 +16,6 @@ from riskbook.functions.text import quoted
 from riskbook.operators.quantiles import discrete_quantiles
 from riskbook.schema import columns_of_type
 
-MAX_LEVELS = 1000
-
 
 def pearson_pairs(
     df: DataFrame, pairs: Sequence[tuple[str, str]], strict_nulls: bool = True
@@ -46,8 +44,11 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     spark = df.sparkSession
     columns = list(columns or columns_of_type(df, "numeric"))
     complete = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
+    ends = complete.agg(
+        F.count(F.lit(1)).alias("n"), *[(F.min(c) == F.max(c)).alias(f"c{i}") for i, c in enumerate(columns)]
+    ).first()
     matrix = None
-    if not complete.isEmpty():
+    if ends["n"]:
         vectors = VectorAssembler(inputCols=columns, outputCol="v").transform(complete)
         matrix = Correlation.corr(vectors.select("v"), "v").first()[0].toArray()
 
@@ -57,10 +58,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
 
     size = range(len(columns))
     # A constant column has no correlation with itself either.
-    constant = [len(columns) > 1 and all(cell(i, j) is None for j in size if j != i) for i in size]
-    if matrix is not None and any(constant):
-        spread = complete.agg(*[F.min(c) == F.max(c) for c in columns]).first()
-        constant = [bool(s) for s in spread]
+    constant = [bool(ends[f"c{i}"]) for i in size]
     return spark.createDataFrame(
         [
             (columns[i], columns[j], None if constant[i] or constant[j] else cell(i, j))
@@ -76,39 +74,23 @@ def correlated_pairs(matrix: DataFrame, min_abs_r: float) -> DataFrame:
     return matrix.filter((F.col("var_a") < F.col("var_b")) & (F.abs("r") >= min_abs_r))
 
 
-def _within_level_limit(df: DataFrame, columns: list[str], limit: int) -> list[str]:
-    """Text columns that may have at most `limit` levels.
-
-    The estimate only screens out columns far above the limit; the exact
-    number decides after grouping.
-    """
-    if not columns:
-        return []
-    row = df.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in columns]).first()
-    return [c for c in columns if row[c] <= 1.2 * limit]
-
-
-def woe_table(
-    df: DataFrame,
-    target: str,
-    columns: Sequence[str],
-    bins: int = 10,
-    max_levels: int = MAX_LEVELS,
-) -> DataFrame:
+def woe_table(df: DataFrame, target: str, columns: Sequence[str], bins: int = 10) -> DataFrame:
     """(variable, bin, n, n1, n0, woe, iv) against a 0/1 target.
 
     Numeric columns are cut at their exact quantiles, text columns go by
     level, missing values are a bin of their own (NULL). A bin without rows of
-    one class has woe and iv 0. Text with more than max_levels levels is no
-    categorical predictor: such columns are not rated.
+    one class has woe and iv 0. Every column has the same class totals, since
+    missing values are counted too; they are taken once.
     """
     text = [c for c in columns if c in columns_of_type(df, "character")]
     numeric = [c for c in columns if c not in text]
-    text = _within_level_limit(df, text, max_levels)
     shares = [f"{i}/{bins}" for i in range(1, bins)]
     cuts = discrete_quantiles(df, numeric, shares) if numeric else {}
 
     rows = df.filter(F.col(target).isNotNull())
+    totals = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(target).alias("n1")).first()
+    all1 = totals["n1"] or 0
+    all0 = totals["n"] - all1
     y = f"int({quoted(target)}) as _y"
     binned = []
     if numeric:
@@ -129,24 +111,15 @@ def woe_table(
         raise ValueError("no column left to bin")
     grouped = reduce(DataFrame.unionAll, [count(*b) for b in binned])
 
-    # One row per bin is left, bounded by the level limit.
-    by_variable = Window.partitionBy("variable")
     n1, n0 = F.col("n1"), F.col("n0")
-    share1 = F.try_divide(n1, F.sum("n1").over(by_variable))
-    share0 = F.try_divide(n0, F.sum("n0").over(by_variable))
-    levels = F.count(F.lit(1)).over(by_variable)
     filled = (n1 > 0) & (n0 > 0)
-    result = (
+    return (
         grouped.withColumn("n0", F.col("n") - F.col("n1"))
-        .withColumns({"p1": share1, "p0": share0, "levels": levels})
+        .withColumns({"p1": F.try_divide(n1, F.lit(all1)), "p0": F.try_divide(n0, F.lit(all0))})
         .withColumn("woe", F.when(filled, F.log(F.col("p1") / F.col("p0"))).otherwise(0.0))
         .withColumn("iv", (F.col("p1") - F.col("p0")) * F.col("woe"))
+        .select("variable", "bin", "n", "n1", "n0", "woe", "iv")
     )
-    if text:
-        result = result.filter(
-            ~F.col("variable").isin(*text) | (F.col("levels") <= max_levels)
-        )
-    return result.select("variable", "bin", "n", "n1", "n0", "woe", "iv")
 
 
 def information_value(woe: DataFrame) -> DataFrame:

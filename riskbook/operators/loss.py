@@ -6,15 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskbook.functions.aggregates import null_count, strict
-from riskbook.functions.columns import ccf, classify, recovery_rate
+from riskbook.functions.columns import ccf, classify, recovery_rate, recovery_share
 from riskbook.schema import SCORE_CUT
 
 
 def default_targets(df: DataFrame, target: str = "loan_status") -> DataFrame:
-    """The defaulted loans (target 0) with recovery_rate and ccf."""
+    """The defaulted loans (target 0) with recovery_rate, ccf and the uncapped recovery_share."""
     return df.filter(F.col(target) == 0).withColumns(
         {
             "recovery_rate": recovery_rate(F.col("recoveries"), F.col("funded_amnt")),
+            "recovery_share": recovery_share(F.col("recoveries"), F.col("funded_amnt")),
             "ccf": ccf(F.col("funded_amnt"), F.col("total_rec_prncp")),
         }
     )

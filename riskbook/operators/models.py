@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +23,7 @@ from riskbook.operators.quantiles import discrete_quantiles
 from riskbook.schema import PREDICTORS, columns_of_type
 
 # The normal equations hold at most this many features.
-MAX_LEVELS = 4096
+MAX_FEATURES = 4096
 
 COEFFICIENT_SCHEMA = "term string, estimate double, std_error double, t_value double, p_value double"
 
@@ -53,8 +53,8 @@ class LinearModel:
         return score
 
 
-def category_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
-    """The sorted levels of each column over the whole table, in one pass."""
+def category_levels(df: DataFrame, columns: Sequence[str], most: int = MAX_FEATURES) -> dict[str, list[str]]:
+    """The sorted levels of each column, in one pass; more than `most` in all are an error."""
     if not columns:
         return {}
     rows = (
@@ -62,11 +62,11 @@ def category_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str
         .unpivot([], list(columns), "column", "level")
         .filter(F.col("level").isNotNull())
         .distinct()
-        .limit(MAX_LEVELS + 1)
+        .limit(most + 1)
         .collect()
     )
-    if len(rows) > MAX_LEVELS:
-        raise ValueError(f"more than {MAX_LEVELS} levels in {list(columns)}")
+    if len(rows) > most:
+        raise ValueError(f"more than {most} levels in {list(columns)}")
     return {c: sorted(r["level"] for r in rows if r["column"] == c) for c in columns}
 
 
@@ -74,25 +74,25 @@ def fit_ols(
     train: DataFrame,
     target: str,
     predictors: Sequence[str] = tuple(PREDICTORS),
-    levels: dict[str, list[str]] | None = None,
 ) -> LinearModel:
     """Least squares with an intercept; text predictors enter as levels.
 
     The alphabetically first level is the baseline. Rows with a missing value
-    are left out. Levels known from the whole table but absent from the
-    training rows get no effect of their own.
+    are left out. A level that no training row has is unknown to the model: its
+    rows get no score. More than MAX_FEATURES features are an error.
     """
     rows = train.select(F.col(target).cast("double").alias("label"), *predictors).na.drop()
     text = [p for p in predictors if p in columns_of_type(train, "character")]
     numeric = [p for p in predictors if p not in text]
 
+    levels = category_levels(rows, text, MAX_FEATURES - len(numeric))
     # Descending order with the last index dropped drops the first level.
+    labels = [levels[c][::-1] for c in text]
     stages = [
-        StringIndexer(
-            inputCols=text,
-            outputCols=[f"{c}_index" for c in text],
-            stringOrderType="alphabetDesc",
-        ),
+        *[
+            StringIndexerModel.from_labels(found, inputCol=c, outputCol=f"{c}_index")
+            for c, found in zip(text, labels)
+        ],
         OneHotEncoder(
             inputCols=[f"{c}_index" for c in text],
             outputCols=[f"{c}_levels" for c in text],
@@ -109,10 +109,9 @@ def fit_ols(
     names: list[tuple[str, str | None]] = []
     effects: dict[str, dict[str, float]] = {}
     weights = [float(w) for w in regression.coefficients.toArray()]
-    for c, found in zip(text, fitted.stages[0].labelsArray if text else []):
+    for c, found in zip(text, labels):
         *others, baseline = found
-        effects[c] = {lv: 0.0 for lv in (levels or {}).get(c, found)}
-        effects[c] |= {baseline: 0.0}
+        effects[c] = {baseline: 0.0}
         effects[c] |= {lv: weights[len(names) + i] for i, lv in enumerate(others)}
         names += [(c, lv) for lv in others]
     slopes = {c: weights[len(names) + i] for i, c in enumerate(numeric)}

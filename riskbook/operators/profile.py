@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskbook.functions.columns import bin_index_sql
-from riskbook.functions.text import quoted, text_literal
+from riskbook.functions.text import double_literal, quoted, text_literal
 from riskbook.operators.batched import column_aggregates
-from riskbook.operators.quantiles import interpolated_quantiles
+from riskbook.operators.quantiles import as_numbers, interpolated_quantiles
 from riskbook.schema import DEFAULT_LABEL, PAID_LABEL, columns_of_type, kind_of
 
 
@@ -35,18 +35,22 @@ def preview(df: DataFrame, key: str, n: int = 6) -> DataFrame:
 
 
 def summarize_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, min, q1, median, mean, q3, max, n_null) of numeric columns; exact quartiles."""
+    """(column, min, q1, median, mean, q3, max, n_null) of numeric columns; exact quartiles.
+
+    NaN counts as missing in all of them.
+    """
     columns = list(columns or columns_of_type(df, "numeric"))
     quartiles = interpolated_quantiles(df, columns, ["0.25", "0.5", "0.75"])
 
+    value = as_numbers(df, columns)
     stats = column_aggregates(
         df,
         columns,
         {
-            "min": "double(min({c}))",
-            "mean": "avg(double({c}))",
-            "max": "double(max({c}))",
-            "n_null": NULL_COUNT,
+            "min": lambda c: f"min({value[c]})",
+            "mean": lambda c: f"avg({value[c]})",
+            "max": lambda c: f"max({value[c]})",
+            "n_null": lambda c: f"count(*) - count({value[c]})",
         },
         buffers=6,
     )
@@ -60,6 +64,13 @@ def summarize_columns(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     )
 
 
+def summarize_text(df: DataFrame) -> DataFrame:
+    """(column, length, class, n_null) of text columns: what a summary says of them."""
+    columns = columns_of_type(df, "character")
+    counted = column_aggregates(df, columns, {"length": "count(*)", "n_null": NULL_COUNT})
+    return counted.select("column", "length", F.lit("character").alias("class"), "n_null")
+
+
 def _float(value: float | None) -> float | None:
     return None if value is None else float(value)
 
@@ -90,8 +101,9 @@ def distinct_counts(
     """(column, n_distinct); missing counts as one value.
 
     Exactly, values are made distinct as (column, value) pairs, first within
-    each task, so no task has to hold the values of a whole column. The
-    approximation shuffles only sketches, for screening a wide table.
+    each task, so no task has to hold the values of a whole column. All pairs are
+    shuffled, though: for a wide table of many terabytes the approximation,
+    which moves only sketches, is the choice.
     """
     columns = list(columns or df.columns)
     if approximate:
@@ -101,6 +113,8 @@ def distinct_counts(
     for f in df.schema.fields:
         if f.name in columns:
             kind = {"integer": "bigint", "numeric": "double"}.get(kind_of(f.dataType), "string")
+            if f.dataType.typeName() == "decimal":
+                kind = "string"  # a double would merge values
             groups.setdefault(kind, []).append(f.name)
     parts = [
         df.select(*[F.col(c).cast(kind).alias(c) for c in names])
@@ -199,21 +213,28 @@ def default_breaks(df: DataFrame, column: str) -> list[float]:
 def histogram(df: DataFrame, column: str, breaks: Sequence[float] | None = None) -> DataFrame:
     """(bin, lower, upper, count) with bins closed on the right, the first on both sides.
 
-    Empty bins are listed; values outside the breaks and missing ones are not
-    counted. Without breaks they are chosen from the range and the row count.
+    Empty bins are listed, missing values are not counted. Values outside given
+    breaks are counted in two more rows: bin 0 has no lower and the last bin no
+    upper bound. Without breaks they are chosen from the range and the row
+    count, and hold every value.
     """
+    open_ended = breaks is not None
     breaks = [float(b) for b in (breaks or default_breaks(df, column))]
     value = F.col(column).cast("double")
+    last = len(breaks)
+    place = f"""case when value < {double_literal(breaks[0])} then 0
+ when value > {double_literal(breaks[-1])} then {last}
+ else greatest({bin_index_sql('value', breaks, 'right')}, 1) end"""
     counts = (
         df.select(value.alias("value"))
-        .filter(F.col("value").between(breaks[0], breaks[-1]))
-        .groupBy(F.expr(f"greatest({bin_index_sql('value', breaks, 'right')}, 1)").alias("bin"))
+        .filter(F.col("value").isNotNull())
+        .groupBy(F.expr(place).alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    bins = df.sparkSession.createDataFrame(
-        [(i, lo, hi) for i, (lo, hi) in enumerate(zip(breaks, breaks[1:]), start=1)],
-        "bin int, lower double, upper double",
-    )
+    listed = [(i, lo, hi) for i, (lo, hi) in enumerate(zip(breaks, breaks[1:]), start=1)]
+    if open_ended:
+        listed = [(0, None, breaks[0]), *listed, (last, breaks[-1], None)]
+    bins = df.sparkSession.createDataFrame(listed, "bin int, lower double, upper double")
     # counts has at most one row per bin.
     return bins.join(F.broadcast(counts), "bin", "left").select(
         "bin", "lower", "upper", F.coalesce("n", F.lit(0)).alias("count")

@@ -4,14 +4,14 @@ The built-in exact percentile keeps every distinct value of a column in one
 buffer. Here a mergeable sketch proposes a bracket around each wanted rank, a
 count over the table tells on which side of the bracket's ends the rank lies,
 and this repeats inside the bracket until few enough values are left to rank.
-The counts are exact, so the result does not depend on the sketch. Only a table
-small enough as a whole goes to the built-in.
+The counts are exact, so the result does not depend on the sketch. A column with
+few values is ranked at once.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from fractions import Fraction
 
@@ -26,8 +26,6 @@ from riskbook.schema import columns_of_type
 MAX_VALUES = 200_000
 # Brackets ranked in one pass.
 MAX_BRACKETS = 40
-# Twelve columns share a pass of the built-in aggregates.
-BUILT_IN_BUFFERS = 8
 SKETCH_ERROR = 1e-4
 
 
@@ -174,7 +172,7 @@ def order_statistics(
     return {c: [found[c, i] for i in range(len(wanted))] for c, wanted in ranks.items()}
 
 
-def _numbers(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
+def as_numbers(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
     """SQL for each column as double, NaN counting as missing."""
     whole = set(columns_of_type(df, "integer"))
     return {
@@ -184,22 +182,12 @@ def _numbers(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
 
 
 def _as_doubles(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, dict[str, int]]:
-    numbers = _numbers(df, columns)
+    numbers = as_numbers(df, columns)
     values = df.selectExpr(*[f"{sql} as {quoted(c)}" for c, sql in numbers.items()])
     counted = column_aggregates(values, columns, {"n": "count({c})"})
     return values, {r["column"]: r["n"] for r in counted.collect()}
 
 
-def _built_in(df: DataFrame, columns: Sequence[str], sql: Callable[[str], str]) -> dict:
-    """Quantiles of a small table by the built-in aggregates, in one pass."""
-    rows = column_aggregates(df, columns, {"values": sql}, buffers=BUILT_IN_BUFFERS).collect()
-    return {r["column"]: r["values"] for r in rows}
-
-
-def _places(shares: Sequence[float]) -> str:
-    return f"array({', '.join(map(double_literal, shares))})"
-
-
 def discrete_quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -217,15 +205,7 @@ def discrete_quantiles(
         c: [max(0, math.ceil(Fraction(s) * n) - 1) for s in shares] if n else []
         for c, n in sizes.items()
     }
-    if max(sizes.values()) > max_values:
-        return order_statistics(values, sizes, ranks, max_values, sketch_error)
-
-    def sql(c: str) -> str:
-        # Halfway between two ranks, so that no rounding can reach the next one.
-        places = _places([(r + 0.5) / sizes[c] for r in ranks[c]] or [0.5])
-        return f"percentile_disc({places}) within group (order by {quoted(c)})"
-
-    return {c: v or [] for c, v in _built_in(values, columns, sql).items()}
+    return order_statistics(values, sizes, ranks, max_values, sketch_error)
 
 
 def interpolated_quantiles(
@@ -236,21 +216,17 @@ def interpolated_quantiles(
     sketch_error: float = SKETCH_ERROR,
 ) -> dict[str, list[float | None]]:
     """Quantiles that interpolate between the two neighbouring values."""
-    if df.count() <= max_values:
-        numbers = _numbers(df, columns)
-        places = _places([float(Fraction(s)) for s in shares])
-        found = _built_in(df, columns, lambda c: f"percentile({numbers[c]}, {places})")
-        return {c: v or [None] * len(shares) for c, v in found.items()}
-
     values, sizes = _as_doubles(df, columns)
     spots = {c: [Fraction(s) * (n - 1) for s in shares] if n else [] for c, n in sizes.items()}
     ranks = {c: [r for p in ps for r in (math.floor(p), math.ceil(p))] for c, ps in spots.items()}
     ends = order_statistics(values, sizes, ranks, max_values, sketch_error)
+
+    def between(low: float, high: float, part: Fraction) -> float:
+        # Equal ends may be infinite, where a difference is none.
+        return low if low == high or not part else low + float(part) * (high - low)
+
     return {
-        c: [
-            ends[c][2 * i] + float(p - math.floor(p)) * (ends[c][2 * i + 1] - ends[c][2 * i])
-            for i, p in enumerate(ps)
-        ]
+        c: [between(ends[c][2 * i], ends[c][2 * i + 1], p - math.floor(p)) for i, p in enumerate(ps)]
         or [None] * len(shares)
         for c, ps in spots.items()
     }

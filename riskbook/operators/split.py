@@ -15,10 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskbook.schema import SPLIT_SEED, TRAIN_RATIO
-from riskbook.sources.staging import checkpoint_folder
+from riskbook.sources.staging import stage
 
-# Strata whose cut-off hashes go through the driver and are broadcast.
-MAX_LOCAL_STRATA = 10_000
 # A stratum with more than this share of the rows is hot; there are fewer than
 # HOT_SHARE of them.
 HOT_SHARE = 1_000
@@ -33,13 +31,10 @@ def _prefix_digits(rows: int) -> int:
     return min(8, max(1, math.ceil(math.log(max(rows, 2), 16) / 2)))
 
 
-def _cuts(hashed: DataFrame, rows: int, ratio: str, broadcastable: bool) -> DataFrame:
+def _cuts(hashed: DataFrame, rows: int, ratio: str) -> DataFrame:
     """(stratum, n, cut): the largest training hash; strata with no training row are absent."""
     digits = _prefix_digits(rows)
 
-    def hint(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if broadcastable else df
-
     prefixed = hashed.withColumn("prefix", F.substring("hash", 1, digits))
     counts = prefixed.groupBy("stratum", "prefix").count()
     # At most 16^digits rows per stratum from here on.
@@ -63,7 +58,7 @@ def _cuts(hashed: DataFrame, rows: int, ratio: str, broadcastable: bool) -> Data
         )
     )
     candidates = prefixed.join(
-        hint(boundary),
+        boundary,
         F.col("stratum").eqNullSafe(F.col("b_stratum")) & (F.col("prefix") == F.col("b_prefix")),
     )
     ranked = candidates.withColumn(
@@ -94,27 +89,24 @@ def stratified_split(
 
     if stratum is None or 2 * strata > rows:
         hashed = hashed.withColumn("stratum", F.lit(0))
-        cut = _cuts(hashed, rows, ratio, broadcastable=True).first()
+        cut = _cuts(hashed, rows, ratio).first()
         in_train = F.lit(False) if cut is None else split_hash(key, seed) <= cut["cut"]
         return df.withColumn(out, in_train)
 
-    cuts = _cuts(hashed, rows, ratio, broadcastable=strata <= MAX_LOCAL_STRATA).select(
+    cuts = _cuts(hashed, rows, ratio).select(
         F.col("stratum").alias("_stratum"), F.col("n").alias("_n"), F.col("cut").alias("_cut")
     )
+    cuts = stage(cuts, "cuts")
     marked = F.coalesce(split_hash(key, seed) <= F.col("_cut"), F.lit(False))
     same = value.eqNullSafe(F.col("_stratum"))
-
-    if strata <= MAX_LOCAL_STRATA:
-        local = df.sparkSession.createDataFrame(cuts.collect(), cuts.schema)
-        labelled = df.join(F.broadcast(local), same, "left")
+    # Hot strata, fewer than HOT_SHARE, are matched without a shuffle; all others
+    # are small enough to be shuffled.
+    is_hot = F.col("_n") * HOT_SHARE > rows
+    hot_cuts, cold_cuts = F.broadcast(cuts.filter(is_hot)), cuts.filter(~is_hot)
+    if strata == cuts.filter(is_hot).count():
+        labelled = df.join(hot_cuts, same, "left")
     else:
-        # Too many strata to broadcast: hot ones (fewer than HOT_SHARE) are
-        # matched without a shuffle, the rest are small enough to be shuffled.
-        checkpoint_folder(df.sparkSession)
-        cuts = cuts.checkpoint()
-        is_hot = F.col("_n") * HOT_SHARE > rows
-        hot_rows = F.broadcast(cuts.filter(is_hot))
-        labelled = df.join(hot_rows, same).unionAll(
-            df.join(hot_rows, same, "left_anti").join(cuts.filter(~is_hot), same, "left")
+        labelled = df.join(hot_cuts, same).unionAll(
+            df.join(hot_cuts, same, "left_anti").join(cold_cuts, same, "left")
         )
     return labelled.withColumn(out, marked).drop("_stratum", "_n", "_cut")

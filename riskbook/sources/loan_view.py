@@ -107,18 +107,11 @@ _TABLES = {
 }
 
 
-def _spread(df: DataFrame, key: str) -> DataFrame:
-    """Shuffle a table that fills fewer tasks than can run, such as one small file.
+def loan_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loan table over the Parquet tables in a folder.
 
-    All later work would stay in those few tasks. A large table has more scan
-    tasks than the cluster has cores and is left alone.
+    Each read runs the joins anew: stage it before several passes.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
-def loan_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The loan table over the Parquet tables in a folder."""
 
     def table(name: str) -> DataFrame:
         # Known schemas spare a job per table that would only read a footer.
@@ -129,7 +122,7 @@ def loan_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("l_extendedprice").alias("lp"), F.sum(returned).alias("rp")
     )
     base = (
-        _spread(table("orders"), "o_orderkey")
+        table("orders")
         .join(table("customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")

@@ -49,15 +49,14 @@ def read_loans(
     spark: SparkSession,
     path: str | list[str],
     *,
-    multi_line: bool = True,
+    multi_line: bool = False,
     infer_unknown: bool = True,
 ) -> DataFrame:
     """Typed loan table from CSV files with a header.
 
     Known columns are typed by name; the types of all others are inferred with
-    one pass over just those. Free text may hold line breaks, so files are
-    read whole by default: supply many files, or pass multi_line=False when
-    the text has none and single files should be split between tasks.
+    one pass over just those. Files are split between tasks. Quoted text with
+    line breaks in it needs multi_line=True, which reads each file whole.
     """
     raw = spark.read.csv(
         path, header=True, quote='"', escape='"', multiLine=multi_line

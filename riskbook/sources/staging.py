@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_RUN: ContextVar[str | None] = ContextVar("run_folder", default=None)
+
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir.
 
     Only a local session without that setting gets a temporary folder of its
-    own; on a cluster the executors would not see one.
+    own, removed when Python ends; on a cluster the executors would not see one.
     """
     context = spark.sparkContext
     folder = (
@@ -25,12 +32,30 @@ def checkpoint_folder(spark: SparkSession) -> str:
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="riskbook-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     context.setCheckpointDir(folder)
     return folder
 
 
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """A folder for all tables staged inside the block, removed at its end.
+
+    Results must be read or written elsewhere before the block ends.
+    """
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
+    token = _RUN.set(folder)
+    try:
+        yield folder
+    finally:
+        _RUN.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = _RUN.get() or checkpoint_folder(spark).rstrip("/")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

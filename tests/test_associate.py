@@ -64,10 +64,10 @@ def test_woe_heavy_ties_merge_cuts(frame):
     assert sum(r["n"] for r in found) == 100 and len(found) == 4
 
 
-def test_woe_leaves_out_text_with_too_many_levels(frame):
-    rows = [(f"v{i}", f"w{i % 5}", i % 2) for i in range(60)]
-    df = frame(rows, "many string, few string, y int")
-    woe = associate.woe_table(df, "y", ["many", "few"], max_levels=55)
-    assert {r["variable"] for r in woe.collect()} == {"few"}
-    woe = associate.woe_table(df, "y", ["many", "few"], max_levels=60)
-    assert {r["variable"] for r in woe.collect()} == {"many", "few"}
+def test_woe_rates_text_with_any_number_of_levels(frame):
+    rows = [(f"v{i}", f"w{i % 5}", i % 2) for i in range(1500)]
+    woe = associate.woe_table(frame(rows, "many string, few string, y int"), "y", ["many", "few"])
+    found = woe.collect()
+    assert sum(r["variable"] == "many" for r in found) == 1500
+    assert {r["variable"] for r in found} == {"many", "few"}
+    assert all(r["woe"] == 0 for r in found if r["variable"] == "many")

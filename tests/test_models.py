@@ -101,13 +101,21 @@ def test_missing_values_are_left_out_of_the_fit(frame, model):
     assert other.intercept == pytest.approx(model.intercept)
 
 
-def test_level_absent_from_training_has_no_effect(train):
-    levels = models.category_levels(train, ["sub_grade", "term"])
-    fitted = models.fit_ols(train.filter("sub_grade <> 'C1'"), "y", levels=levels)
-    assert fitted.effects["sub_grade"]["C1"] == 0.0
+def test_level_absent_from_training_gets_no_score(train):
+    fitted = models.fit_ols(train.filter("sub_grade <> 'C1'"), "y")
+    assert "C1" not in fitted.effects["sub_grade"]
+    scored = models.score(fitted, train)
+    assert scored.filter("(prediction is null) <> (sub_grade = 'C1')").count() == 0
+    assert scored.filter("prediction is null").count() > 0
     assert all(c[2] is not None for c in fitted.coefficients)
 
 
+def test_too_many_features_are_an_error(frame):
+    rows = [(float(i), f"v{i}", 1.0) for i in range(30)]
+    with pytest.raises(ValueError):
+        models.category_levels(frame(rows, "y double, a string, x double"), ["a"], most=29)
+
+
 def test_collinear_predictors_still_score(train):
     twice = train.withColumn("rate2", F.col("int_rate") * 2)
     fitted = models.fit_ols(twice, "y", ["term", "int_rate", "rate2"])
@@ -124,12 +132,11 @@ def test_numeric_predictors_only(train):
     assert [fitted.intercept, *fitted.slopes.values()] == pytest.approx(list(beta))
 
 
-def test_category_levels(frame, monkeypatch):
+def test_category_levels(frame):
     df = frame([("b", "x"), ("a", "x"), (None, "y")], "p string, q string")
     assert models.category_levels(df, ["p", "q"]) == {"p": ["a", "b"], "q": ["x", "y"]}
-    monkeypatch.setattr(models, "MAX_LEVELS", 3)
     with pytest.raises(ValueError):
-        models.category_levels(df, ["p", "q"])
+        models.category_levels(df, ["p", "q"], most=3)
 
 
 def test_confusion_has_four_cells(frame):

@@ -1,4 +1,5 @@
 import math
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -69,7 +70,7 @@ def test_histogram_is_closed_on_the_right(frame):
     df = frame([(0.0,), (1.0,), (1.5,), (2.0,), (3.5,), (9.0,), (None,)], "x double")
     rows = profile.histogram(df, "x", [0, 1, 2, 3, 4]).orderBy("bin").collect()
     assert [(r["lower"], r["upper"], r["count"]) for r in rows] == [
-        (0.0, 1.0, 2), (1.0, 2.0, 2), (2.0, 3.0, 0), (3.0, 4.0, 1),
+        (None, 0.0, 0), (0.0, 1.0, 2), (1.0, 2.0, 2), (2.0, 3.0, 0), (3.0, 4.0, 1), (4.0, None, 1),
     ]
 
 
@@ -90,3 +91,11 @@ def test_default_breaks_cover_every_value(frame):
 ])
 def test_pretty_breaks(low, high, n, expected):
     assert profile.pretty_breaks(low, high, n) == pytest.approx(expected)
+
+
+def test_decimals_stay_apart_and_nan_is_missing(frame):
+    rows = [(Decimal("1.000000000000000001"), 1.0), (Decimal("1.000000000000000002"), float("nan")), (Decimal(1), 5.0)]
+    df = frame(rows, "d decimal(38,18), x double")
+    assert {r["column"]: r["n_distinct"] for r in profile.distinct_counts(df).collect()} == {"d": 3, "x": 3}
+    row = profile.summarize_columns(df, ["x"]).first()
+    assert (row["min"], row["mean"], row["max"], row["q3"], row["n_null"]) == (1.0, 3.0, 5.0, 4.0, 1)

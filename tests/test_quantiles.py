@@ -27,7 +27,7 @@ def table(frame):
     ).repartition(6)
 
 
-# A large limit takes the built-in at once, the small ones force the brackets.
+# A large limit ranks the values at once, the small ones force the brackets.
 @pytest.mark.parametrize("limits", [{}, {"max_values": 200, "sketch_error": 0.01},
                                     {"max_values": 5, "sketch_error": 0.05}])
 def test_interpolated(table, limits):
@@ -57,3 +57,10 @@ def test_empty_and_single(frame):
 def test_nan_does_not_count(frame):
     df = frame([(1.0,), (float("nan"),), (3.0,)], "a double")
     assert interpolated_quantiles(df, ["a"], ["0.5"]) == {"a": [2.0]}
+
+
+@pytest.mark.parametrize("limits", [{}, {"max_values": 2, "sketch_error": 0.05}])
+def test_infinite_ends(frame, limits):
+    inf = float("inf")
+    df = frame([(1.0,), (2.0,), (inf,), (inf,)], "a double")
+    assert interpolated_quantiles(df, ["a"], ["0", "0.9", "1"], **limits) == {"a": [1.0, inf, inf]}

@@ -1,7 +1,8 @@
+import os
 import pytest
 from pyspark.sql import types as T
 
-from riskbook.sources import checkpoint_folder, read_loans, stage, write_scored
+from riskbook.sources import checkpoint_folder, read_loans, run_folder, stage, write_scored
 
 CSV = '''id,loan_status,int_rate,dti,desc,extra,note,empty
 1,Fully Paid, 13.5%,10.5,"said ""yes"", twice",1,a,
@@ -57,3 +58,10 @@ def test_stage_writes_below_the_configured_folder(spark, frame):
 def test_write_scored(spark, frame, tmp_path):
     write_scored(frame([(1, 0.5)], "id int, EL double"), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).collect()[0]["EL"] == 0.5
+
+
+def test_nothing_is_left_of_a_run(spark, frame):
+    with run_folder(spark) as folder:
+        staged = stage(frame([(1,)], "k int"), "t")
+        assert staged.count() == 1 and all(folder in f for f in staged.inputFiles())
+    assert not os.path.exists(folder)

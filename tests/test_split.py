@@ -63,8 +63,7 @@ def test_no_rows(frame):
 
 
 def test_many_strata_with_a_hot_one(frame, monkeypatch):
-    """The way for more strata than may be broadcast, a third of all rows in one of them."""
-    monkeypatch.setattr(split, "MAX_LOCAL_STRATA", 10)
+    """A third of all rows in one stratum, which is broadcast; the others are shuffled."""
     monkeypatch.setattr(split, "HOT_SHARE", 5)
     rng = random.Random(3)
     rows = [(i, -1.0 if i % 3 == 0 else (None if i % 50 == 1 else float(rng.randrange(200)))) for i in range(2000)]
