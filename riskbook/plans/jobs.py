@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import contextvars
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskbook.functions.columns import (
@@ -48,6 +49,7 @@ from riskbook.schema import (
     columns_of_type,
     present,
 )
+from riskbook.sources.staging import stage
 
 
 def resolve(loans: DataFrame) -> DataFrame:
@@ -179,6 +181,12 @@ class Screening:
     information_value: DataFrame
 
 
+def screen_matrix(prepared: DataFrame, key: str = "id", target: str = "loan_status") -> DataFrame:
+    """Correlations of all numeric features of the cleaned table."""
+    numeric = [c for c in columns_of_type(prepared, "numeric") if c not in (key, target)]
+    return associate.correlation_matrix(prepared, numeric)
+
+
 def screen_features(
     prepared: DataFrame, key: str = "id", target: str = "loan_status"
 ) -> Screening:
@@ -189,7 +197,7 @@ def screen_features(
     woe = associate.woe_table(prepared, target, features)
     return Screening(
         pairs=associate.pearson_pairs(prepared, pairs),
-        matrix=associate.correlation_matrix(prepared, numeric),
+        matrix=screen_matrix(prepared, key, target),
         woe=woe,
         information_value=associate.information_value(woe),
     )
@@ -198,16 +206,19 @@ def screen_features(
 # -- train ------------------------------------------------------------------
 
 
+MODELS = ("pd", "lgd", "ead")
+
+
 @dataclass(frozen=True)
 class Trained:
-    """The three models and the split tables they were fitted on."""
+    """The fitted models and the split tables they were fitted on; None if not asked for."""
 
-    pd: models.LinearModel
-    lgd: models.LinearModel
-    ead: models.LinearModel
-    pd_rows: DataFrame
-    lgd_rows: DataFrame
-    ead_rows: DataFrame
+    pd: models.LinearModel | None = None
+    lgd: models.LinearModel | None = None
+    ead: models.LinearModel | None = None
+    pd_rows: DataFrame | None = None
+    lgd_rows: DataFrame | None = None
+    ead_rows: DataFrame | None = None
 
 
 def train_models(
@@ -215,27 +226,30 @@ def train_models(
     key: str = "id",
     target: str = "loan_status",
     predictors: Sequence[str] = tuple(PREDICTORS),
+    wanted: Sequence[str] = MODELS,
+    without: Column | None = None,
 ) -> Trained:
-    """Fit the models of repayment, recovery and conversion on their training rows.
+    """Fit the wanted models of repayment, recovery and conversion on their training rows.
 
-    The table is read about ten times, four narrow columns each: stage it first
-    unless it is a plain scan already.
+    The rows of each model are staged with their split, so that fit, summary and
+    evaluation read a few narrow columns. `without` leaves training rows out.
     """
-    text = [p for p in predictors if p in columns_of_type(prepared, "character")]
-    levels = models.category_levels(prepared, text)
     defaults = loss.default_targets(prepared, target)
+    sources = {"pd": (prepared, target), "lgd": (defaults, "recovery_rate"), "ead": (defaults, "ccf")}
 
-    def fit(rows: DataFrame, y: str) -> tuple[models.LinearModel, DataFrame]:
-        marked = split.stratified_split(rows, key, y)
-        return models.fit_ols(marked.filter("is_train"), y, predictors, levels), marked
+    def fit(name: str) -> tuple[models.LinearModel, DataFrame]:
+        rows, y = sources[name]
+        narrow = stage(rows.select(key, y, *predictors), f"{name}-rows")
+        marked = stage(split.stratified_split(narrow, key, y), f"{name}-split")
+        train = marked.filter("is_train")
+        return models.fit_ols(train if without is None else train.filter(~without), y, predictors), marked
 
-    # The three fits do not depend on each other, so their jobs run side by side.
-    wanted = [(prepared, target), (defaults, "recovery_rate"), (defaults, "ccf")]
+    # The fits do not depend on each other, so their jobs run side by side.
     with ThreadPoolExecutor(len(wanted)) as pool:
         inherit = inheritable_thread_target(prepared.sparkSession)
-        fits = [pool.submit(inherit(fit), *w) for w in wanted]
-        (pd, pd_rows), (lgd, lgd_rows), (ead, ead_rows) = [f.result() for f in fits]
-    return Trained(pd, lgd, ead, pd_rows, lgd_rows, ead_rows)
+        fits = {name: pool.submit(contextvars.copy_context().run, inherit(fit), name) for name in wanted}
+        done = {name: f.result() for name, f in fits.items()}
+    return Trained(**{n: m for n, (m, _) in done.items()}, **{f"{n}_rows": r for n, (_, r) in done.items()})
 
 
 def evaluate_pd(trained: Trained, threshold: float = SCORE_CUT) -> dict[str, DataFrame]:

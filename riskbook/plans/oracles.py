@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 from riskbook.plans.queries import (
     FREQUENCY_COLUMNS,
-    MATRIX_COLUMNS,
     MIN_ABS_R,
     RATE_BREAKS,
     RESIDUAL_BREAKS,
+    UNSEEN_LEVEL,
 )
 from riskbook.schema import (
     CLASS_MEANS,
@@ -72,6 +72,7 @@ TARGETED = """targeted as materialized (
 DEFAULTS = """defaults as materialized (
  select *, case when recoveries / nullif(funded_amnt, 0) > 1 then cast(1 as double)
    else recoveries / nullif(funded_amnt, 0) end as recovery_rate,
+  recoveries / nullif(funded_amnt, 0) as recovery_share,
   (funded_amnt - total_rec_prncp) / nullif(funded_amnt, 0) as ccf
  from targeted where y = 0
 )"""
@@ -200,17 +201,58 @@ def _histogram(source: str, value: str, breaks: Sequence[float]) -> str:
     bins = ", ".join(
         f"({i}, {d(lo)}, {d(hi)})" for i, (lo, hi) in enumerate(zip(breaks, breaks[1:]), 1)
     )
+    low, high = d(breaks[0]), d(breaks[-1])
     return f"""select b.bin, b.lower, b.upper, count(s.v) as "count"
 from (values {bins}) b(bin, lower, upper)
 left join (select {value} as v from {source}) s
  on (s.v > b.lower or (b.bin = 1 and s.v = b.lower)) and s.v <= b.upper
-group by 1, 2, 3"""
+group by 1, 2, 3
+union all select 0, cast(null as double), {low}, count(*) from (select {value} as v from {source}) where v < {low}
+union all select {len(breaks)}, {high}, cast(null as double), count(*) from (select {value} as v from {source}) where v > {high}"""
+
+
+def _default_histogram(source: str, value: str) -> str:
+    """Round breaks of 1, 2, 5 or 10 times a power of ten for about 1 + log2(n) bins."""
+    return f"""v as materialized (select cast({value} as double) as v from {source} where {value} is not null),
+size as (select min(v) as low, max(v) as high, (max(v) - min(v)) / ceil(log2(count(*)) + 1) as cell from v),
+base as (select *, pow(10.0::double, floor(log10(cell))) as b from size),
+s1 as (select *, case when 2 * b - cell < 1.5 * (cell - b) then 2 * b else b end as s from base),
+s2 as (select * replace (case when 5 * b - cell < 2.75 * (cell - s) then 5 * b else s end as s) from s1),
+s3 as (select * replace (case when 10 * b - cell < 1.5 * (cell - s) then 10 * b else s end as s) from s2),
+edges as (select unnest(generate_series(floor(low / s + 1e-7)::bigint, ceil(high / s - 1e-7)::bigint)) as i, s from s3),
+bins as (select cast(row_number() over (order by i) as int) as bin, round(i * s, 6) as lower, round((i + 1) * s, 6) as upper
+ from edges where i < (select max(i) from edges))
+select bin, lower, upper, (select count(*) from v where (v > lower or (bin = 1 and v = lower)) and v <= upper) as "count"
+from bins"""
+
+
+DOUBLES = ["dti", "funded_amnt", "annual_inc", "revol_bal", "recoveries", "total_rec_prncp",
+           "avg_cur_bal", "bc_open_to_buy", "acc_now_delinq"]
+
+
+def _shape() -> str:
+    rows = ", ".join(
+        f"""{{'position': {i}, 'column': '{c}', 'type': case typeof(max("{c}")) when 'VARCHAR' then 'character'
+ when 'DOUBLE' then 'numeric' else 'integer' end, 'n_rows': count(*)}}"""
+        for i, c in enumerate(VIEW_COLUMNS, 1)
+    )
+    return _loans(f"select unnest([{rows}], recursive := true) from loans")
+
+
+def _preview() -> str:
+    columns = ", ".join(f'{rnd(c)} as "{c}"' if c in DOUBLES else f'"{c}"' for c in VIEW_COLUMNS)
+    return _loans(f"select {columns} from loans order by id limit 6")
 
 
-def _shape(columns: dict[str, str]) -> str:
-    rows = ", ".join(f"({i}, '{c}', '{t}')" for i, (c, t) in enumerate(columns.items(), 1))
-    return _loans(f"""select position, "column", type, (select count(*) from loans) as n_rows
-from (values {rows}) v(position, "column", type)""")
+def _csv() -> str:
+    def column(c: str) -> str:
+        if c in KEY_COLUMNS:
+            return f'cast("{c}" as bigint) as "{c}"'
+        if c in TEXT_COLUMNS + PERCENT_COLUMNS:
+            return f'"{c}"'
+        return f"""{rnd(f'cast("{c}" as double)')} as "{c}\""""
+
+    return _loans(f"select {', '.join(map(column, VIEW_COLUMNS))} from loans")
 
 
 def _names(columns: Sequence[str], source: str) -> str:
@@ -232,25 +274,34 @@ def _imputed() -> str:
     return _ratio_book(f"select id, {columns} from ratio_book")
 
 
-def _prepared() -> str:
+def _prepared_columns() -> list[str]:
     # Over half null, or without variation, in the loan view.
     by_data = ["mths_since_last_record", "application_type", "policy_code",
                "verification_status_joint"]
-    columns = ["id"]
-    for c in VIEW_COLUMNS:
-        if c == "id" or c in DROPPED or c in by_data:
-            continue
-        if c == "loan_status":
-            columns.append("cast(cast(loan_status like '%Paid%' as int) as double) as loan_status")
-        elif c in IMPUTED_COLUMNS:
-            columns.append(f'{rnd(_mean_filled(c))} as "{c}"')
-        elif c in TEXT_COLUMNS:
-            columns.append(f'"{c}"')
-        else:
-            columns.append(f"""{rnd(f'cast("{c}" as double)')} as "{c}\"""")
+    return [c for c in VIEW_COLUMNS if c not in DROPPED + by_data + ["id", "loan_status"]]
+
+
+def _prepared_value(c: str) -> str:
+    if c in IMPUTED_COLUMNS:
+        return _mean_filled(c)
+    return f'"{c}"' if c in TEXT_COLUMNS else f'cast("{c}" as double)'
+
+
+def _prepared() -> str:
+    columns = ["id", "cast(cast(loan_status like '%Paid%' as int) as double) as loan_status"]
+    for c in _prepared_columns():
+        value = _prepared_value(c)
+        columns.append(f'{value if c in TEXT_COLUMNS else rnd(value)} as "{c}"')
     return _ratio_book(f"select {', '.join(columns)} from ratio_book")
 
 
+def _prepared_table() -> str:
+    columns = ", ".join(f'{_prepared_value(c)} as "{c}"' for c in _prepared_columns())
+    return f"""prepared as materialized (
+ select id, cast(loan_status like '%Paid%' as int) as y, {columns} from ratio_book
+)"""
+
+
 # -- associations -----------------------------------------------------------
 
 
@@ -276,17 +327,27 @@ def _pairs(strict: bool) -> str:
 
 
 def _matrix(where: str = "") -> str:
-    complete = " and ".join(f"{c} is not null" for c in MATRIX_COLUMNS)
-    cells = _union([
-        f"select '{a}' as var_a, '{b}' as var_b, {rnd(_corr(a, b))} as r from complete"
-        for a in MATRIX_COLUMNS for b in MATRIX_COLUMNS
-    ])
+    numeric = [c for c in _prepared_columns() if c not in TEXT_COLUMNS]
+    complete = " and ".join(f"{c} is not null" for c in numeric)
+    cells = ", ".join(
+        f"{{'var_a': '{a}', 'var_b': '{b}', 'r': {rnd(_corr(a, b))}}}" for a in numeric for b in numeric
+    )
     return (
-        _with(LOANS, BOOK, f"complete as materialized (select * from book where {complete})")
-        + f"\nselect * from ({cells}) {where}"
+        _with(LOANS, BOOK, RATIO_BOOK, _prepared_table(),
+              f"complete as materialized (select * from prepared where {complete})")
+        + f"\nselect * from (select unnest([{cells}], recursive := true) from complete) {where}"
     )
 
 
+def _screening_pairs() -> str:
+    parts = []
+    for a, b in CORRELATION_PAIRS:
+        if {a, b} <= set(_prepared_columns()):
+            r = f"case when count({a}) = count(*) and count({b}) = count(*) then {_corr(a, b)} end"
+            parts.append(f"select '{a}' as var_a, '{b}' as var_b, {rnd(r)} as r from prepared")
+    return _with(LOANS, BOOK, RATIO_BOOK, _prepared_table()) + "\n" + _union(parts)
+
+
 def _bins(column: str, text: bool) -> str:
     if text:
         return f"select '{column}' as variable, cast({column} as varchar) as bin, y from t"
@@ -296,11 +357,13 @@ def _bins(column: str, text: bool) -> str:
  case when {column} is not null then cast({passed} as varchar) end as bin, y from t"""
 
 
-def _woe(columns: dict[str, bool], final: str) -> str:
+_WOE_BOOK = "t as materialized (select *, cast(loan_status like '%Paid%' as int) as y from book)"
+
+
+def _woe(columns: dict[str, bool], final: str, *tables: str) -> str:
     rows = _union([_bins(c, text) for c, text in columns.items()])
     return _with(
-        LOANS, BOOK,
-        "t as materialized (select *, cast(loan_status like '%Paid%' as int) as y from book)",
+        LOANS, BOOK, *(tables or [_WOE_BOOK]),
         f"""grouped as (select variable, bin, count(*) as n, cast(sum(y) as bigint) as n1,
   cast(count(*) - sum(y) as bigint) as n0 from ({rows}) group by variable, bin)""",
         """shares as (select *, n1 / cast(sum(n1) over (partition by variable) as double) as p1,
@@ -423,7 +486,9 @@ def _moments(name: str) -> str:
     ])
 
 
-def _coefficients(name: str) -> str:
+def _coefficient_rows(name: str) -> str:
+    """(term, estimate, v): v times the residual variance is the squared standard error."""
+
     def form(x: Sequence[str]) -> str:
         i = {0: "t", 1: "r", 2: "d"}
         return " + ".join(
@@ -433,7 +498,7 @@ def _coefficients(name: str) -> str:
     base = f"(select * from {name}_levels order by sub_grade limit 1)"
     own = form(["o.mt", "o.mr", "o.md"])
     diff = form(["l.mt - o.mt", "l.mr - o.mr", "l.md - o.md"])
-    rows = _union([
+    return _union([
         f"select '(Intercept)' as term, o.a as estimate, 1.0::double / o.n + {own} as v from {base} o, {name}_slopes",
         f"""select 'sub_grade' || l.sub_grade, l.a - o.a, 1.0::double / l.n + 1.0::double / o.n + {diff}
 from {name}_levels l, {base} o, {name}_slopes where l.sub_grade <> o.sub_grade""",
@@ -441,10 +506,39 @@ from {name}_levels l, {base} o, {name}_slopes where l.sub_grade <> o.sub_grade""
         f"select 'int_rate', br, i_rr from {name}_slopes",
         f"select 'dti', bd, i_dd from {name}_slopes",
     ])
+
+
+def _coefficients(name: str) -> str:
     return _fitted(name) + f"""
 select term, {rnd('estimate', 5)} as estimate, {rnd('sqrt(v * s2)', 5)} as std_error,
  {rnd('estimate / sqrt(v * s2)', 4)} as t_value
-from ({rows}) c, (select sse / (n - k - 1) as s2 from {name}_stats)"""
+from ({_coefficient_rows(name)}) c, (select sse / (n - k - 1) as s2 from {name}_stats)"""
+
+
+def _p_values(name: str) -> str:
+    """Two-sided p-values: the t density integrated by Simpson's rule in 2,000 steps."""
+    weight = "case when i in (0, 2000) then 1 when i % 2 = 1 then 4 else 2 end"
+    integral = f"1 - 2 * any_value(t) / 6000.0::double * sum({weight} * y)"
+    density = "exp(lgamma((f + 1) / 2) - lgamma(f / 2)) / sqrt(f * pi()) * pow(1 + x * x / f, -(f + 1) / 2)"
+    return _fitted(name) + f""",
+t_values as (
+ select term, least(abs(estimate / sqrt(v * s2)), 40) as t, f
+ from ({_coefficient_rows(name)}) c,
+  (select sse / (n - k - 1) as s2, cast(n - k - 1 as double) as f from {name}_stats)
+),
+points as (
+ select term, t, f, i, t * i / 2000.0::double as x from t_values, (select unnest(generate_series(0, 2000)) as i)
+)
+select term, {rnd(integral, 5)} as p_value
+from (select *, {density} as y from points) group by term"""
+
+
+def _unseen_level() -> str:
+    rows, y = SPLITS["pd"]
+    seen = f"(select * from pd_rows where sub_grade <> '{UNSEEN_LEVEL}')"
+    return _with(LOANS, BOOK, TARGETED, DEFAULTS, rows, _ols("pd", seen, y)) + f"""
+select count(*) as n_loans, count(*) - count(p) as n_unscored, {rnd('avg(p)')} as mean_score
+from (select {_predicted('pd')} as p from pd_rows b, pd_slopes)"""
 
 
 def _stats(name: str) -> str:
@@ -596,11 +690,12 @@ from (select id, {_P} as p from book)""")
     )
     sql["ccf"] = _loans(f"select id, {rnd('(funded_amnt - total_rec_prncp) / funded_amnt')} as ccf from loans")
 
-    sql["shape"] = _shape({"id": "integer", "loan_status": "character", "dti": "numeric",
-                           "funded_amnt": "numeric", "open_rv_12m": "integer"})
-    sql["preview"] = _loans(
-        "select id, loan_status, grade, term, int_rate from loans order by id limit 6"
-    )
+    sql["shape"] = _shape()
+    sql["preview"] = _preview()
+    sql["text_summary"] = _loans(_union([
+        f"""select '{c}' as "column", count(*) as "length", 'character' as "class",
+ count(*) - count("{c}") as n_null from loans""" for c in VIEW_COLUMNS if c in TEXT_COLUMNS + PERCENT_COLUMNS
+    ]))
     sql["column_summary"] = _summary()
     sql["null_profile"] = _nulls()
     sql["sparse_columns"] = _nulls("null_share > 0.5")
@@ -613,17 +708,20 @@ from (select id, {_P} as p from book)""")
     sql["std_by_column"] = _std()
     sql["class_means"] = _class_means()
     sql["histogram_int_rate"] = _book(_histogram("book", "int_rate", RATE_BREAKS))
+    sql["histogram_default_breaks"] = (
+        _with(LOANS, BOOK) + ",\n" + _default_histogram("book", "int_rate")
+    )
+    sql["portfolio_profile_nulls"] = _nulls().replace("from book", "from ratio_book").replace(
+        BOOK, f"{BOOK},\n{RATIO_BOOK}").replace("from ratio_book)", "from book)")
+    sql["portfolio_profile_class_means"] = _class_means()
+    sql["portfolio_profile_frequency_purpose"] = _frequency("purpose")
     sql["impute_means"] = _ratio_book(_union([
         f"""select '{c}' as "column", {rnd(f'avg(cast({c} as double))')} as mean from ratio_book"""
         for c in IMPUTED_COLUMNS
     ]))
     sql["imputed"] = _imputed()
     sql["prepared_loans"] = _prepared()
-    sql["csv_round_trip"] = _loans(
-        f"""select id, loan_status, int_rate, term, {rnd('dti')} as dti, "desc",
- cast(inq_last_6mths as double) as inq_last_6mths, cast(policy_code as double) as policy_code,
- {rnd('funded_amnt')} as funded_amnt from loans"""
-    )
+    sql["csv_round_trip"] = _csv()
 
     sql["corr_pairs"] = _pairs(strict=True)
     sql["corr_pairs_incomplete"] = _pairs(strict=False)
@@ -632,12 +730,28 @@ from (select id, {_P} as p from book)""")
     sql["woe_int_rate"] = _woe({"int_rate": False}, _WOE_ROWS)
     sql["woe_dti"] = _woe({"dti": False}, _WOE_ROWS)
     sql["woe_sub_grade"] = _woe({"sub_grade": True}, _WOE_ROWS)
-    features = [*PREDICTORS, "purpose", "addr_state", "home_ownership", "emp_length",
-                "funded_amnt", "annual_inc", "revol_bal", *IMPUTED_COLUMNS[1:]]
     sql["information_value"] = _woe(
-        {c: c in TEXT_COLUMNS for c in features},
+        {c: c in TEXT_COLUMNS for c in _prepared_columns()},
         f"select variable, {rnd('sum(iv)')} as iv from woes group by 1",
+        RATIO_BOOK, _prepared_table(), "t as materialized (select * from prepared)",
+    )
+    sql["screening_pairs"] = _screening_pairs()
+    sql["woe_many_levels"] = _woe(
+        {"level": True}, _WOE_ROWS,
+        "t as materialized (select 'v' || cast(floor(id / 28.0) as bigint) as level,"
+        " cast(loan_status like '%Paid%' as int) as y from book)",
     )
+    sql["many_strata_split"] = (
+        _with(LOANS, BOOK, "strata as (select id, case when id % 3 = 0 then -1"
+              " else cast(floor(id / 40.0) as bigint) end as stratum from book)")
+        + f"\nselect id, stratum, is_train from ({_ranked('strata', 'stratum')})"
+    )
+    sql["quantiles_by_brackets"] = _book(_union([
+        f"""select '{c}' as "column", {rnd(f'quantile_cont(cast({c} as double), 0.25)')} as q1,
+ {rnd(f'quantile_cont(cast({c} as double), 0.5)')} as median,
+ {rnd(f'quantile_cont(cast({c} as double), 0.75)')} as q3 from book"""
+        for c in ("dti", "int_rate", "annual_inc", "open_rv_12m")
+    ]))
 
     sql["stratified_split"] = (
         _with(LOANS, BOOK, TARGETED)
@@ -653,9 +767,9 @@ from (select id, {_P} as p from book)""")
         + f"\nselect id, {rnd('recovery_rate')} as recovery_rate, {rnd('ccf')} as ccf from defaults"
     )
     sql["target_ranges"] = _with(LOANS, BOOK, TARGETED, DEFAULTS) + "\n" + _union([
-        f"""select '{c}' as "column", {rnd(f'min({c})')} as "min", {rnd(f'max({c})')} as "max",
+        f"""select '{name}' as "column", {rnd(f'min({c})')} as "min", {rnd(f'max({c})')} as "max",
  count(*) - count({c}) as n_null from defaults"""
-        for c in ("recovery_rate", "ccf")
+        for name, c in (("recovery_rate", "recovery_share"), ("ccf", "ccf"))
     ])
 
     for name in ("pd", "lgd", "ead"):
@@ -668,6 +782,12 @@ from (select id, {_P} as p from book)""")
         test = _fitted(name) + ",\n" + _residuals(name, "not is_train") + "\n"
         sql[f"{name}_residual_histogram"] = test + _histogram("res", "y - p", RESIDUAL_BREAKS)
         sql[f"{name}_residual_trend"] = test + _trend("res", "p", "y - p", 5)
+        train = _fitted(name) + ",\n" + _residuals(name, "is_train") + "\n"
+        sql[f"{name}_residual_histogram_train"] = train + _histogram("res", "y - p", RESIDUAL_BREAKS)
+        sql[f"{name}_residual_trend_train"] = train + _trend("res", "p", "y - p", 5)
+        sql[f"{name}_p_values"] = _p_values(name)
+    sql["coefficient_p_values"] = _p_values("pd")
+    sql["scores_of_unseen_level"] = _unseen_level()
 
     sql["confusion_fixed_score"] = _fixed_scores(_cells("s"))
     sql["accuracy_fixed_score"] = _fixed_scores(

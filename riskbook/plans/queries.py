@@ -17,6 +17,7 @@ from riskbook.functions.columns import (
     recovery_rate,
 )
 from riskbook.operators import associate, clean, loss, models, profile, segments, split
+from riskbook.operators.quantiles import interpolated_quantiles
 from riskbook.plans import jobs
 from riskbook.schema import (
     CORRELATION_PAIRS,
@@ -48,11 +49,8 @@ FIXED_CCF = models.LinearModel("ccf", 0.4, {"int_rate": 0.002, "dti": 0.005})
 
 RATE_BREAKS = [float(b) for b in range(6, 26, 2)]
 RESIDUAL_BREAKS = [b / 10 for b in range(-10, 11, 2)]
-MATRIX_COLUMNS = [
-    "dti", "int_rate", "annual_inc", "revol_bal", "open_rv_12m", "open_rv_24m",
-    "inq_last_6mths", "inq_fi", "bc_util", "tot_cur_bal", "policy_code",
-]
 MIN_ABS_R = 0.3
+UNSEEN_LEVEL = "G5"
 
 
 def rounded(df: DataFrame, digits: int = 6, **other: int) -> DataFrame:
@@ -83,10 +81,20 @@ def _targeted(spark: SparkSession, sf_dir: str, staged: bool = False) -> DataFra
     )
 
 
-def _trained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, jobs.Trained]:
-    # Several passes follow, so the join behind the view is run once.
-    book = _targeted(spark, sf_dir, staged=True)
-    return book, jobs.train_models(book)
+def _trained(spark: SparkSession, sf_dir: str, *wanted: str, without: Column | None = None) -> jobs.Trained:
+    """The wanted models, fitted on the shortest table that has what they need."""
+    return jobs.train_models(_targeted(spark, sf_dir, staged=True), wanted=wanted, without=without)
+
+
+def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned table of the staged view, staged."""
+    raw = stage(loan_view(spark, sf_dir), "raw")
+    return stage(jobs.prepare_loans(raw).loans, "prepared")
+
+
+def _staged_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The resolved book, staged: the joins behind the view run once, not once a pass."""
+    return stage(_book(spark, sf_dir), "book")
 
 
 def _fixed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,22 +224,25 @@ def conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = loan_view(spark, sf_dir).select("id", "loan_status", "dti", "funded_amnt", "open_rv_12m")
-    return profile.profile_shape(kept)
+    return profile.profile_shape(loan_view(spark, sf_dir))
 
 
 def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = loan_view(spark, sf_dir).select("id", "loan_status", "grade", "term", "int_rate")
-    return profile.preview(kept, "id")
+    return rounded(profile.preview(loan_view(spark, sf_dir), "id"))
 
 
 def column_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = jobs.with_ratios(_book(spark, sf_dir)).drop("id", "member_id")
+    book = jobs.with_ratios(_staged_book(spark, sf_dir)).drop("id", "member_id")
     return rounded(profile.summarize_columns(book))
 
 
+def text_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text columns of the raw table, before any filter."""
+    return profile.summarize_text(stage(loan_view(spark, sf_dir), "raw"))
+
+
 def null_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(profile.null_profile(_book(spark, sf_dir)))
+    return rounded(profile.null_profile(_staged_book(spark, sf_dir)))
 
 
 def sparse_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,7 +267,7 @@ def numeric_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.distinct_counts(_book(spark, sf_dir))
+    return profile.distinct_counts(_staged_book(spark, sf_dir))
 
 
 def _distinct(column: str) -> Query:
@@ -264,17 +275,31 @@ def _distinct(column: str) -> Query:
 
 
 def std_by_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(profile.std_by_column(_book(spark, sf_dir).drop("id", "member_id")), 4)
+    return rounded(profile.std_by_column(_staged_book(spark, sf_dir).drop("id", "member_id")), 4)
 
 
 def class_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(jobs.outcome_means(jobs.with_ratios(_book(spark, sf_dir))))
+    return rounded(jobs.outcome_means(jobs.with_ratios(_staged_book(spark, sf_dir))))
 
 
 def histogram_int_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.histogram(_book(spark, sf_dir), "int_rate", RATE_BREAKS)
 
 
+def histogram_default_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(profile.histogram(_book(spark, sf_dir), "int_rate"))
+
+
+PROFILE_TABLES = ("nulls", "class_means", "frequency_purpose")
+
+
+def _profile_table(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rounded(jobs.portfolio_profile(stage(loan_view(spark, sf_dir), "raw"))[name])
+
+    return run
+
+
 def impute_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(clean.column_means(jobs.with_ratios(_book(spark, sf_dir)), IMPUTED_COLUMNS))
 
@@ -285,7 +310,7 @@ def imputed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prepared_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    loans = jobs.prepare_loans(loan_view(spark, sf_dir)).loans
+    loans = jobs.prepare_loans(stage(loan_view(spark, sf_dir), "raw")).loans
     return rounded(
         loans.select(
             *[F.col(c).cast("double").alias(c) if c in columns_of_type(loans, "integer") and c != "id"
@@ -295,10 +320,8 @@ def prepared_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ["id", "loan_status", "int_rate", "term", "dti", "desc", "inq_last_6mths",
-               "policy_code", "funded_amnt"]
     path = new_path(spark, "loans-csv")
-    loan_view(spark, sf_dir).select(*columns).write.csv(
+    loan_view(spark, sf_dir).write.csv(
         path, header=True, nullValue="NA", escape='"', ignoreLeadingWhiteSpace=False
     )
     return rounded(read_loans(spark, path))
@@ -321,11 +344,11 @@ def corr_pairs_incomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corr_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(associate.correlation_matrix(_book(spark, sf_dir), MATRIX_COLUMNS))
+    return rounded(jobs.screen_matrix(_prepared(spark, sf_dir)))
 
 
 def correlated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matrix = associate.correlation_matrix(_book(spark, sf_dir), MATRIX_COLUMNS)
+    matrix = jobs.screen_matrix(_prepared(spark, sf_dir))
     return rounded(associate.correlated_pairs(matrix, MIN_ABS_R))
 
 
@@ -340,13 +363,37 @@ def _woe(column: str) -> Query:
 
 
 def information_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = [*PREDICTORS, "purpose", "addr_state", "home_ownership", "emp_length",
-                "funded_amnt", "annual_inc", "revol_bal", *IMPUTED_COLUMNS[1:]]
-    book = stage(_book(spark, sf_dir).select("loan_status", *features), "book").withColumn(
-        "loan_status", binary_target(F.col("loan_status"))
+    return rounded(jobs.screen_features(_prepared(spark, sf_dir)).information_value)
+
+
+def screening_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(jobs.screen_features(_prepared(spark, sf_dir)).pairs)
+
+
+def woe_many_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text predictor with a level for every seven loans: none is left out."""
+    level = F.concat(F.lit("v"), F.floor(F.col("id") / 28).cast("string"))
+    book = _book(spark, sf_dir).select(
+        binary_target(F.col("loan_status")).alias("loan_status"), level.alias("level")
     )
-    woe = associate.woe_table(book, "loan_status", features)
-    return rounded(associate.information_value(woe))
+    return rounded(associate.woe_table(book, "loan_status", ["level"]))
+
+
+def many_strata_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the loans in one stratum, small strata for all others."""
+    key = F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.floor(F.col("id") / 40))
+    book = _book(spark, sf_dir).select("id", key.cast("long").alias("stratum"))
+    return split.stratified_split(book, "id", "stratum")
+
+
+def quantiles_by_brackets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quartiles with so small a limit that brackets must be narrowed again and again."""
+    book = stage(_book(spark, sf_dir).select("dti", "int_rate", "annual_inc", "open_rv_12m"), "book")
+    found = interpolated_quantiles(
+        book, book.columns, ["0.25", "0.5", "0.75"], max_values=50, sketch_error=0.05
+    )
+    rows = [(c, *map(float, q)) for c, q in found.items()]
+    return rounded(spark.createDataFrame(rows, "column string, q1 double, median double, q3 double"))
 
 
 # -- split and models -------------------------------------------------------
@@ -373,8 +420,10 @@ def default_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def target_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of both targets, the recovery before its cap."""
     defaults = loss.default_targets(_targeted(spark, sf_dir))
-    return rounded(profile.range_of(defaults, ["recovery_rate", "ccf"]))
+    uncapped = defaults.select(F.col("recovery_share").alias("recovery_rate"), "ccf")
+    return rounded(profile.range_of(uncapped, ["recovery_rate", "ccf"]))
 
 
 def _model(trained: jobs.Trained, name: str) -> tuple[models.LinearModel, DataFrame]:
@@ -385,7 +434,7 @@ def _fit_moments(name: str) -> Query:
     """What least squares fixes: per level and per slope, predictions sum up as the targets do."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        model, rows = _model(_trained(spark, sf_dir)[1], name)
+        model, rows = _model(_trained(spark, sf_dir, name), name)
         train = models.score(model, rows.filter("is_train"))
         p = F.col("prediction")
         # More digits for the means: those of two-digit targets can end in a 5.
@@ -411,19 +460,34 @@ def segments_of(df: DataFrame, keys: Sequence[str], aggregate: Column) -> DataFr
 
 def _coefficients(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        table = models.coefficient_table(spark, _model(_trained(spark, sf_dir)[1], name)[0])
+        table = models.coefficient_table(spark, _model(_trained(spark, sf_dir, name), name)[0])
         return rounded(table.drop("p_value"), 5, t_value=4)
 
     return run
 
 
-def coefficient_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.coefficient_table(spark, _trained(spark, sf_dir)[1].pd)
+def _p_values(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        model, _ = _model(_trained(spark, sf_dir, name), name)
+        return rounded(models.coefficient_table(spark, model).select("term", "p_value"), 5)
+
+    return run
+
+
+def scores_of_unseen_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loans of a sub-grade that the training rows lack have no score."""
+    trained = _trained(spark, sf_dir, "pd", without=F.col("sub_grade") == UNSEEN_LEVEL)
+    scored = models.score(trained.pd, trained.pd_rows)
+    return rounded(scored.agg(
+        F.count(F.lit(1)).alias("n_loans"),
+        F.count_if(F.col("prediction").isNull()).alias("n_unscored"),
+        F.avg("prediction").alias("mean_score"),
+    ))
 
 
 def _fit_stats(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        model, rows = _model(_trained(spark, sf_dir)[1], name)
+        model, rows = _model(_trained(spark, sf_dir, name), name)
         return rounded(models.fit_stats(model, rows.filter("is_train")), 6, aic=3, f_statistic=4,
                        deviance=4, null_deviance=4)
 
@@ -478,27 +542,28 @@ def portfolio_loss_void(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pd_test_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.evaluate_pd(_trained(spark, sf_dir)[1])["confusion"]
+    return jobs.evaluate_pd(_trained(spark, sf_dir, "pd"))["confusion"]
 
 
 def pd_test_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(jobs.evaluate_pd(_trained(spark, sf_dir)[1])["accuracy"])
+    return rounded(jobs.evaluate_pd(_trained(spark, sf_dir, "pd"))["accuracy"])
 
 
 def _fitted_errors(name: str, part: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        model, rows = _model(_trained(spark, sf_dir)[1], name)
+        model, rows = _model(_trained(spark, sf_dir, name), name)
         kept = rows.filter("is_train" if part == "train" else "not is_train")
         return rounded(jobs.evaluate_ols(model, kept)["errors"], 5)
 
     return run
 
 
-def _fitted_residuals(name: str, table: str) -> Query:
+def _fitted_residuals(name: str, table: str, part: str = "test") -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        model, rows = _model(_trained(spark, sf_dir)[1], name)
+        model, rows = _model(_trained(spark, sf_dir, name), name)
         scored = models.with_residual(
-            models.score(model, rows.filter("not is_train")), model.target, "prediction"
+            models.score(model, rows.filter("is_train" if part == "train" else "not is_train")),
+            model.target, "prediction",
         )
         if table == "histogram":
             return rounded(profile.histogram(scored, "residual", RESIDUAL_BREAKS))
@@ -509,9 +574,9 @@ def _fitted_residuals(name: str, table: str) -> Query:
 
 def expected_loss_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored loans, written to Parquet and read back."""
-    book, trained = _trained(spark, sf_dir)
+    scored, _ = jobs.expected_loss_run(_prepared(spark, sf_dir))
     path = new_path(spark, "scored")
-    write_scored(jobs.score_book(book, trained), path)
+    write_scored(scored, path)
     scored = spark.read.parquet(path)
     return rounded(
         scored.select("id", "p_paid", "recovery_rate", "ccf", "LGD", "EAD", "PD", "EL"), 4,
@@ -520,8 +585,8 @@ def expected_loss_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def portfolio_loss_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book, trained = _trained(spark, sf_dir)
-    return rounded(loss.portfolio_loss(jobs.score_book(book, trained)), 1, el_share=6)
+    _, totals = jobs.expected_loss_run(_prepared(spark, sf_dir))
+    return rounded(totals, 1, el_share=6)
 
 
 def all_queries() -> dict[str, Query]:
@@ -540,6 +605,9 @@ def all_queries() -> dict[str, Query]:
         fitted[f"{name}_errors_test"] = _fitted_errors(name, "test")
         fitted[f"{name}_residual_histogram"] = _fitted_residuals(name, "histogram")
         fitted[f"{name}_residual_trend"] = _fitted_residuals(name, "trend")
+        fitted[f"{name}_residual_histogram_train"] = _fitted_residuals(name, "histogram", "train")
+        fitted[f"{name}_residual_trend_train"] = _fitted_residuals(name, "trend", "train")
+        fitted[f"{name}_p_values"] = _p_values(name)
     return {
         "default_rate_by_grade": default_rate_by_grade,
         **by_segment,
@@ -564,6 +632,7 @@ def all_queries() -> dict[str, Query]:
         "shape": shape,
         "preview": preview,
         "column_summary": column_summary,
+        "text_summary": text_summary,
         "null_profile": null_profile,
         "sparse_columns": sparse_columns,
         "constant_columns": constant_columns,
@@ -576,6 +645,8 @@ def all_queries() -> dict[str, Query]:
         "std_by_column": std_by_column,
         "class_means": class_means,
         "histogram_int_rate": histogram_int_rate,
+        "histogram_default_breaks": histogram_default_breaks,
+        **{f"portfolio_profile_{t}": _profile_table(t) for t in PROFILE_TABLES},
         "impute_means": impute_means,
         "imputed": imputed,
         "prepared_loans": prepared_loans,
@@ -588,13 +659,18 @@ def all_queries() -> dict[str, Query]:
         "woe_dti": _woe("dti"),
         "woe_sub_grade": _woe("sub_grade"),
         "information_value": information_value,
+        "screening_pairs": screening_pairs,
+        "woe_many_levels": woe_many_levels,
+        "many_strata_split": many_strata_split,
+        "quantiles_by_brackets": quantiles_by_brackets,
         "stratified_split": stratified_split,
         "recovery_split": _target_split("recovery_rate"),
         "ccf_split": _target_split("ccf"),
         "default_targets": default_targets,
         "target_ranges": target_ranges,
         **fitted,
-        "coefficient_p_values": coefficient_p_values,
+        "coefficient_p_values": _p_values("pd"),
+        "scores_of_unseen_level": scores_of_unseen_level,
         "confusion_fixed_score": confusion_fixed_score,
         "accuracy_fixed_score": accuracy_fixed_score,
         "error_metrics_fixed_score": error_metrics_fixed_score,
