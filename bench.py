@@ -2,6 +2,7 @@
 
 BENCH_SF_DIR is the folder with the tables, BENCH_CPUS the number of local
 threads, BENCH_RUNS the timed runs per query after one warm-up (median taken).
+Each run stages its tables in a folder of its own, which is removed after it.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import SparkSession  # noqa: E402
 
 from riskbook.plans.queries import all_queries  # noqa: E402
+from riskbook.sources import run_folder  # noqa: E402
 
 HEADLINE = [
     "prepared_loans",  # prepare
@@ -32,7 +34,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "1"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("riskbook-bench")
@@ -48,13 +50,16 @@ def main() -> None:
     queries = all_queries()
 
     def timed(name: str) -> float:
-        start = time.perf_counter()
-        queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        return time.perf_counter() - start
+        with run_folder(spark):
+            start = time.perf_counter()
+            queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            return time.perf_counter() - start
 
-    seconds = {}
+    seconds, jobs = {}, {}
     for name in HEADLINE:
+        spark.sparkContext.setJobGroup(name, name)
         timed(name)
+        jobs[name] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
         seconds[name] = round(statistics.median(timed(name) for _ in range(runs)), 3)
     print(
         json.dumps(
@@ -63,6 +68,7 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
+                "jobs": jobs,
                 "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
                 "cpus": cpus,
                 "runs": runs,
