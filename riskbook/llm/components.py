@@ -16,11 +16,7 @@ def connected_components(edges: DataFrame, work: Workspace, name: str) -> DataFr
     round's tables are written, so a lost executor costs one round at most.
     """
     edges = work.save(edges.where("a <> b").select("a", "b").distinct(), f"{name}-edges-0")
-    labels = work.save(
-        edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("component")),
-        f"{name}-labels-0",
-    )
-    step = 0
+    labels, step = None, 0
     while not edges.isEmpty():
         step += 1
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -34,9 +30,11 @@ def connected_components(edges: DataFrame, work: Workspace, name: str) -> DataFr
             .where("a <> b").distinct()
         )
         edges = work.save(next_edges, f"{name}-edges-{step}")
-        moved = labels.join(side("component"), "component", "left")
-        labels = work.save(
-            moved.select("node", F.coalesce("component_to", "component").alias("component")), f"{name}-labels-{step}"
-        )
-        work.drop(f"{name}-edges-{step - 1}", f"{name}-labels-{step - 1}", f"{name}-jump-{step}")
-    return labels
+        if labels is None:  # all nodes have an edge in the first round
+            labels = jump.select("node", F.col("to").alias("component"))
+        else:
+            moved = labels.join(side("component"), "component", "left")
+            moved = moved.select("node", F.coalesce("component_to", "component").alias("component"))
+            labels = work.save(moved, f"{name}-labels-{step}")
+            work.drop(f"{name}-edges-{step - 1}")
+    return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

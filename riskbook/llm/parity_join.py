@@ -17,9 +17,9 @@ similarity reaches a threshold; the components of all links are found exactly.
   difference rule a link out.
 * Groups that this leaves in several pieces have the pieces' members compared in blocks,
   inside a task; a block reports a spanning forest of the pairs that may link, never all pairs.
-* The reported pairs are verified on the n-grams themselves. Where one fails, the pairs that
-  relied on it are listed and verified too. All other pairs are ruled out by the bound or
-  lie in one verified component already, so no link is lost.
+* The reported pairs are verified on the n-grams themselves. Across the components they leave,
+  all pairs that sketches don't rule out are then listed and verified too. Every other pair is
+  ruled out by the bound or lies in one component already, so no link is lost.
 
 Equal sets are one node from the start, so a large group of copies is one row. Common n-grams
 only rank last; that choice affects the work, never the result.
@@ -250,7 +250,7 @@ def common_grams(described: DataFrame, link: Link) -> np.ndarray:
 
 
 def published_cells(docs: DataFrame, common: np.ndarray, link: Link) -> DataFrame:
-    """(token, node): the cells that every set publishes in its size bands."""
+    """(token, node, n): the cells that every set publishes in its size bands."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,10 +267,11 @@ def published_cells(docs: DataFrame, common: np.ndarray, link: Link) -> DataFram
                 if len(rows):
                     row, token = grams.cells(rows, bands, shared.value, link)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(token.astype(np.int64)), pa.array(nodes[row])], names=["token", "node"]
+                        [pa.array(token.astype(np.int64)), pa.array(nodes[row]), pa.array(grams.sizes[row])],
+                        names=["token", "node", "n"],
                     )
 
-    return docs.select("text").mapInArrow(batches, "token long, node long")
+    return docs.select("text").mapInArrow(batches, "token long, node long, n long")
 
 
 def fold(bits: np.ndarray, size: int) -> np.ndarray:
@@ -294,15 +295,10 @@ def _words(column: pa.Array) -> list[np.ndarray]:
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame, link: Link) -> DataFrame:
-    """The pairs (a, b) that sizes and bit sketches don't rule out."""
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-    # sizes first: they are small, and most chance pairs end there
-    sizes = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"m_{c}"))
-    p = link.percent
-    pairs = pairs.join(sizes("a"), "a").join(sizes("b"), "b").where(
-        (100 * F.least("m_a", "m_b") >= p * F.greatest("m_a", "m_b"))
-    ).select("a", "b")
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+    """The pairs (a, n_a, b, n_b) that sizes and bit sketches don't rule out, as (a, b)."""
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("bits").alias(f"bits_{c}"))
+    near = pairs.where(100 * F.least("n_a", "n_b") >= link.percent * F.greatest("n_a", "n_b"))
+    both = near.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got in source:
@@ -315,64 +311,117 @@ def plausible(pairs: DataFrame, nodes: DataFrame, link: Link) -> DataFrame:
 
 
 def block_pairs(members: DataFrame, link: Link, every: bool) -> DataFrame:
-    """Pairs (a, b) across the pieces of each group that sketches don't rule out.
+    """Pairs (a, b) across the pieces of each group that sizes and sketches don't rule out.
 
     ``members``: (group, node, piece, n, bits). Without ``every`` a block reports a spanning
     forest over the pieces. Groups above ``link.block`` members are cut into blocks by a hash
-    of the node, and every pair of blocks is a task of its own.
+    of the node, and every pair of blocks is compared by itself. A task streams over its
+    blocks in order, as many at a time as fit ``CHUNK_ROWS``.
     """
     sized = members.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("group")))
     parts = F.ceil(F.col("size") / link.block).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(5)), parts).cast("int")
     other = F.explode(F.sequence(F.lit(0), parts - 1))
+    keys = ["group", "low", "high"]
     spread = (
         sized.withColumn("parts", parts).withColumn("own", own).withColumn("other", other)
         .withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-        .select("group", "low", "high", "own", "node", "piece", "n", "bits")
+        .select(*keys, "own", "node", "piece", "n", "bits")
+        .repartition(*keys).sortWithinPartitions(*keys, "n", "node")
     )
 
-    def compare(block: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[int, int]] = []
-        if block["piece"].nunique() > 1:
-            found = forest_pairs(block, link, every)
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return spread.groupBy("group", "low", "high").applyInPandas(compare, "a long, b long").distinct()
-
-
-def forest_pairs(block: pd.DataFrame, link: Link, every: bool) -> list[tuple[int, int]]:
-    """The pairs of one block (see ``block_pairs``)."""
-    block = block.sort_values(["n", "node"], kind="stable")
-    node, n = block["node"].to_numpy(), block["n"].to_numpy()
-    own = block["own"].to_numpy()
-    two_sided = len(np.unique(own)) > 1  # then pairs inside a side belong to other tasks
-    piece, _ = pd.factorize(block["piece"])
-    raw = [np.frombuffer(b, dtype=np.uint64) for b in block["bits"]]
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for got in source:
+            held.append(got)
+            rows += got.num_rows
+            if rows >= CHUNK_ROWS:
+                table = pa.Table.from_batches(held).combine_chunks()
+                whole = _last_start(table, keys)
+                if whole:
+                    yield _as_pairs(compare_blocks(table.slice(0, whole), link, every))
+                held = table.slice(whole).combine_chunks().to_batches()
+                rows = table.num_rows - whole
+        if rows:
+            yield _as_pairs(compare_blocks(pa.Table.from_batches(held).combine_chunks(), link, every))
+
+    return spread.mapInArrow(batches, "a long, b long").distinct()
+
+
+CHUNK_ROWS = 16_384
+#: Pairs that are compared at once.
+CHUNK_PAIRS = 1 << 17
+
+
+def _as_pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def _changes(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where a new block starts."""
+    new = np.ones(table.num_rows, dtype=bool)
+    columns = [table[k].to_numpy() for k in keys]
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
+
+
+def _last_start(table: pa.Table, keys: list[str]) -> int:
+    return int(_changes(table, keys)[-1])
+
+
+def compare_blocks(table: pa.Table, link: Link, every: bool) -> list[tuple[int, int]]:
+    """The pairs of whole blocks (see ``block_pairs``), sorted by block, size and node."""
+    starts = _changes(table, ["group", "low", "high"])
+    count = table.num_rows
+    block = np.zeros(count, dtype=np.int64)
+    block[starts[1:]] = 1
+    block = np.cumsum(block)
+    two_sided = (table["low"].to_numpy() != table["high"].to_numpy())
+    own, node, n = (table[c].to_numpy().astype(np.int64) for c in ("own", "node", "n"))
+    # pieces are numbered by block, so that unions of one block stay in it
+    piece = pd.factorize(pd.MultiIndex.from_arrays([block, table["piece"].to_numpy()]))[0]
+    root = np.arange(piece.max() + 1)
+    # partners have a size up to the largest partner's; rows of a block ascend in size
+    wide = np.int64(1) << 40
+    until = np.searchsorted(block * wide + n, block * wide + np.minimum(link.largest_partner(n), wide - 1), side="right")
+    many = np.maximum(until - np.arange(count) - 1, 0)
+    raw = _words(table["bits"].combine_chunks())
     widths = np.array([len(b) for b in raw])
-    folded = {}
-    for width in sorted(set(widths.tolist())):
-        rows = np.flatnonzero(widths >= width)
-        folded[width] = (rows[0], np.stack([fold(raw[i], width) for i in rows]))
-    root = np.arange(piece.max() + 1)  # of each piece
-    now = piece.copy()  # root of each member
-    found = []
-    for i in range(len(node) - 1):
-        end = int(np.searchsorted(n, link.largest_partner(n[i]), side="right"))
-        other = np.arange(i + 1, end)
-        other = other[now[other] != now[i]]
-        if two_sided:
-            other = other[own[other] != own[i]]
-        if not len(other):
-            continue
-        first, sketches = folded[widths[i]]
-        differ = np.bitwise_count(sketches[other - first] ^ sketches[i - first]).sum(axis=1)
-        hits = other[differ <= link.most_difference(n[i], n[other])]
-        for j in hits.tolist():
-            if every:
-                found.append((int(node[i]), int(node[j])))
-            elif now[j] != now[i]:
-                found.append((int(node[i]), int(node[j])))
-                now[now == now[j]] = now[i]
+    folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def at_width(width: int) -> tuple[np.ndarray, np.ndarray]:
+        if width not in folded:
+            rows = np.flatnonzero(widths >= width)
+            place = np.full(count, -1, dtype=np.int64)
+            place[rows] = np.arange(len(rows))
+            folded[width] = place, np.stack([fold(raw[i], width) for i in rows.tolist()])
+        return folded[width]
+
+    found: list[tuple[int, int]] = []
+    ends = np.cumsum(many)
+    low = 0
+    while low < count:
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + CHUNK_PAIRS, side="right")))
+        i = np.repeat(np.arange(low, high), many[low:high])
+        j = ranges(np.arange(low, high) + 1, many[low:high])
+        differ = (root[piece[i]] != root[piece[j]]) & (~two_sided[i] | (own[i] != own[j]))
+        i, j = i[differ], j[differ]
+        may = np.zeros(len(i), dtype=bool)
+        narrow = np.minimum(widths[i], widths[j])
+        for width in np.unique(narrow).tolist():
+            at = np.flatnonzero(narrow == width)
+            place, sketches = at_width(width)
+            for part in np.array_split(at, max(1, len(at) * width // (1 << 20))):
+                bits = np.bitwise_count(sketches[place[i[part]]] ^ sketches[place[j[part]]]).sum(axis=1)
+                may[part] = bits <= link.most_difference(n[i[part]], n[j[part]])
+        for x, y in zip(i[may].tolist(), j[may].tolist()):
+            if every or root[piece[x]] != root[piece[y]]:
+                found.append((int(node[x]), int(node[y])))
+            if not every and root[piece[x]] != root[piece[y]]:
+                root[root == root[piece[y]]] = root[piece[x]]
+        low = high
     return found
 
 
@@ -387,8 +436,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, link: Link) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(grams.nodes()), pa.array(packed, pa.binary())], names=["node", "grams"])
 
     texts = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
-    found = texts.select("text").mapInArrow(batches, "node long, grams binary")
-    return found.join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    # an id that is not unique brings other sets along, which meet no pair
+    return texts.select("text").mapInArrow(batches, "node long, grams binary").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, link: Link) -> DataFrame:
@@ -409,21 +458,23 @@ def verified(pairs: DataFrame, sets: DataFrame, link: Link) -> DataFrame:
     return both.mapInArrow(batches, "a long, b long, linked boolean")
 
 
-def pieces_of(edges: DataFrame, members: DataFrame, work: Workspace, name: str) -> DataFrame:
-    """``members`` with ``piece``: the component of their node by ``edges``."""
-    labels = connected_components(edges, work, name)
-    labels = labels.select("node", F.col("component").alias("piece"))
+def in_pieces(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``members`` with the piece of their node by ``labels`` (node, piece); else the node itself."""
     return members.join(labels, "node", "left").withColumn("piece", F.coalesce("piece", "node"))
 
 
-def open_groups(placed: DataFrame, among: list[str]) -> DataFrame:
-    """The groups of three or more members in several pieces; of groups with the same members one."""
+def open_groups(placed: DataFrame) -> DataFrame:
+    """The members of groups of three or more in several pieces; of groups with the same members, one.
+
+    (A group of two is settled by its only pair.)
+    """
     print_of = F.bit_xor(F.xxhash64("node", F.lit(3)))
-    groups = placed.groupBy("token", *among).agg(
-        F.min("piece").alias("least"), F.max("piece").alias("most"), F.count(F.lit(1)).alias("members"), print_of.alias("print")
+    groups = placed.groupBy("token").agg(
+        F.min("piece").alias("least"), F.max("piece").alias("most"), F.count(F.lit(1)).alias("count"), print_of.alias("print")
     )
-    groups = groups.where((F.col("members") >= 3) & (F.col("least") < F.col("most")))
-    return groups.groupBy("print", "members").agg(F.min(F.struct("token", *among)).alias("g")).select("g.*")
+    groups = groups.where((F.col("count") >= 3) & (F.col("least") < F.col("most")))
+    chosen = groups.groupBy("print", "count").agg(F.min("token").alias("token")).select("token")
+    return placed.join(chosen, "token").select(F.col("token").alias("group"), "node", "n", "piece")
 
 
 def similar_components(docs: DataFrame, link: Link = Link()) -> DataFrame:
@@ -446,54 +497,55 @@ def similar_components(docs: DataFrame, link: Link = Link()) -> DataFrame:
     by_token = Window.partitionBy("token")
     grouped = (
         cells.withColumn("least", F.min("node").over(by_token)).withColumn("most", F.max("node").over(by_token))
-        .where("least < most").select("token", "node").distinct()
+        .withColumn("members", F.count(F.lit(1)).over(by_token))
+        .where("least < most").select("token", "node", "n", "members").distinct()
     )
     grouped = work.save(grouped, "grouped")
 
     # every member with its group's hub, the member that meets most others
-    met = grouped.withColumn("members", F.count(F.lit(1)).over(by_token))
-    score = met.groupBy("node").agg(F.sum("members").alias("score"))
-    hub = F.max(F.struct("score", "node")).over(by_token)["node"]
-    spokes = grouped.join(score, "node").withColumn("hub", hub).where(F.col("hub") != F.col("node"))
-    spokes = spokes.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    near = work.save(plausible(work.save(spokes, "spokes"), nodes, link), "near")
-
-    # members of groups that are still in several pieces, in blocks
-    placed = work.save(pieces_of(near, grouped, work, "near"), "placed")
-    described_members = lambda m: m.join(nodes.select("node", "n", "bits"), "node")
-    members = placed.join(open_groups(placed, []).select("token"), "token").withColumnRenamed("token", "group")
-    more = work.save(block_pairs(described_members(members), link, every=False), "more")
-
-    # verify what holds the pieces together
-    pairs = work.save(near.unionByName(more).distinct(), "pairs")
+    score = grouped.groupBy("node").agg(F.sum("members").alias("score"))
+    hub = F.max(F.struct("score", "node", "n")).over(by_token)
+    spokes = grouped.join(score, "node").withColumn("hub", hub).where(F.col("hub.node") != F.col("node"))
+    spokes = spokes.select(
+        F.col("hub.node").alias("a"), F.col("hub.n").alias("n_a"), F.col("node").alias("b"), F.col("n").alias("n_b")
+    ).distinct()
+    near = work.save(plausible(spokes, nodes, link), "near")
+
+    # groups that their hubs don't hold together, in blocks
+    sketched = lambda members: members.join(nodes.select("node", "bits"), "node")
+    stars = near.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("piece"))
+    first = block_pairs(sketched(open_groups(in_pieces(grouped, stars))), link, every=False)
+    pairs = work.save(near.unionByName(first).distinct(), "pairs")
+
+    # verify what holds the groups together
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = work.save(sets_of(docs, nodes.select("node", "doc_id").join(ends, "node"), link), "sets")
     checked = work.save(verified(pairs, sets, link), "checked")
-    links = checked.where("linked").select("a", "b")
-
-    # where a pair failed, list and verify all pairs that might stand in for it
-    whole = pieces_of(pairs, grouped, work, "whole").withColumnRenamed("piece", "outer_piece")
-    failed = connected_components(pairs, work, "outer").join(
-        checked.where("not linked").select(F.col("a").alias("node")), "node", "left_semi"
-    ).select(F.col("component").alias("outer_piece")).distinct()
-    doubtful = whole.join(failed, "outer_piece", "left_semi")
-    split = work.save(pieces_of(links, doubtful, work, "split"), "split")
-    again = split.join(open_groups(split, ["outer_piece"]), ["token", "outer_piece"])
-    again = again.withColumn("group", F.xxhash64("token", "outer_piece"))
-    rest = block_pairs(described_members(again).drop("token", "outer_piece"), link, every=True)
-    rest = rest.join(checked.select("a", "b"), ["a", "b"], "left_anti").join(
-        checked.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"
-    )
-    late = work.save(verified(work.save(rest, "rest"), sets, link), "late").where("linked").select("a", "b")
+    labels = connected_components(checked.where("linked").select("a", "b"), work, "links")
+    labels = labels.withColumnRenamed("component", "piece")
+
+    # pairs across the pieces that are still not ruled out: all of them are verified
+    left = block_pairs(sketched(open_groups(in_pieces(grouped, labels))), link, every=True)
+    known = checked.select("a", "b").unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    late = verified(left.join(known, ["a", "b"], "left_anti"), sets, link).where("linked").select("a", "b")
 
     # rows that share an id hold their nodes together
-    doubled = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
-    doubled = rows.where("n > 0").join(doubled.where("a < b"), "doc_id").select("a", F.col("node").alias("b")).where("a <> b")
-    labels = connected_components(links.unionByName(late).unionByName(doubled), work, "final")
-    named = rows.where("n > 0").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    in_component = named.select("node", "component").distinct().join(names, "component").select("node", "component_id")
-    out = rows.join(in_component, (rows["n"] > 0) & (rows["node"] == in_component["node"]), "left").select(
+    shared = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
+    shared = rows.where("n > 0").join(shared.where("a < b").select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b"))
+    more = work.save(late.unionByName(shared.where("a <> b")), "more")
+    if not more.isEmpty():
+        side = lambda c: labels.select(F.col("node").alias(c), F.col("piece").alias(f"{c}_piece"))
+        joined = more.join(side("a"), "a", "left").join(side("b"), "b", "left").select(
+            F.coalesce("a_piece", "a").alias("a"), F.coalesce("b_piece", "b").alias("b")
+        )
+        outer = connected_components(joined, work, "pieces").withColumnRenamed("node", "piece")
+        inner = labels.unionByName(outer.select(F.col("piece").alias("node"), "piece")).distinct()
+        labels = inner.join(outer, "piece", "left").groupBy("node").agg(F.min(F.coalesce("component", "piece")).alias("piece"))
+
+    named = work.save(in_pieces(nodes.select("node", "doc_id"), labels).select("node", "doc_id", "piece"), "named")
+    names = named.groupBy("piece").agg(F.min("doc_id").alias("component_id"))
+    named = named.join(names, "piece").select("node", "component_id")
+    out = rows.join(named.withColumnRenamed("node", "of"), (rows["n"] > 0) & (rows["node"] == F.col("of")), "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
