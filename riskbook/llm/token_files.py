@@ -9,9 +9,9 @@ of symbols of its own. A shard holds the rules, the length each symbol expands t
 documents start, so a span of ids is decoded without touching the rest.
 
 Layout of a shard, all little-endian:
-  magic b"RPR1"; uint32 documents, rules, symbols, bits per symbol; uint64 ids;
+  magic b"RPR1"; uint32 documents, rules, symbols; uint64 ids;
   rules x (uint32 left, uint32 right); rules x uint32 expansion length;
-  documents x uint64 first symbol; documents x uint64 first id; symbols, ``bits`` bits each.
+  documents x uint64 first symbol; documents x uint64 first id; symbols of three bytes.
 Symbols below ``VOCABULARY`` are ids; symbol VOCABULARY + r is rule r. Shards are rows of a
 Parquet table (part, shard, ids of the documents, payload), since only Spark reaches every
 store.
@@ -40,11 +40,13 @@ from .mixing import _running
 from .textbuf import text_slices
 from .workspace import Workspace
 
+#: Pieces that go to the library together.
+LINES = 100
 VOCABULARY = 1 << 16
 SHARD_IDS = 1 << 20
-ROUNDS, ROUND_RULES, LEAST_COUNT = 8, 4096, 4
+ROUNDS, ROUND_RULES, LEAST_COUNT = 5, 4096, 4
 _SPREAD = np.int64(0x1E3779B97F4A7C15)
-HEAD = struct.Struct("<4sIIIIQ")
+HEAD = struct.Struct("<4sIIIQ")
 
 
 class LibraryEncoder(Encoder):
@@ -69,7 +71,7 @@ class LibraryEncoder(Encoder):
         plain = [_PLAIN.fullmatch(f) is not None for f in forms]
         lines = [i for i, p in enumerate(plain) if p]
         alone = [i for i, p in enumerate(plain) if not p]
-        blocks = [lines[i : i + 500] for i in range(0, len(lines), 500)]
+        blocks = [lines[i : i + LINES] for i in range(0, len(lines), LINES)]
         coded = self.library.encode_batch_fast(["\n".join([forms[i] for i in b]) for b in blocks], add_special_tokens=False)
         (newline,) = self.newline
         flat, lengths = [], []
@@ -100,6 +102,25 @@ def library_encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
+def _apart(rank: np.ndarray, none: int) -> np.ndarray:
+    """Positions of pairs to replace together: no two overlap, and the lower rank goes first."""
+    taken = np.zeros(len(rank), dtype=bool)
+    for _ in range(2):
+        low = rank < none
+        low[1:] &= rank[1:] <= rank[:-1]
+        low[:-1] &= rank[:-1] <= rank[1:]
+        at = np.flatnonzero(low)
+        # in a run of equal pairs, every other one
+        starts = np.append(True, np.diff(at) > 1)
+        number = np.arange(len(at))
+        at = at[(number - np.maximum.accumulate(np.where(starts, number, 0))) % 2 == 0] if len(at) else at
+        taken[at] = True
+        rank[at] = none
+        rank[at[at > 0] - 1] = none
+        rank[at[at < len(rank) - 1] + 1] = none
+    return np.flatnonzero(taken)
+
+
 def compress(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules, first symbol of each document) of documents ``ids[bounds[i]:bounds[i+1]]``."""
     symbols = ids.astype(np.int64)
@@ -128,11 +149,9 @@ def compress(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
         table[place(pairs)[::-1]] = np.arange(len(pairs), dtype=np.int32)[::-1]
         rank = table[place(key)]
         rank[~(open_pairs & (np.append(pairs, -1)[rank] == key))] = len(pairs)
-        # a pair goes if it is more frequent than the one before it, and no less than the next
-        before = np.append(len(pairs), rank[:-1])
-        after = np.append(rank[1:], len(pairs))
-        taken = np.flatnonzero((rank < len(pairs)) & (rank < before) & (rank <= after))
-        used, number = np.unique(rank[taken], return_inverse=True)
+        first_rank = rank.copy()
+        taken = _apart(rank, len(pairs))
+        used, number = np.unique(first_rank[taken], return_inverse=True)
         rules.append(np.stack([pairs[used] >> 32, pairs[used] & 0xFFFFFFFF], axis=1))
         symbols[taken] = VOCABULARY + made + number
         made += len(used)
@@ -164,16 +183,16 @@ def expansions(rules: np.ndarray) -> np.ndarray:
 
 def write_shard(ids: np.ndarray, bounds: np.ndarray) -> bytes:
     symbols, rules, starts = compress(ids, bounds)
-    bits = max(1, int(symbols.max(initial=0)).bit_length())
-    planes = (symbols[:, None] >> np.arange(bits)) & 1
+    if len(rules) >= (1 << 24) - VOCABULARY:
+        raise ValueError("a shard has more rules than three bytes can name")
     return b"".join(
         [
-            HEAD.pack(b"RPR1", len(bounds) - 1, len(rules), len(symbols), bits, len(ids)),
+            HEAD.pack(b"RPR1", len(bounds) - 1, len(rules), len(symbols), len(ids)),
             rules.astype("<u4").tobytes(),
             expansions(rules).astype("<u4").tobytes(),
             starts.astype("<u8").tobytes(),
             bounds[:-1].astype("<u8").tobytes(),
-            np.packbits(planes.astype(np.uint8).ravel(), bitorder="little").tobytes(),
+            symbols.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes(),
         ]
     )
 
@@ -182,7 +201,7 @@ class Shard:
     """A shard opened for reading."""
 
     def __init__(self, payload: bytes):
-        magic, self.documents, n_rules, n_symbols, bits, self.n_ids = HEAD.unpack_from(payload)
+        magic, self.documents, n_rules, n_symbols, self.n_ids = HEAD.unpack_from(payload)
         if magic != b"RPR1":
             raise ValueError("not a token shard")
         at = HEAD.size
@@ -198,9 +217,9 @@ class Shard:
         self.lengths[VOCABULARY:] = read("<u4", n_rules)
         self.first_symbol = np.append(read("<u8", self.documents), n_symbols)
         self.first_id = np.append(read("<u8", self.documents), self.n_ids)
-        packed = np.frombuffer(payload, np.uint8, offset=at)
-        planes = np.unpackbits(packed, count=n_symbols * bits, bitorder="little").reshape(n_symbols, bits)
-        self.symbols = planes.astype(np.int64) @ (np.int64(1) << np.arange(bits))
+        wide = np.zeros((n_symbols, 4), dtype=np.uint8)
+        wide[:, :3] = np.frombuffer(payload, np.uint8, 3 * n_symbols, at).reshape(-1, 3)
+        self.symbols = wide.view("<u4").ravel().astype(np.int64)
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         """The ids that symbols stand for; all rules of one depth are opened at once."""
