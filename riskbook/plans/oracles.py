@@ -19,9 +19,7 @@ from riskbook.schema import (
     DROP_UNUSED,
     IMPUTED_COLUMNS,
     KEY_COLUMNS,
-    NUMERIC_COLUMNS,
     PERCENT_COLUMNS,
-    PREDICTORS,
     RATIO_COLUMNS,
     SEGMENT_KEYS,
     STRICT_CLASS_MEANS,
