@@ -139,8 +139,8 @@ class Grams:
         return np.where(self.sizes > 0, out, _U(0)).astype(np.int64)
 
     def bits(self) -> list[bytes]:
-        """Parity sketches of single bits, at least four times as many as the set has members."""
-        sizes = np.int64(1) << np.ceil(np.log2(np.maximum(4 * self.sizes, 64))).astype(np.int64)
+        """Parity sketches of single bits, at least twice as many as the set has members."""
+        sizes = np.int64(1) << np.ceil(np.log2(np.maximum(2 * self.sizes, 64))).astype(np.int64)
         offsets = np.append(0, np.cumsum(sizes))
         place = offsets[self.owner] + (self.hashes & (sizes[self.owner] - 1).astype(np.uint64)).astype(np.int64)
         flat = np.packbits((np.bincount(place, minlength=offsets[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
@@ -310,13 +310,14 @@ def plausible(pairs: DataFrame, nodes: DataFrame, link: Link) -> DataFrame:
     return both.mapInArrow(batches, "a long, b long")
 
 
-def block_pairs(members: DataFrame, link: Link, every: bool) -> DataFrame:
-    """Pairs (a, b) across the pieces of each group that sizes and sketches don't rule out.
+def block_pairs(members: DataFrame, nodes: DataFrame, link: Link, every: bool) -> DataFrame:
+    """Pairs (group, a, b) across the pieces of each group that sizes and sketches don't rule out.
 
-    ``members``: (group, node, piece, n, bits). Without ``every`` a block reports a spanning
+    ``members``: (group, node, n, piece). Without ``every`` a block reports a spanning
     forest over the pieces. Groups above ``link.block`` members are cut into blocks by a hash
     of the node, and every pair of blocks is compared by itself. A task streams over its
-    blocks in order, as many at a time as fit ``CHUNK_ROWS``.
+    blocks in order, as many at a time as fit ``CHUNK_ROWS``. Sketches join last, so they
+    are shuffled once.
     """
     sized = members.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("group")))
     parts = F.ceil(F.col("size") / link.block).cast("int")
@@ -326,6 +327,8 @@ def block_pairs(members: DataFrame, link: Link, every: bool) -> DataFrame:
     spread = (
         sized.withColumn("parts", parts).withColumn("own", own).withColumn("other", other)
         .withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+        .select(*keys, "own", "node", "piece", "n")
+        .join(nodes.select("node", "bits"), "node")
         .select(*keys, "own", "node", "piece", "n", "bits")
         .repartition(*keys).sortWithinPartitions(*keys, "n", "node")
     )
@@ -346,7 +349,7 @@ def block_pairs(members: DataFrame, link: Link, every: bool) -> DataFrame:
         if rows:
             yield _as_pairs(compare_blocks(pa.Table.from_batches(held).combine_chunks(), link, every))
 
-    return spread.mapInArrow(batches, "a long, b long").distinct()
+    return spread.mapInArrow(batches, "group long, a long, b long")
 
 
 CHUNK_ROWS = 16_384
@@ -354,9 +357,9 @@ CHUNK_ROWS = 16_384
 CHUNK_PAIRS = 1 << 17
 
 
-def _as_pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+def _as_pairs(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    pairs = np.array(found, dtype=np.int64).reshape(-1, 3)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in range(3)], names=["group", "a", "b"])
 
 
 def _changes(table: pa.Table, keys: list[str]) -> np.ndarray:
@@ -371,8 +374,8 @@ def _last_start(table: pa.Table, keys: list[str]) -> int:
     return int(_changes(table, keys)[-1])
 
 
-def compare_blocks(table: pa.Table, link: Link, every: bool) -> list[tuple[int, int]]:
-    """The pairs of whole blocks (see ``block_pairs``), sorted by block, size and node."""
+def compare_blocks(table: pa.Table, link: Link, every: bool) -> list[tuple[int, int, int]]:
+    """(group, node, node) of whole blocks (see ``block_pairs``), sorted by block, size and node."""
     starts = _changes(table, ["group", "low", "high"])
     count = table.num_rows
     block = np.zeros(count, dtype=np.int64)
@@ -399,7 +402,8 @@ def compare_blocks(table: pa.Table, link: Link, every: bool) -> list[tuple[int,
             folded[width] = place, np.stack([fold(raw[i], width) for i in rows.tolist()])
         return folded[width]
 
-    found: list[tuple[int, int]] = []
+    group = table["group"].to_numpy()
+    found: list[tuple[int, int, int]] = []
     ends = np.cumsum(many)
     low = 0
     while low < count:
@@ -418,7 +422,7 @@ def compare_blocks(table: pa.Table, link: Link, every: bool) -> list[tuple[int,
                 may[part] = bits <= link.most_difference(n[i[part]], n[j[part]])
         for x, y in zip(i[may].tolist(), j[may].tolist()):
             if every or root[piece[x]] != root[piece[y]]:
-                found.append((int(node[x]), int(node[y])))
+                found.append((int(group[x]), int(node[x]), int(node[y])))
             if not every and root[piece[x]] != root[piece[y]]:
                 root[root == root[piece[y]]] = root[piece[x]]
         low = high
@@ -512,10 +516,10 @@ def similar_components(docs: DataFrame, link: Link = Link()) -> DataFrame:
     near = work.save(plausible(spokes, nodes, link), "near")
 
     # groups that their hubs don't hold together, in blocks
-    sketched = lambda members: members.join(nodes.select("node", "bits"), "node")
     stars = near.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("piece"))
-    first = block_pairs(sketched(open_groups(in_pieces(grouped, stars))), link, every=False)
-    pairs = work.save(near.unionByName(first).distinct(), "pairs")
+    starred = in_pieces(grouped.select("token", "node", "n"), stars)
+    found = work.save(block_pairs(open_groups(starred), nodes, link, every=False), "found")
+    pairs = work.save(near.unionByName(found.select("a", "b")).distinct(), "pairs")
 
     # verify what holds the groups together
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -524,8 +528,14 @@ def similar_components(docs: DataFrame, link: Link = Link()) -> DataFrame:
     labels = connected_components(checked.where("linked").select("a", "b"), work, "links")
     labels = labels.withColumnRenamed("component", "piece")
 
-    # pairs across the pieces that are still not ruled out: all of them are verified
-    left = block_pairs(sketched(open_groups(in_pieces(grouped, labels))), link, every=True)
+    # Pairs across the pieces that may still link are all verified. They can only be in groups
+    # that reported a pair before, or whose members a hub held together and no longer does.
+    named = labels.select("node", F.col("piece").alias("true_piece"))
+    real = work.save(starred.join(named, "node", "left").withColumn("true_piece", F.coalesce("true_piece", "node")), "real")
+    broken = real.groupBy("token", "piece").agg(F.min("true_piece").alias("least"), F.max("true_piece").alias("most"))
+    again = broken.where("least < most").select("token").unionByName(found.select(F.col("group").alias("token"))).distinct()
+    real = real.join(again, "token").select("token", "node", "n", F.col("true_piece").alias("piece"))
+    left = block_pairs(open_groups(real), nodes, link, every=True).select("a", "b").distinct()
     known = checked.select("a", "b").unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
     late = verified(left.join(known, ["a", "b"], "left_anti"), sets, link).where("linked").select("a", "b")
 
