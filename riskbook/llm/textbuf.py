@@ -35,7 +35,7 @@ _POWERS = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse modulo 2**64."""
     if len(_POWERS[0]) < n:
-        size = max(n, SLICE_BYTES)
+        size = max(n * 3 // 2, 1 << 16)
         for i, base in enumerate((int(_BASE), pow(int(_BASE), -1, 1 << 64))):
             steps = np.full(size, base, dtype=np.uint64)
             steps[0] = 1

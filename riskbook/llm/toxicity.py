@@ -20,7 +20,6 @@ if there is none); null labels are left out; repeated rows are scored each.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -54,6 +53,8 @@ PATTERNS = [(i, j) for i in range(1, SPAN - 1) for j in range(1, SPAN - i)]
 SENTENCE_WORDS = 64
 #: Sentences of a document that its score hangs on.
 TOP = 3
+#: Bytes of text that fitting works on at once.
+FIT_BYTES = 1 << 19
 ENDS_SENTENCE = np.zeros(256, dtype=bool)
 ENDS_SENTENCE[[ord(c) for c in ".!?"]] = True
 
@@ -144,6 +145,7 @@ class Sentences:
         flat = code[solid]
         hashes = span_hashes(_SIGN_HASH[flat], begin, begin + sizes)
         self.number, forms = pd.factorize(hashes)
+        self.hashes = forms
         where = np.empty(len(forms), dtype=np.int64)
         where[self.number[::-1]] = np.arange(len(self.number))[::-1]
         bounds = np.append(0, np.cumsum(sizes[where] + 2))
@@ -235,7 +237,7 @@ class Machine:
 class Options:
     """``most_rows`` bounds the labelled sample; landmarks are letters-only words of its toxic texts."""
 
-    most_rows: int = 6000
+    most_rows: int = 4000
     landmarks: int = 48
     least_docs: int = 4
     rounds: int = 5
@@ -267,19 +269,29 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray, options: Options) -> l
 
     Words that resemble one chosen before add nothing and are passed over.
     """
-    counts = [Counter(), Counter()]
+    n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
+    seen: list[list[np.ndarray]] = [[], []]  # hashes of the distinct words of each text, by label
     base = 0
-    for part in text_slices(pa.array(texts, pa.string())):
+    for part in text_slices(pa.array(texts, pa.string()), FIT_BYTES):
         x = Sentences(part)
-        keys = x.words.keys()
         pairs = pd.DataFrame({"row": x.rows[x.sentence], "word": x.number}).drop_duplicates()
         marks = toxic[pairs["row"].to_numpy() + base]
         for t in (0, 1):
-            numbers, times = np.unique(pairs["word"].to_numpy()[marks == t], return_counts=True)
-            counts[t].update({keys[w]: int(c) for w, c in zip(numbers.tolist(), times.tolist())})
+            seen[t].append(x.hashes[pairs["word"].to_numpy()[marks == t]])
         base += part.n
-    clean, bad = counts
-    n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
+    times = [
+        pd.Series(n, index=h)
+        for h, n in (np.unique(np.concatenate(s), return_counts=True) for s in seen)
+    ]
+    # only words of several texts are looked at by name
+    several = {h for t in times for h in t.index[t.to_numpy() >= options.least_docs].tolist()}
+    names: dict[int, bytes] = {}
+    for part in text_slices(pa.array(texts, pa.string()), FIT_BYTES):
+        x = Sentences(part)
+        new = [i for i, h in enumerate(x.hashes.tolist()) if h in several and h not in names]
+        names.update(zip(x.hashes[new].tolist(), x.words.pick(np.array(new, dtype=np.int64)).keys()))
+    clean, bad = ({names[h]: int(n) for h, n in t.items() if h in names} for t in times)
+    clean, bad = Counter(clean), Counter(bad)
 
     def lean(w: bytes) -> float:
         a, b = bad[w] / n1, clean[w] / n0
@@ -299,11 +311,11 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray, options: Options) -> l
 def _spread(words: list[bytes], most: int, alike: float = 0.5) -> list[bytes]:
     """The first words of which none is much like an earlier one."""
     chosen: list[bytes] = []
-    for w in words:
-        if len(chosen) == most:
-            break
-        if not chosen or Kernel(chosen).dense(Words.of([w])).max() < alike:
-            chosen.append(w)
+    left = list(words)
+    while left and len(chosen) < most:
+        chosen.append(left[0])
+        near = Kernel(left[:1]).dense(Words.of(left))[:, 0]
+        left = [w for w, k in zip(left[1:], near[1:]) if k < alike]
     return chosen
 
 
@@ -311,28 +323,35 @@ def _svm(x: np.ndarray, y: np.ndarray, penalty: float) -> np.ndarray:
     """Linear machine with squared hinge loss, classes weighing the same; the last entry is the bias.
 
     The loss is convex and the space small, so a few Newton steps over the rows inside the
-    margin solve it exactly and alike in every run.
+    margin solve it exactly and alike in every run. Rows are gone through in blocks.
     """
-    x = np.hstack([x, np.ones((len(x), 1))])
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    ridge = penalty * np.eye(x.shape[1])
+    size = x.shape[1] + 1
+    ridge = penalty * np.eye(size)
     ridge[-1, -1] = 1e-9
 
+    def margins(w: np.ndarray) -> np.ndarray:
+        return x @ w[:-1].astype(x.dtype) + w[-1]
+
     def loss(w: np.ndarray) -> float:
-        return float((weight * np.maximum(0, 1 - y * (x @ w)) ** 2).sum() + w @ ridge @ w)
+        return float((weight * np.maximum(0, 1 - y * margins(w)) ** 2).sum() + w @ ridge @ w)
 
-    w = np.zeros(x.shape[1])
+    w = np.zeros(size)
     for _ in range(60):
-        slack = 1 - y * (x @ w)
-        inside = slack > 0
-        xi, wi = x[inside], weight[inside]
-        gradient = -(xi * (wi * y[inside] * slack[inside])[:, None]).sum(axis=0) + ridge @ w
-        step = np.linalg.solve((xi * wi[:, None]).T @ xi + ridge + 1e-10 * np.eye(len(w)), gradient)
-        size, now = 1.0, loss(w)
-        while size > 1e-4 and loss(w - size * step) > now:
-            size /= 2
-        w = w - size * step
-        if np.abs(size * step).max() < 1e-7:
+        slack = 1 - y * margins(w)
+        gradient, curvature = ridge @ w, ridge + 1e-10 * np.eye(size)
+        inside = np.flatnonzero(slack > 0)
+        for low in range(0, len(inside), 8192):
+            i = inside[low : low + 8192]
+            rows = np.column_stack([x[i], np.ones(len(i))]).astype(np.float64)
+            gradient -= rows.T @ (weight[i] * y[i] * slack[i])
+            curvature += (rows * weight[i, None]).T @ rows
+        step = np.linalg.solve(curvature, gradient)
+        part, now = 1.0, loss(w)
+        while part > 1e-4 and loss(w - part * step) > now:
+            part /= 2
+        w = w - part * step
+        if np.abs(part * step).max() < 1e-6:
             break
     return w
 
@@ -377,21 +396,24 @@ def fit(texts: list[str], toxic: list[int], options: Options = Options()) -> Mac
     whiten = vectors[:, keep] / np.sqrt(values[keep])
     vectors_of, doc_of = [], []
     base = 0
-    for part in text_slices(pa.array(texts, pa.string())):
+    for part in text_slices(pa.array(texts, pa.string()), FIT_BYTES):
         x = Sentences(part)
-        by_word = kernel.dense(x.words) @ whiten
-        z = np.zeros((len(x.rows), whiten.shape[1]))
+        near, k = kernel.to(x.words)
+        by_word = np.zeros((len(x.words.sizes), whiten.shape[1]), dtype=np.float32)
+        by_word[near] = k @ whiten
+        z = np.zeros((len(x.rows), whiten.shape[1]), dtype=np.float32)
         for d in range(whiten.shape[1]):
             z[:, d] = np.bincount(x.sentence, by_word[x.number, d], minlength=len(x.rows))
         vectors_of.append(z)
         doc_of.append(x.rows + base)
         base += part.n
     z, doc = np.concatenate(vectors_of), np.concatenate(doc_of)
+    vectors_of.clear()
     label = y[doc]
     chosen = np.ones(len(z), dtype=bool)
     for _ in range(options.rounds):
         w = _svm(z[chosen], np.where(label[chosen] == 1, 1.0, -1.0), options.penalty)
-        margin = z @ w[:-1] + w[-1]
+        margin = z @ w[:-1].astype(np.float32) + w[-1]
         best = np.full(len(y), -np.inf)
         np.maximum.at(best, doc, margin)
         # of a toxic document, the highest sentence; of the others, all
@@ -419,7 +441,3 @@ def score_text(machine: Machine, text: str = "text"):
             yield pa.array(np.concatenate(found) if found else np.zeros(0))
 
     return score(F.col(text))
-
-
-def crc_remainder(doc_id: int) -> int:
-    return zlib.crc32(str(doc_id).encode()) % 5
