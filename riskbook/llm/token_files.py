@@ -3,8 +3,8 @@
 Texts are range-partitioned by id and sorted, encoded by the tokenizers library (each distinct
 piece of the pre-tokenizer once), closed with an end id, and cut into shards of whole documents.
 A shard's ids are compressed by a grammar: the most frequent pairs of neighbours
-are replaced by new symbols, round after round, with all pairs of a round that don't overlap
-replaced together. Pairs never reach over the end of a document, so every document is a run
+are replaced by new symbols, round after round until no pair occurs often enough to pay for its
+rule, with all pairs of a round that don't overlap replaced together. Pairs never reach over the end of a document, so every document is a run
 of symbols of its own. A shard holds the rules, the length each symbol expands to, and where
 documents start, so a span of ids is decoded without touching the rest.
 
@@ -44,8 +44,10 @@ from .workspace import Workspace
 LINES = 100
 VOCABULARY = 1 << 16
 SHARD_IDS = 1 << 20
-ROUNDS, ROUND_RULES, LEAST_COUNT = 5, 4096, 4
-_SPREAD = np.int64(0x1E3779B97F4A7C15)
+#: A rule takes 12 bytes of a shard and saves 3 at each place, so pairs pay from four places on.
+LEAST_COUNT = 4
+#: A round takes the pairs with at least this share of the most frequent one's occurrences.
+ROUND_SHARE = 0.25
 HEAD = struct.Struct("<4sIIIQ")
 
 
@@ -102,69 +104,119 @@ def library_encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
-def _apart(rank: np.ndarray, none: int) -> np.ndarray:
-    """Positions of pairs to replace together: no two overlap, and the lower rank goes first."""
-    taken = np.zeros(len(rank), dtype=bool)
-    for _ in range(2):
-        low = rank < none
-        low[1:] &= rank[1:] <= rank[:-1]
-        low[:-1] &= rank[:-1] <= rank[1:]
-        at = np.flatnonzero(low)
-        # in a run of equal pairs, every other one
-        starts = np.append(True, np.diff(at) > 1)
-        number = np.arange(len(at))
-        at = at[(number - np.maximum.accumulate(np.where(starts, number, 0))) % 2 == 0] if len(at) else at
-        taken[at] = True
-        rank[at] = none
-        rank[at[at > 0] - 1] = none
-        rank[at[at < len(rank) - 1] + 1] = none
-    return np.flatnonzero(taken)
+class Pairs:
+    """The pairs of neighbours of a shard, how often each occurs, and where.
+
+    A pair is counted once, when its younger symbol is made: all its occurrences begin in that
+    round, and later rounds only end some. So a pair that begins too rare stays too rare.
+    """
+
+    def __init__(self) -> None:
+        self.keys = self.counts = self.starts = self.sizes = self.places = self.open = np.zeros(0, dtype=np.int64)
+
+    def add(self, at: np.ndarray, left: np.ndarray, right: np.ndarray, pair: np.ndarray) -> None:
+        """Take in the new pairs that begin at ``at``, and write their numbers to ``pair``."""
+        if not len(at):
+            return
+        wide, deep = int(max(left.max(), right.max())).bit_length(), int(at.max()).bit_length()
+        key = left << wide | right
+        if 2 * wide + deep < 64:  # one sort of plain numbers is several times faster than its order
+            key = np.sort(key << deep | at)
+            key, at = key >> deep, key & ((1 << deep) - 1)
+        else:
+            order = np.argsort(key)
+            key, at = key[order], at[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        sizes = np.diff(np.append(first, len(key)))
+        often = sizes >= LEAST_COUNT
+        at, key, sizes = at[np.repeat(often, sizes)], key[first[often]], sizes[often]
+        numbers = np.arange(len(self.keys), len(self.keys) + len(key))
+        pair[at] = np.repeat(numbers, sizes)
+        self.keys = np.append(self.keys, key >> wide << 32 | key & ((1 << wide) - 1))
+        self.counts, self.sizes = np.append(self.counts, sizes), np.append(self.sizes, sizes)
+        self.starts = np.append(self.starts, len(self.places) + np.cumsum(sizes) - sizes)
+        self.places, self.open = np.append(self.places, at), np.append(self.open, numbers)
+
+    def frequent(self) -> np.ndarray:
+        """The pairs of this round, the most frequent first; none when no pair pays any more."""
+        self.open = self.open[self.counts[self.open] >= LEAST_COUNT]
+        counts = self.counts[self.open]
+        best = self.open[counts >= counts.max(initial=0) * ROUND_SHARE]
+        return best[np.lexsort((self.keys[best], -self.counts[best]))]
+
+
+def _alternate(at: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Which of ``at`` to take, so that of a run of overlapping pairs it is every other one."""
+    starts = np.append(True, after[at[:-1]] != at[1:])[: len(at)]
+    number = np.arange(len(at))
+    return (number - np.maximum.accumulate(np.where(starts, number, 0))) % 2 == 0
 
 
 def compress(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, rules, first symbol of each document) of documents ``ids[bounds[i]:bounds[i+1]]``."""
-    symbols = ids.astype(np.int64)
-    closing = np.zeros(len(symbols), dtype=bool)  # last symbol of a document
-    closing[bounds[1:][np.diff(bounds) > 0] - 1] = True
+    """(symbols, rules, first symbol of each document) of documents ``ids[bounds[i]:bounds[i+1]]``.
+
+    Rounds go on until no pair has ``LEAST_COUNT`` occurrences that don't overlap. A round costs
+    what it replaces: symbols are linked, and only pairs beside a new symbol are counted anew.
+    """
+    n = len(ids)
+    symbols = np.append(ids, 0).astype(np.int64)
+    after, before = np.arange(1, n + 2), np.arange(-1, n)  # n: nothing there
+    filled = np.diff(bounds) > 0
+    after[np.append(bounds[1:][filled] - 1, n)] = n
+    before[np.append(bounds[:-1][filled], n)] = n
+    pair = np.full(n + 1, -1)
+    alive = np.append(np.ones(n, dtype=bool), False)
+    new = np.append(np.zeros(n, dtype=bool), True)
+    none = np.iinfo(np.int64).max
+    rank = np.full(n + 1, none)
+    pairs = Pairs()
+    at = np.flatnonzero(after < n)
+    pairs.add(at, symbols[at], symbols[at + 1], pair)
     rules: list[np.ndarray] = []
     made = 0
-    for _ in range(ROUNDS):
-        if len(symbols) < 2:
-            break
-        key = symbols[:-1] << 32 | symbols[1:]
-        open_pairs = ~closing[:-1]
-        ordered = np.sort(key[open_pairs])
-        if not len(ordered):
-            break
-        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        times = np.diff(np.append(first, len(ordered)))
-        often = np.flatnonzero(times >= LEAST_COUNT)
-        if not len(often):
-            break
-        best = often[np.lexsort((ordered[first[often]], -times[often]))][:ROUND_RULES]
-        pairs = ordered[first[best]]  # the most frequent first
-        # a pair that meets a more frequent one in the look-up table waits for the next round
-        table = np.full(1 << 18, len(pairs), dtype=np.int32)
-        place = lambda x: (x * _SPREAD) >> 46 & 0x3FFFF
-        table[place(pairs)[::-1]] = np.arange(len(pairs), dtype=np.int32)[::-1]
-        rank = table[place(key)]
-        rank[~(open_pairs & (np.append(pairs, -1)[rank] == key))] = len(pairs)
-        first_rank = rank.copy()
-        taken = _apart(rank, len(pairs))
-        used, number = np.unique(first_rank[taken], return_inverse=True)
-        rules.append(np.stack([pairs[used] >> 32, pairs[used] & 0xFFFFFFFF], axis=1))
-        symbols[taken] = VOCABULARY + made + number
-        made += len(used)
-        closing[taken] = closing[taken + 1]
-        keep = np.ones(len(symbols), dtype=bool)
-        keep[taken + 1] = False
-        symbols, closing = symbols[keep], closing[keep]
-    starts = np.zeros(len(bounds) - 1, dtype=np.int64)
-    filled = np.diff(bounds) > 0
-    ends = np.append(0, np.flatnonzero(closing) + 1)
-    starts[filled] = ends[:-1]
-    starts[~filled] = ends[np.cumsum(filled)[~filled]]
-    return symbols, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), starts
+    while len(chosen := pairs.frequent()):
+        sizes = pairs.sizes[chosen]
+        at = pairs.places[ranges(pairs.starts[chosen], sizes)]
+        valid = pair[at] == np.repeat(chosen, sizes)
+        both = np.sort(at[valid] << 32 | np.repeat(np.arange(len(chosen)), sizes)[valid])
+        at, number = both >> 32, both & 0xFFFFFFFF
+        # of pairs that overlap the more frequent goes first; the others wait for a later round
+        rank[at] = number
+        low = (number <= rank[before[at]]) & (number <= rank[after[at]])
+        rank[at] = none
+        twins = symbols[at] == symbols[after[at]]
+        if twins.any():  # runs of one symbol have fewer pairs that don't overlap than pairs
+            own = number[twins]
+            apart = np.bincount(own[_alternate(at[twins], after)], minlength=len(chosen))
+            pairs.counts[chosen[own[apart[own] < LEAST_COUNT]]] = 0
+        at, number = at[low], number[low]
+        apart = _alternate(at, after)
+        at, number = at[apart], number[apart]
+        pays = np.bincount(number, minlength=len(chosen)) >= LEAST_COUNT
+        at, number = at[pays[number]], number[pays[number]]
+        if not len(at):
+            continue
+        keys = pairs.keys[chosen[pays]]
+        rules.append(np.stack([keys >> 32, keys & 0xFFFFFFFF], axis=1))
+        gone, ahead = after[at], before[at]
+        alive[gone] = False
+        ended = np.concatenate([at, gone, ahead[alive[ahead]]])
+        lost = pair[ended]
+        pairs.counts -= np.bincount(lost[lost >= 0], minlength=len(pairs.counts))
+        pair[ended] = -1
+        symbols[at] = VOCABULARY + made + (np.cumsum(pays) - 1)[number]
+        made += len(keys)
+        after[at] = after[gone]
+        before[after[at]] = at
+        before[n] = n
+        new[at] = True
+        ahead = before[at]
+        begun = np.concatenate([at, ahead[~new[ahead]]])
+        new[at] = False
+        begun = begun[after[begun] < n]
+        pairs.add(begun, symbols[begun], symbols[after[begun]], pair)
+    starts = np.append(0, np.cumsum(alive[:-1]))[bounds[:-1]]
+    return symbols[alive], np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), starts
 
 
 def expansions(rules: np.ndarray) -> np.ndarray:
@@ -223,15 +275,16 @@ class Shard:
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         """The ids that symbols stand for; all rules of one depth are opened at once."""
-        while len(symbols) and symbols.max() >= VOCABULARY:
+        ends = np.cumsum(self.lengths[symbols])
+        out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.int32)
+        place = ends - self.lengths[symbols]
+        while len(symbols):
             rule = symbols >= VOCABULARY
-            counts = 1 + rule
-            out = np.repeat(symbols, counts)
-            at = (np.cumsum(counts) - counts)[rule]
-            pairs = self.rules[symbols[rule] - VOCABULARY]
-            out[at], out[at + 1] = pairs[:, 0], pairs[:, 1]
-            symbols = out
-        return symbols.astype(np.int32)
+            out[place[~rule]] = symbols[~rule]
+            left, right = self.rules[symbols[rule] - VOCABULARY].T
+            place = place[rule]
+            symbols, place = np.concatenate([left, right]), np.concatenate([place, place + self.lengths[left]])
+        return out
 
     def document(self, i: int) -> np.ndarray:
         return self.expand(self.symbols[self.first_symbol[i] : self.first_symbol[i + 1]])

@@ -49,6 +49,40 @@ def test_frequent_pairs_become_rules():
     assert (f.Shard(f.write_shard(runs, np.array([0, 999]))).document(0) == runs).all()
 
 
+def pairs_left(symbols, starts):
+    """The most occurrences, none overlapping, that any pair of neighbours still has."""
+    counts, last = {}, {}
+    for i, (a, b) in enumerate(zip(symbols, symbols[1:])):
+        if i + 1 not in starts and not (a == b and last.get(a) == i - 1):
+            counts[a, b] = counts.get((a, b), 0) + 1
+            last[a] = i if a == b else None
+    return max(counts.values(), default=0)
+
+
+@pytest.mark.parametrize("alphabet", [1, 2, 40, 3000])
+def test_no_pair_that_pays_is_left(alphabet):
+    rng = np.random.default_rng(alphabet)
+    lengths = rng.integers(0, 400, 60)
+    ids = rng.integers(0, alphabet, lengths.sum())
+    ids[ids % 3 == 0] = 0
+    bounds = np.append(0, np.cumsum(lengths))
+    symbols, rules, starts = f.compress(ids, bounds)
+    assert pairs_left(symbols.tolist(), set(starts.tolist())) < f.LEAST_COUNT
+    shard = f.Shard(f.write_shard(ids, bounds))
+    assert (shard.expand(shard.symbols) == ids).all()
+    assert len(shard.symbols) * 3 + len(rules) * 12 <= len(ids) * 3
+
+
+def test_a_passage_in_many_documents_becomes_one_symbol():
+    rng = np.random.default_rng(4)
+    passage = rng.permutation(50_000)[:1000]
+    docs = [np.concatenate([rng.integers(50_000, 60_000, 5), passage, [2]]) for _ in range(9)]
+    bounds = np.append(0, np.cumsum([len(d) for d in docs]))
+    shard = f.Shard(f.write_shard(np.concatenate(docs), bounds))
+    assert shard.lengths.max() >= 1000 and len(shard.symbols) <= 9 * 7
+    assert all((shard.document(i) == d).all() for i, d in enumerate(docs))
+
+
 def expected(rows, library):
     out, start = [], 0
     for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
