@@ -16,11 +16,16 @@ Equal vectors are one row with their smallest ids, as many as a query can return
 with any number of copies costs one row. For vectors of unequal length an extra coordinate
 turns the largest inner product into the smallest distance.
 
+Distinct vectors are numbered by their smallest id, so that those tied at the cut leave in the
+order of the result. Where no id has two vectors, a query needs k + 1 of them: each but its own
+class brings an id no larger than what comes after. Where an id has up to m different vectors, m
+classes may bring the same id and score or the query's own id, so (k + 1) m are kept.
+
 Scores are sums of products in double precision, added in the order of the coordinates.
 
-Defined cases: vectors null, zero or with null or non-finite components take no part, nor do
+Defined cases: ids are numbers; vectors null, zero or with null or non-finite components take no part, nor do
 those whose length is not the most common one (of equally common ones the smallest); rows that
-repeat both id and vector count once; two rows with one id and different vectors are both
+repeat both id and vector count once; vectors without an id are neither queries nor neighbours; two rows with one id and different vectors are both
 candidates, but never for a query of that id, and each of them as a query has its own list.
 """
 
@@ -187,13 +192,14 @@ class _Best:
     def see(self, numbers: np.ndarray, block: np.ndarray) -> None:
         centre = block.mean(axis=0)
         radius = np.sqrt(((block - centre) ** 2).sum(axis=1).max())
-        need = np.maximum(self.reach, self.scores[:, -1])
-        may = np.flatnonzero(self.vectors @ centre + self.lengths * radius * (1 + 1e-9) >= need)
+        # the slack is far above what rounding can take from a sum, so that no tie is lost to it
+        slack = 1e-9 * self.lengths * np.sqrt((block**2).sum(axis=1).max())
+        need = np.maximum(self.reach, self.scores[:, -1]) - slack
+        may = np.flatnonzero(self.vectors @ centre + self.lengths * radius >= need)
         if not len(may):
             return
         near = self.vectors[may] @ block.T
-        slack = 1e-9 * np.abs(need[may])
-        row, column = np.nonzero(near >= (need[may] - slack)[:, None])
+        row, column = np.nonzero(near >= need[may, None])
         if not len(row):
             return
         exact = products(self.vectors[may[row]], block[column])
@@ -250,17 +256,24 @@ def nearest(
     """
     work = Workspace(vectors.sparkSession, "ann")
     good = work.save(usable(vectors, vec_id, vector), "good")
-    found = work.save(classes(good, k), "classes")
-    # distinct vectors get numbers from 0, by counts of buckets
-    bucketed = found.withColumn("bucket", F.pmod(F.col("node.a"), F.lit(BUCKETS))).withColumn("one", F.lit(1))
-    numbered = _running(bucketed, [], "bucket", [F.col("node")], "one")
+    good = good.where("vec_id is not null")
+    found = work.save(classes(good, k), "classes").withColumn("least", F.col("ids")[0]).withColumn("one", F.lit(1))
+    # distinct vectors get numbers from 0 in the order of their smallest ids, by counts of ranges
+    steps = [i / BUCKETS for i in range(1, BUCKETS)]
+    bounds = found.agg(F.percentile_approx("least", steps, 10_000).alias("bounds"))
+    ranged = found.crossJoin(F.broadcast(bounds)).withColumn(
+        "range", F.size(F.filter(F.array_distinct("bounds"), lambda b: b < F.col("least")))
+    )
+    numbered = _running(ranged.drop("bounds"), [], "range", [F.col("least"), F.col("node")], "one")
     nodes = work.save(numbered.select((F.col("running") - 1).alias("number"), "node", "vector", "ids"), "nodes")
     asked = good.where(is_query).select(F.col("vec_id").alias("query_id"), F.struct(
         F.xxhash64("vector", F.lit(1)).alias("a"), F.xxhash64("vector", F.lit(2)).alias("b")).alias("node"))
     asked = work.save(asked.join(nodes.select("node", "number"), "node").select("query_id", "number"), "asked")
     longest = nodes.agg(F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)).alias("m")).first()["m"]
     queries = asked.select("number").distinct()
-    keep = k + 1  # a query's own class may hold nothing but itself
+    # an id counts once for each of its vectors, and a query's own classes may hold nothing but itself
+    most = good.groupBy("vec_id").count().agg(F.max("count").alias("m")).first()["m"]
+    keep = (k + 1) * (most or 1)
 
     position = work.save(placed(nodes.select("number", "vector"), float(longest or 1.0) ** 0.5, orders), "placed")
     half = orders.block // 2

@@ -46,6 +46,21 @@ def test_exact_with_copies_lengths_and_bad_vectors(frame):
     assert got == brute(rows, lambda q: q % 4 == 0, 5)
 
 
+def test_ties_of_different_vectors_go_to_smaller_ids(frame):
+    rng = np.random.default_rng(2)
+    ids = rng.permutation(400)
+    rows = [(int(i), [float(x) for x in v]) for i, v in zip(ids, rng.integers(0, 2, (400, 10)))]
+    rows += [(None, [1.0] * 10)] * 3 + [(None, [1.0] * 9 + [2.0])]
+    assert found(frame(rows, SCHEMA)) == brute([r for r in rows if r[0] is not None], lambda q: q % 4 == 0, 5)
+
+
+def test_one_id_with_many_vectors(frame):
+    rng = np.random.default_rng(3)
+    rows = [(8, [9.0, float(i)]) for i in range(30)] + [(9, [8.0, float(i % 15)]) for i in range(30)]
+    rows += [(100 + i, rng.uniform(0, 8, 2).astype(np.float32).tolist()) for i in range(60)]
+    assert found(frame(rows, SCHEMA)) == brute(rows, lambda q: q % 4 == 0, 5)
+
+
 def test_fewer_candidates_than_asked(frame):
     rows = [(0, [1.0, 0.0]), (4, [0.0, 1.0]), (5, [1.0, 1.0])]
     assert found(frame(rows, SCHEMA)) == brute(rows, lambda q: q % 4 == 0, 5)
