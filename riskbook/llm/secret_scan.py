@@ -5,6 +5,13 @@ keyboard walks, sequences and brute-force spans so that the product of the guess
 parts is smallest (a shortest path over the value's positions). Values that need many guesses
 are secrets; placeholders such as "password: changeme123" need few and are no finding.
 
+Words are ranked by how many documents of the table hold them, over the whole table, beside a
+fixed list of words common in passwords; the lower rank counts. A word is a run of ``LEAST_LETTERS``
+to ``MOST_LETTERS`` letters in any script, lower-cased. It is ranked if at least ``LEAST_DOCS``
+documents hold it and it is among the words above the lowest count that at most ``MOST_WORDS`` words
+reach. So what is sent to executors never exceeds MOST_WORDS words of MOST_LETTERS letters,
+at four bytes each below 10 MB. Scripts without spaces have only their whole runs as words.
+
 Defined cases: a null text is empty; positions count code points; spans are half-open; a
 document without findings keeps its row with no spans; repeated rows are scanned each.
 """
@@ -14,12 +21,16 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .workspace import Workspace
 
 #: The formats to find (fixed values); the numbers are the group to measure and its least length.
 FORMATS = (
@@ -47,7 +58,12 @@ WORDS = (
     "false enter insert replace string change company computer internet service account private public"
 ).split()
 RANK = {w: i for i, w in enumerate(WORDS, 1)}
-LONGEST_WORD = max(map(len, WORDS))
+#: Words of the table: their letters, the documents that must hold them, and how many are ranked.
+LEAST_LETTERS, MOST_LETTERS = 3, 24
+LEAST_DOCS, MOST_WORDS = 5, 100_000
+#: Words that a task counts before it passes their counts on.
+HELD_WORDS = 200_000
+LETTERS = re.compile(r"[^\W\d_]+")
 SWAPS = str.maketrans("@4310$57!", "aaeiossti")
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 DATE = re.compile(r"(?:(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01]))?|(?:0?[1-9]|[12]\d|3[01])[-/._](?:0?[1-9]|1[0-2])[-/._](?:19|20)?\d\d)")
@@ -89,8 +105,9 @@ def _run_ends(goes_on: list[bool]) -> list[int]:
 class Parts:
     """The cheap parts of a value; everything but the words is found in one pass over it."""
 
-    def __init__(self, value: str):
+    def __init__(self, value: str, ranks: Mapping[str, int] = RANK):
         lower = value.lower()
+        self.ranks = ranks
         self.value, self.lower = value, lower if len(lower) == len(value) else value
         self.plain = self.lower.translate(SWAPS)
         low = self.lower
@@ -106,8 +123,8 @@ class Parts:
     def at(self, start: int) -> Iterator[tuple[int, float, str]]:
         """(end, log10 guesses, kind) of the parts that begin at ``start``."""
         value, low = self.value, self.lower
-        for end in range(start + 3, min(len(value), start + LONGEST_WORD) + 1):
-            rank = RANK.get(low[start:end]) or 2 * RANK.get(self.plain[start:end], 0)
+        for end in range(start + 3, min(len(value), start + MOST_LETTERS) + 1):
+            rank = self.ranks.get(low[start:end]) or 2 * self.ranks.get(self.plain[start:end], 0)
             if rank:
                 yield end, math.log10(rank + 1) + 0.5 * (value[start:end] != low[start:end]), "word"
         if m := DATE.match(value, start):
@@ -122,13 +139,13 @@ class Parts:
             yield end, math.log10(47 * (end - start)) + 0.3 * turns, "walk"
 
 
-def guess_cost(value: str) -> tuple[float, list[tuple[str, str]]]:
+def guess_cost(value: str, ranks: Mapping[str, int] = RANK) -> tuple[float, list[tuple[str, str]]]:
     """log10 of the fewest guesses over all segmentations, and the best segmentation.
 
     Time is linear in the value's length: runs are taken whole, and a brute-force part
     grows by one sign at a time.
     """
-    n, found = len(value), Parts(value)
+    n, found = len(value), Parts(value, ranks)
     best = [math.inf] * (n + 1)
     back: list[tuple[int, str]] = [(0, "")] * (n + 1)
     best[0] = 0.0
@@ -173,16 +190,55 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def guessed_spans(text: str, options: ScanOptions) -> list[tuple[int, int, int]]:
+def guessed_spans(text: str, options: ScanOptions, ranks: Mapping[str, int] = RANK) -> list[tuple[int, int, int]]:
     """Values in credential contexts that need many guesses, as format number 3."""
     out = []
     for m in CONTEXT.finditer(text):
         value = m.group(1).rstrip(".,;:)]}>")
-        if len(value) >= options.least_signs and guess_cost(value)[0] >= options.least_guesses:
+        if len(value) >= options.least_signs and guess_cost(value, ranks)[0] >= options.least_guesses:
             out.append((m.start(1), 3, m.start(1) + len(value)))
     return out
 
 
+def document_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n): how many rows of ``docs`` hold each word; tasks add up their own counts first."""
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+
+        def passed_on() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(counts, pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
+
+        for batch in source:
+            for whole in batch.column(0):
+                held = set(LETTERS.findall((whole.as_py() or "").lower()))
+                counts.update(w for w in held if LEAST_LETTERS <= len(w) <= MOST_LETTERS)
+                if len(counts) >= HELD_WORDS:
+                    yield passed_on()
+                    counts.clear()
+        yield passed_on()
+
+    return docs.select(text).mapInArrow(batches, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def word_ranks(docs: DataFrame, text: str = "text") -> dict[str, int]:
+    """Rank of the fixed words and of the words that most documents hold, at most ``MOST_WORDS``."""
+    work = Workspace(docs.sparkSession, "words")
+    counted = work.save(document_counts(docs, text).where(F.col("n") >= LEAST_DOCS), "counts")
+    # the lowest count that few enough words reach, from the words of each step of counts
+    step = F.floor(F.log2("n") * 64).cast("int")
+    steps = sorted(((r["step"], r["words"]) for r in counted.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True)
+    lowest, total = None, 0
+    for at, words in steps:
+        if (total := total + words) > MOST_WORDS:
+            break
+        lowest = at
+    kept = [] if lowest is None else [(-r["n"], r["word"]) for r in counted.where(step >= lowest).collect()]
+    work.drop("counts")
+    ranks = {w: i for i, (_, w) in enumerate(sorted(kept), 1)}
+    return ranks | {w: min(i, ranks.get(w, i)) for w, i in RANK.items()}
+
+
 KINDS = ("assign", "access", "hex", "guess")
 NO_SPANS = hashlib.sha256(b"").hexdigest()
 
@@ -197,6 +253,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text", options
     A fast search on whole columns finds the texts that can hold anything; only those are
     then read by the exact patterns. Both see whole texts.
     """
+    sent = docs.sparkSession.sparkContext.broadcast(word_ranks(docs, text))
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -213,7 +270,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text", options
                 for _, k, _ in base:
                     counts[k][i] += 1
                 digests[i] = hashlib.sha256(_said(base).encode()).hexdigest()
-                said[i] = _said(sorted(base + guessed_spans(whole, options)))
+                said[i] = _said(sorted(base + guessed_spans(whole, options, sent.value)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(digests, pa.string()), pa.array(said, pa.string())],
                 names=[id_column, "n_assign", "n_access", "n_hex", "base_sha256", "spans"],

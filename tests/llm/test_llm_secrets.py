@@ -39,6 +39,28 @@ def test_empty_table(frame):
     assert s.scan(frame([], "doc_id long, text string")).collect() == []
 
 
+def test_words_of_the_table_are_easy_to_guess(frame):
+    plain = ["our management wrote a sentence", "Management of STRASSENBAHNEN", "eine strassenbahnen management sentence"]
+    rows = [(i, plain[i % 3]) for i in range(30)]
+    clean = ["secret: management", "token: sentence", "auth: Strassenbahnen", "pin: management."]
+    hard = ["token: qzjxkvwphg", "secret: managementx9Kq2LmZ7p!w"]
+    rows += [(100 + i, t) for i, t in enumerate(clean + hard)] + [(200, None)]
+    spans = {r["doc_id"]: r["spans"] for r in s.scan(frame(rows, "doc_id long, text string")).collect()}
+    assert not any("guess" in spans[100 + i] for i in range(len(clean)))
+    assert all("guess" in spans[100 + len(clean) + i] for i in range(len(hard)))
+
+
+def test_ranks_count_documents_and_are_bounded(frame, monkeypatch):
+    monkeypatch.setattr(s, "HELD_WORDS", 3)
+    texts = ["omega " * 50] * 5 + ["alpha beta gamma"] * 6 + ["alpha beta"] * 3 + ["alpha"] * 9 + ["rare"] * 4
+    docs = frame([(t,) for t in texts], "text string")
+    assert {r["word"]: r["n"] for r in s.document_counts(docs).collect()} == {"omega": 5, "alpha": 18, "beta": 9, "gamma": 6, "rare": 4}
+    ranks = s.word_ranks(docs)
+    assert [ranks.get(w) for w in ("alpha", "beta", "gamma", "omega", "rare")] == [1, 2, 3, 4, None]
+    monkeypatch.setattr(s, "MOST_WORDS", 2)
+    assert set(s.word_ranks(docs)) - set(s.WORDS) == {"alpha", "beta"}
+
+
 def every_cost(value):
     """Cheapest segmentation by trying all, with the same parts."""
     parts, n = s.Parts(value), len(value)
