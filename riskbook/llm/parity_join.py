@@ -441,7 +441,11 @@ def sets_of(docs: DataFrame, wanted: DataFrame, link: Link) -> DataFrame:
 
     texts = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
     # an id that is not unique brings other sets along, which meet no pair
-    return texts.select("text").mapInArrow(batches, "node long, grams binary").dropDuplicates(["node"])
+    named = texts.select("text").mapInArrow(batches, "node long, grams binary")
+    # sets that only rows without an id hold are found among those rows by node
+    nameless = docs.where("doc_id is null").select("text").mapInArrow(batches, "node long, grams binary")
+    nameless = nameless.join(wanted.where("doc_id is null").select("node").distinct(), "node", "left_semi")
+    return named.unionByName(nameless).dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, link: Link) -> DataFrame:

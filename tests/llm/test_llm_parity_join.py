@@ -116,3 +116,14 @@ def test_bounds_hold_for_sketches_and_cells():
             rows, bands = np.append(rows, rows[up]), np.append(bands, bands[up] + 1)
             row, token = g.cells(rows, bands, np.zeros(0, np.uint64), link)
             assert set(token[row == 0].tolist()) & set(token[row == 1].tolist())
+
+
+def test_a_row_without_an_id_is_the_only_bridge(frame):
+    words = [f"w{i}" for i in range(130)]
+    a, b, c = (" ".join(words[i : i + 100]) for i in (0, 10, 20))
+    link = p.Link()
+    rows = [(1, a), (None, b), (3, c), (None, "other words that meet nothing at all in here")]
+    found = {r["doc_id"]: r["component_id"] for r in p.similar_components(frame(rows, "doc_id long, text string"), link).where("doc_id is not null").collect()}
+    assert found == {1: 1, 3: 1}
+    alone = p.similar_components(frame([rows[0], rows[2]], "doc_id long, text string"), link).collect()
+    assert {r["doc_id"]: r["component_id"] for r in alone} == {1: 1, 3: 3}
