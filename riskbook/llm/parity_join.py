@@ -578,6 +578,7 @@ def keep_one(docs: DataFrame, link: Link = Link()) -> DataFrame:
     gone = found.where((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
     without = F.col("doc_id").isNull()
     left = docs.join(gone, "doc_id", "left_anti")
-    again = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
-    blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return left.withColumn("_same_id", again).where(without | blank | (F.col("_same_id") == 1)).drop("_same_id")
+    again = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    passes = without | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    worded = left.where(~passes).withColumn("_same_id", again).where(F.col("_same_id") == 1).drop("_same_id")
+    return left.where(passes).unionByName(worded)

@@ -127,3 +127,10 @@ def test_a_row_without_an_id_is_the_only_bridge(frame):
     assert found == {1: 1, 3: 1}
     alone = p.similar_components(frame([rows[0], rows[2]], "doc_id long, text string"), link).collect()
     assert {r["doc_id"]: r["component_id"] for r in alone} == {1: 1, 3: 3}
+
+
+def test_blank_rows_of_an_id_leave_its_worded_row(frame):
+    rows = [(1, ""), (1, "some words of a text"), (1, "some words of a text"), (1, None), (2, " "), (None, "x y z"), (None, "x y z")]
+    kept = [tuple(r) for r in p.keep_one(frame(rows, "doc_id long, text string")).collect()]
+    wanted = [(1, ""), (1, "some words of a text"), (1, None), (2, " "), (None, "x y z"), (None, "x y z")]
+    assert sorted(kept, key=str) == sorted(wanted, key=str)
