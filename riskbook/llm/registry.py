@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shipping import ship_package
-from . import ann, bpe, chat, line_dedup, mixing, parity_join, quality, secret_scan, token_files, toxicity
+from . import (
+    ann, bpe, chat, line_dedup, mixing, parity_join, quality, secret_scan, sharding, token_files, toxicity,
+    vector_codes, whitening,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "byte_bpe_50k.json"
@@ -85,6 +88,21 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document among eight equal shards, and its shard among nine."""
+    return sharding.plan_slots(spark.read.parquet(f"{sf_dir}/documents.parquet"), [1.0] * 8)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding along the eight leading components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of every embedding, with exact errors."""
+    return vector_codes.codes(table(spark, sf_dir, "embeddings"))
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_chat": op1_chat,
@@ -97,12 +115,22 @@ def llm_queries() -> dict[str, Query]:
         "op8_toxicity": op8_toxicity,
         "op9_token_files": op9_token_files,
         "op10_lines": op10_lines,
+        "op11_shards": op11_shards,
+        "op12_whitening": op12_whitening,
+        "op13_codes": op13_codes,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def llm_oracles() -> dict[str, str]:
-    found = {"op1_chat": chat.SQL, "op3_neighbours": ann.SQL, "op6_mix": mixing.SQL, "op10_lines": line_dedup.SQL}
+    found = {
+        "op1_chat": chat.SQL,
+        "op3_neighbours": ann.SQL,
+        "op6_mix": mixing.SQL,
+        "op10_lines": line_dedup.SQL,
+        "op11_shards": sharding.SQL,
+        "op13_codes": vector_codes.SQL,
+    }
     if corpus_pipeline.ORACLE_SQL:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found
