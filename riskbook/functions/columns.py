@@ -10,13 +10,17 @@ from riskbook.schema import DEFAULT_LABEL, PAID_MARK, RECOVERY_CAP
 
 
 # The JVM also reads a trailing type letter ("5d", "5f") as a number, which no
-# loan file means, so such text is refused.
-NUMBER_SQL = r"case when not regexp_like({text}, '[dDfF]\\s*$') then try_cast({text} as double) end"
+# loan file means, so such text is refused. The text NaN is a missing number.
+NUMBER_SQL = (
+    r"case when not regexp_like({text}, '[0-9.][dDfF]\\s*$')"
+    " then nullif(try_cast({text} as double), double('NaN')) end"
+)
 
 
 def number_from_text(text: Column) -> Column:
-    """Number in the text, or NULL when it is not one."""
-    return F.when(~text.rlike(r"[dDfF]\s*$"), text.try_cast("double"))
+    """Number in the text, or NULL when it is not one (or not a number by name)."""
+    number = F.nanvl(text.try_cast("double"), F.lit(None).cast("double"))
+    return F.when(~text.rlike(r"[0-9.][dDfF]\s*$"), number)
 
 
 def parse_percent(text: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from riskbook.functions.aggregates import pearson
 from riskbook.functions.columns import bin_index_sql
 from riskbook.functions.text import quoted
+from riskbook.operators.missing import nan_to_null
 from riskbook.operators.quantiles import discrete_quantiles
 from riskbook.schema import columns_of_type
 
@@ -21,7 +22,7 @@ def pearson_pairs(
     df: DataFrame, pairs: Sequence[tuple[str, str]], strict_nulls: bool = True
 ) -> DataFrame:
     """(var_a, var_b, r) for many pairs in one pass."""
-    wide = df.agg(
+    wide = nan_to_null(df).agg(
         *[
             pearson(F.col(a), F.col(b), strict_nulls).alias(f"r{i}")
             for i, (a, b) in enumerate(pairs)
@@ -43,7 +44,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     """
     spark = df.sparkSession
     columns = list(columns or columns_of_type(df, "numeric"))
-    complete = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
+    complete = nan_to_null(df).select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
     ends = complete.agg(
         F.count(F.lit(1)).alias("n"), *[(F.min(c) == F.max(c)).alias(f"c{i}") for i, c in enumerate(columns)]
     ).first()
@@ -74,6 +75,45 @@ def correlated_pairs(matrix: DataFrame, min_abs_r: float) -> DataFrame:
     return matrix.filter((F.col("var_a") < F.col("var_b")) & (F.abs("r") >= min_abs_r))
 
 
+def prune_order(matrix: DataFrame, target: str, protected: Sequence[str] = ()) -> list[str]:
+    """The columns of a matrix by worth: the protected ones as given, then by correlation with the target.
+
+    Equal correlations (to nine digits) go by name; a column without one comes last.
+    """
+    rows = matrix.filter((F.col("var_b") == target) & (F.col("var_a") != target)).collect()
+    strength = {r["var_a"]: None if r["r"] is None else round(abs(r["r"]), 9) for r in rows}
+    first = [c for c in protected if c in strength]
+    rest = sorted(set(strength) - set(first), key=lambda c: (strength[c] is None, -(strength[c] or 0.0), c))
+    return first + rest
+
+
+def prune_correlated(
+    matrix: DataFrame, min_abs_r: float, order: Sequence[str], protected: Sequence[str] = ()
+) -> DataFrame:
+    """(column, kept_column, r): the columns that go, each with the kept one it is closest to.
+
+    Strong pairs make a graph of the columns. In the given order a column stays
+    unless it forms a strong pair (to nine digits) with one that stays already;
+    so no two of the kept ones are strong, and each that goes has a kept stand-in.
+    Protected columns always stay. The graph has at most a cell of the matrix per
+    pair and is settled on the driver.
+    """
+    strong: dict[str, dict[str, float]] = {}
+    pairs = matrix.filter((F.col("var_a") != F.col("var_b")) & (F.round(F.abs("r"), 9) >= min_abs_r))
+    for row in pairs.collect():
+        strong.setdefault(row["var_a"], {})[row["var_b"]] = row["r"]
+    kept: dict[str, None] = {}
+    gone = []
+    for c in order:
+        rivals = {k: r for k, r in strong.get(c, {}).items() if k in kept}
+        if c in protected or not rivals:
+            kept[c] = None
+            continue
+        nearest = min(rivals, key=lambda k: (-round(abs(rivals[k]), 9), k))
+        gone.append((c, nearest, rivals[nearest]))
+    return matrix.sparkSession.createDataFrame(gone, "column string, kept_column string, r double")
+
+
 def woe_table(df: DataFrame, target: str, columns: Sequence[str], bins: int = 10) -> DataFrame:
     """(variable, bin, n, n1, n0, woe, iv) against a 0/1 target.
 
@@ -82,6 +122,7 @@ def woe_table(df: DataFrame, target: str, columns: Sequence[str], bins: int = 10
     one class has woe and iv 0. Every column has the same class totals, since
     missing values are counted too; they are taken once.
     """
+    df = nan_to_null(df)
     text = [c for c in columns if c in columns_of_type(df, "character")]
     numeric = [c for c in columns if c not in text]
     shares = [f"{i}/{bins}" for i in range(1, bins)]

@@ -21,6 +21,10 @@ MAX_BUFFERS = 96
 Statistic = str | Callable[[str], str]
 
 
+def statistic_sql(stat: Statistic, name: str) -> str:
+    return stat.replace("{c}", quoted(name)) if isinstance(stat, str) else stat(name)
+
+
 def column_aggregates(
     df: DataFrame,
     columns: Sequence[str],
@@ -36,12 +40,9 @@ def column_aggregates(
     """
     size = max(1, MAX_BUFFERS // (buffers or len(stats)))
 
-    def sql(stat: Statistic, name: str) -> str:
-        return stat.replace("{c}", quoted(name)) if isinstance(stat, str) else stat(name)
-
     def batch(part: Sequence[str]) -> DataFrame:
         wide = df.selectExpr(
-            *[f"{sql(s, c)} as {n}_{i}" for i, c in enumerate(part) for n, s in stats.items()]
+            *[f"{statistic_sql(s, c)} as {n}_{i}" for i, c in enumerate(part) for n, s in stats.items()]
         )
         rows = [
             f"named_struct('column', {text_literal(c)}, "

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from riskbook.functions.columns import ratio
 from riskbook.functions.text import quoted
 from riskbook.operators.batched import Statistic, column_aggregates
+from riskbook.operators.missing import nan_to_null
 from riskbook.schema import EXCLUDED_STATUSES, MAX_NULL_SHARE, columns_of_type
 
 
@@ -51,7 +52,7 @@ def screen_stats(df: DataFrame) -> dict[str, Statistic]:
 
 def column_screen(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, null_share, is_constant) in one pass."""
-    return column_aggregates(df, list(columns or df.columns), screen_stats(df), buffers=4)
+    return column_aggregates(nan_to_null(df), list(columns or df.columns), screen_stats(df), buffers=3)
 
 
 def sparse_columns(df: DataFrame, max_null: float = MAX_NULL_SHARE) -> DataFrame:
@@ -82,12 +83,13 @@ def ratio_to(df: DataFrame, columns: Sequence[str], denominator: str) -> DataFra
 def column_means(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, mean) over the values present, all in one pass."""
     return column_aggregates(
-        df, columns, {"mean": "avg(double({c}))"}, buffers=2
+        nan_to_null(df), columns, {"mean": "avg(double({c}))"}, buffers=2
     )
 
 
 def fill_missing(df: DataFrame, values: dict[str, float | None]) -> DataFrame:
-    """Replace NULLs by a value per column, as double; without a value they stay."""
+    """Replace NULLs and NaN by a value per column, as double; without a value they stay (as NULL)."""
+    df = nan_to_null(df)
     return df.withColumns(
         {c: F.coalesce(F.col(c).cast("double"), F.lit(v).cast("double")) for c, v in values.items()}
     )

@@ -1,4 +1,7 @@
-"""Column profiles: shape, summaries, nulls, distinct values, ranges, histograms."""
+"""Column profiles: shape, summaries, nulls, distinct values, ranges, histograms.
+
+NaN counts as missing throughout.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +14,8 @@ from pyspark.sql import functions as F
 
 from riskbook.functions.columns import bin_index_sql
 from riskbook.functions.text import double_literal, quoted, text_literal
-from riskbook.operators.batched import column_aggregates
+from riskbook.operators.batched import MAX_BUFFERS, column_aggregates
+from riskbook.operators.missing import nan_to_null
 from riskbook.operators.quantiles import as_numbers, interpolated_quantiles
 from riskbook.schema import DEFAULT_LABEL, PAID_LABEL, columns_of_type, kind_of
 
@@ -19,14 +23,42 @@ from riskbook.schema import DEFAULT_LABEL, PAID_LABEL, columns_of_type, kind_of
 NULL_COUNT = "count(*) - count({c})"
 
 
-def profile_shape(df: DataFrame) -> DataFrame:
-    """(position, column, type, n_rows): the schema with one count."""
+def profile_shape(df: DataFrame, key: str | None = None, samples: int = 0) -> DataFrame:
+    """(position, column, type, n_rows): the schema with one count; with `samples`, also `sample`.
+
+    A sample shows the column's values in the first rows by key, as text:
+    numbers to four places, text in quotes, NA for missing ones. Each task keeps
+    only its own first rows.
+    """
     rows = ", ".join(
         f"named_struct('position', {i}, 'column', {text_literal(f.name)},"
         f" 'type', '{kind_of(f.dataType)}')"
         for i, f in enumerate(df.schema.fields, start=1)
     )
-    return df.selectExpr("count(*) as n_rows").selectExpr(f"inline(array({rows}))", "n_rows")
+    shape = df.selectExpr("count(*) as n_rows").selectExpr(f"inline(array({rows}))", "n_rows")
+    if not samples:
+        return shape
+    kinds = {f.name: kind_of(f.dataType) for f in df.schema.fields}
+    shown = ", ".join(_shown(c, kind) for c, kind in kinds.items())
+    first = nan_to_null(preview(df, key, samples)).selectExpr(
+        f"struct({quoted(key)}, array({shown}) as shown) as row"
+    )
+    # At most `samples` rows from here on.
+    listed = first.agg(F.sort_array(F.collect_list("row"))["shown"].alias("rows")).select(
+        F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(len(kinds) - 1)), lambda i: F.array_join(
+            F.transform("rows", lambda r: r[i]), ", "))).alias("at", "sample")
+    )
+    joined = shape.join(F.broadcast(listed), F.col("position") == F.col("at") + 1)
+    return joined.drop("at")
+
+
+def _shown(name: str, kind: str) -> str:
+    value = quoted(name)
+    text = {
+        "character": f"concat('\"', {value}, '\"')",
+        "numeric": f"string(try_cast(round({value}, 4) as decimal(38, 4)))",
+    }.get(kind, f"string({value})")
+    return f"coalesce({text}, 'NA')"
 
 
 def preview(df: DataFrame, key: str, n: int = 6) -> DataFrame:
@@ -78,9 +110,10 @@ def _float(value: float | None) -> float | None:
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, n_null, frac_null, any_null)."""
     counted = column_aggregates(
-        df,
+        nan_to_null(df),
         list(columns or df.columns),
         {"n_null": NULL_COUNT, "n_rows": "count(*)"},
+        buffers=1,
     )
     return counted.select(
         "column",
@@ -90,9 +123,17 @@ def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     )
 
 
-def distinct_values(df: DataFrame, column: str) -> DataFrame:
-    """The distinct values, missing included."""
-    return df.select(column).distinct()
+def distinct_values(df: DataFrame, column: str, key: str | None = None) -> DataFrame:
+    """The distinct values, missing included.
+
+    With a key, in the order in which the rows by key first show them: a
+    second column `first_seen` has the smallest key of each value. The values
+    are sorted in ranges, so neither they nor a frequent one meet in one task.
+    """
+    df = nan_to_null(df)
+    if key is None:
+        return df.select(column).distinct()
+    return df.groupBy(column).agg(F.min(key).alias("first_seen")).orderBy("first_seen", column)
 
 
 def distinct_counts(
@@ -105,7 +146,7 @@ def distinct_counts(
     shuffled, though: for a wide table of many terabytes the approximation,
     which moves only sketches, is the choice.
     """
-    columns = list(columns or df.columns)
+    df, columns = nan_to_null(df), list(columns or df.columns)
     if approximate:
         with_null = "approx_count_distinct({c}) + int(count(*) > count({c}))"
         return column_aggregates(df, columns, {"n_distinct": with_null}, buffers=8)
@@ -136,14 +177,14 @@ def std_by_column(
     if strict_nulls:
         std = f"case when count({{c}}) = count(*) then {std} end"
     return column_aggregates(
-        df, list(columns or columns_of_type(df, "numeric")), {"std": std}, buffers=5
+        nan_to_null(df), list(columns or columns_of_type(df, "numeric")), {"std": std}, buffers=5
     )
 
 
 def range_of(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, min, max, n_null)."""
     return column_aggregates(
-        df,
+        nan_to_null(df),
         columns,
         {
             "min": "double(min({c}))",
@@ -158,27 +199,42 @@ def class_means(
     df: DataFrame,
     columns: Sequence[str],
     label: str = "loan_status",
-    strict_nulls: bool = False,
+    strict_nulls: bool | Sequence[str] = False,
 ) -> DataFrame:
     """(column, mean_paid, mean_default) among the exactly so labelled rows.
 
-    One pass over the columns for both classes, instead of one per mean. A
-    strict mean is void if its class has a missing value in the column.
+    One grouped pass for both classes, with a sum and a count per column. A
+    strict mean is void if its class has a missing value in the column;
+    ``strict_nulls`` may also name the strict columns.
     """
-
-    def mean_of(value: str) -> str:
-        of_class = f"filter (where {quoted(label)} = {text_literal(value)})"
-        mean = f"avg(double({{c}})) {of_class}"
-        if not strict_nulls:
-            return mean
-        return f"case when count({{c}}) {of_class} = count(*) {of_class} then {mean} end"
-
-    return column_aggregates(
-        df,
-        columns,
-        {"mean_paid": mean_of(PAID_LABEL), "mean_default": mean_of(DEFAULT_LABEL)},
-        buffers=8 if strict_nulls else 4,
-    )
+    columns = list(columns)
+    strict = set(columns if strict_nulls is True else strict_nulls or [])
+    of_class = nan_to_null(df).filter(F.col(label).isin(PAID_LABEL, DEFAULT_LABEL))
+    classes = {"mean_paid": PAID_LABEL, "mean_default": DEFAULT_LABEL}
+
+    def mean_of(name: str) -> str:
+        c = quoted(name)
+        mean = f"try_divide(sum(double({c})), count({c}))"
+        return f"case when count({c}) = count(*) then {mean} end" if name in strict else mean
+
+    parts = []
+    for i in range(0, len(columns), MAX_BUFFERS // 2):
+        part = columns[i : i + MAX_BUFFERS // 2]
+        by_class = of_class.groupBy(F.col(label).alias("class")).agg(
+            *[F.expr(mean_of(c)).alias(f"m{j}") for j, c in enumerate(part)]
+        )
+        # At most two rows from here on.
+        means = [
+            F.max(F.when(F.col("class") == value, F.col(f"m{j}"))).alias(f"{out}_{j}")
+            for j in range(len(part))
+            for out, value in classes.items()
+        ]
+        rows = [
+            F.struct(F.lit(c).alias("column"), *[F.col(f"{out}_{j}").alias(out) for out in classes])
+            for j, c in enumerate(part)
+        ]
+        parts.append(by_class.agg(*means).select(F.inline(F.array(*rows))))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def pretty_breaks(low: float, high: float, n_bins: int) -> list[float]:
@@ -202,8 +258,9 @@ def pretty_breaks(low: float, high: float, n_bins: int) -> list[float]:
 
 
 def default_breaks(df: DataFrame, column: str) -> list[float]:
-    """Round breaks for 1 + log2(n) bins over the range of the column."""
-    c = F.col(column).cast("double")
+    """Round breaks for 1 + log2(n) bins over the range of the column's finite values."""
+    value = F.col(column).cast("double")
+    c = F.when(F.abs(value) < float("inf"), value)
     row = df.agg(F.min(c).alias("low"), F.max(c).alias("high"), F.count(c).alias("n")).first()
     if not row["n"]:
         return [0.0, 1.0]
@@ -216,15 +273,18 @@ def histogram(df: DataFrame, column: str, breaks: Sequence[float] | None = None)
     Empty bins are listed, missing values are not counted. Values outside given
     breaks are counted in two more rows: bin 0 has no lower and the last bin no
     upper bound. Without breaks they are chosen from the range and the row
-    count, and hold every value.
+    count, and hold every value; infinite ones are counted in the outer bins.
     """
+    df = nan_to_null(df)
     open_ended = breaks is not None
     breaks = [float(b) for b in (breaks or default_breaks(df, column))]
     value = F.col(column).cast("double")
     last = len(breaks)
+    inside = f"greatest({bin_index_sql('value', breaks, 'right')}, 1)"
     place = f"""case when value < {double_literal(breaks[0])} then 0
- when value > {double_literal(breaks[-1])} then {last}
- else greatest({bin_index_sql('value', breaks, 'right')}, 1) end"""
+ when value > {double_literal(breaks[-1])} then {last} else {inside} end"""
+    if not open_ended:
+        place = f"least({inside}, {last - 1})"
     counts = (
         df.select(value.alias("value"))
         .filter(F.col("value").isNotNull())

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskbook.functions.aggregates import strict
+from riskbook.operators.missing import nan_to_null
 from riskbook.schema import DEFAULT_LABEL
 
 
@@ -71,7 +72,7 @@ def mean_by(
     df: DataFrame, key: str, value: str, where: Column | None = None, strict_nulls: bool = True
 ) -> DataFrame:
     """(key, mean of value); strict voids a group with a missing value."""
-    rows = df if where is None else df.filter(where)
+    rows = nan_to_null(df) if where is None else nan_to_null(df).filter(where)
     mean = F.avg(value)
     mean = strict(mean, F.col(value)) if strict_nulls else mean
     return rows.groupBy(key).agg(mean.alias(value))

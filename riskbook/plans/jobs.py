@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import contextvars
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import cached_property, partial
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
@@ -28,7 +29,8 @@ from riskbook.operators import (
     segments,
     split,
 )
-from riskbook.operators.batched import column_aggregates
+from riskbook.operators.batched import statistic_sql
+from riskbook.operators.missing import missing_counts, nan_to_null
 from riskbook.schema import (
     CLASS_MEANS,
     CORRELATION_PAIRS,
@@ -39,6 +41,7 @@ from riskbook.schema import (
     FREQUENCY_COLUMNS,
     IMPUTED_COLUMNS,
     MAX_NULL_SHARE,
+    MIN_ABS_R,
     PERCENT_COLUMNS,
     PREDICTORS,
     RATIO_COLUMNS,
@@ -49,13 +52,13 @@ from riskbook.schema import (
     columns_of_type,
     present,
 )
-from riskbook.sources.staging import stage
+from riskbook.sources.staging import stage, stage_observed
 
 
 def resolve(loans: DataFrame) -> DataFrame:
-    """Loans with a settled outcome: status recoded, percent text as numbers."""
+    """Loans with a settled outcome: status recoded, percent text as numbers, NaN as NULL."""
     percent = present(loans, PERCENT_COLUMNS)
-    return clean.exclude_statuses(loans).withColumns(
+    return clean.exclude_statuses(nan_to_null(loans)).withColumns(
         {
             "loan_status": recode_outcome(F.col("loan_status")),
             **{c: parse_percent(F.col(c)) for c in percent},
@@ -67,12 +70,31 @@ def with_ratios(loans: DataFrame) -> DataFrame:
     return clean.ratio_to(loans, present(loans, RATIO_COLUMNS), RATIO_DENOMINATOR)
 
 
+class LazyTables(Mapping[str, DataFrame]):
+    """Tables by name, each made when it is first asked for; others cost no job."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]):
+        self._makers = makers
+        self._made: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
 # -- prepare ----------------------------------------------------------------
 
 
 @dataclass(frozen=True)
 class Prepared:
-    """The cleaned table and what the data decided about it."""
+    """The cleaned table, over a staged one, and what the data decided about it."""
 
     loans: DataFrame
     dropped_sparse: list[str]
@@ -80,69 +102,76 @@ class Prepared:
     means: dict[str, float | None]
 
 
-def prepare_loans(raw: DataFrame, key: str = "id") -> Prepared:
+def prepare_loans(raw: DataFrame, key: str = "id", drop: Sequence[str] = tuple(DROP_REVIEWED)) -> Prepared:
     """Clean the raw table up to the 0/1 target.
 
-    The null shares, the constant columns and the imputation means come from
-    one pass; the cleaned table itself is a projection of the raw one. The
-    ratios are taken before their imputation, and all rows count for a mean.
-    The key stays in the table, because the splits need it.
+    Only the columns that can stay are staged, and the pass that writes them
+    also finds their null shares, the constant ones and the imputation means;
+    the cleaned table is a projection of the staged one. The ratios are taken
+    before their imputation, and all rows count for a mean. The key stays in
+    the table, because the splits need it. `drop` names what goes besides the
+    unread columns: the reviewed ones, or a list that `pruned_features` gave.
     """
     resolved = resolve(raw)
-    unread = [c for c in DROP_UNUSED + DROP_OBSERVED + ["grade", "issue_d"] if c != key]
+    used = {key, RATIO_DENOMINATOR, "loan_status"}
+    unread = {*DROP_UNUSED, *DROP_OBSERVED, "grade", "issue_d", *drop} - used
     kept = resolved.drop(*unread)
     screened = [c for c in kept.columns if c != key]
-    imputed = set(present(kept, IMPUTED_COLUMNS))
+    imputed = present(kept, IMPUTED_COLUMNS)
 
     def mean(name: str) -> str:
         value = f"double({quoted(name)})"
         if name in RATIO_COLUMNS:
             value = f"try_divide({value}, double({quoted(RATIO_DENOMINATOR)}))"
-        return f"avg({value})" if name in imputed else "double(null)"
+        return f"avg({value})"
 
-    screen = column_aggregates(
-        kept,
-        screened,
-        {**clean.screen_stats(kept), "mean": mean},
-        buffers=6,
-    ).collect()
-    sparse = [r["column"] for r in screen if (r["null_share"] or 0.0) > MAX_NULL_SHARE]
-    constant = [r["column"] for r in screen if r["is_constant"] and r["column"] not in sparse]
+    found = clean.screen_stats(kept)
+    metrics = {f"{stat}_{i}": F.expr(statistic_sql(found[stat], c)) for i, c in enumerate(screened) for stat in found}
+    metrics |= {f"mean_{i}": F.expr(mean(c)) for i, c in enumerate(imputed)}
+    kept, seen = stage_observed(kept, "kept", metrics)
 
+    sparse = [c for i, c in enumerate(screened) if (seen[f"null_share_{i}"] or 0.0) > MAX_NULL_SHARE]
+    constant = [c for i, c in enumerate(screened) if seen[f"is_constant_{i}"] and c not in sparse]
+    means = {c: seen[f"mean_{i}"] for i, c in enumerate(imputed)}
     kept = with_ratios(kept).drop(*sparse, *constant)
-    means = {r["column"]: r["mean"] for r in screen if r["column"] in imputed}
     filled = clean.fill_missing(kept, {c: m for c, m in means.items() if c in kept.columns})
-    loans = clean.drop_columns(filled, DROP_REVIEWED).withColumn(
-        "loan_status", binary_target(F.col("loan_status"))
-    )
+    loans = clean.drop_columns(filled, drop).withColumn("loan_status", binary_target(F.col("loan_status")))
     return Prepared(loans, sparse, constant, means)
 
 
 # -- profile ----------------------------------------------------------------
 
 
-def portfolio_profile(raw: DataFrame) -> dict[str, DataFrame]:
-    """Tables that describe the resolved book, before imputation."""
+def portfolio_profile(raw: DataFrame, key: str = "id", samples: int = 4) -> LazyTables:
+    """Tables that describe the resolved book, before imputation.
+
+    What takes one or two passes reads the raw table; the tables that take
+    many share one staged book, written when the first of them is asked for.
+    """
     book = with_ratios(resolve(raw))
     numeric = columns_of_type(book, "numeric")
-    report = {
-        "shape": profile.profile_shape(book),
-        "summary": profile.summarize_columns(book, numeric),
-        "nulls": profile.null_profile(book),
-        "distinct": profile.distinct_counts(book),
-        "std": profile.std_by_column(book, numeric),
-        "class_means": outcome_means(book),
-    }
-    for c in present(book, FREQUENCY_COLUMNS):
-        report[f"frequency_{c}"] = segments.frequency(book, c)
-    return report
+    staged = LazyTables({"book": lambda: stage(book, "book")})
+    return LazyTables(
+        {
+            "shape": lambda: profile.profile_shape(book, key, samples),
+            "missing": lambda: missing_counts(raw),
+            "summary": lambda: profile.summarize_columns(staged["book"], numeric),
+            "nulls": lambda: profile.null_profile(book),
+            "distinct": lambda: profile.distinct_counts(staged["book"]),
+            "std": lambda: profile.std_by_column(staged["book"], numeric),
+            "class_means": lambda: outcome_means(book),
+            **{
+                f"frequency_{c}": partial(segments.frequency, book, c)
+                for c in present(book, FREQUENCY_COLUMNS)
+            },
+        }
+    )
 
 
 def outcome_means(book: DataFrame) -> DataFrame:
     """(column, mean_paid, mean_default) of the profiled columns."""
-    return profile.class_means(book, present(book, STRICT_CLASS_MEANS), strict_nulls=True).unionAll(
-        profile.class_means(book, present(book, CLASS_MEANS))
-    )
+    strict = present(book, STRICT_CLASS_MEANS)
+    return profile.class_means(book, strict + present(book, CLASS_MEANS), strict_nulls=strict)
 
 
 # -- report -----------------------------------------------------------------
@@ -173,34 +202,51 @@ def segment_risk_report(raw: DataFrame) -> dict[str, DataFrame]:
 # -- screen -----------------------------------------------------------------
 
 
-@dataclass(frozen=True)
 class Screening:
-    pairs: DataFrame
-    matrix: DataFrame
-    woe: DataFrame
-    information_value: DataFrame
-
-
-def screen_matrix(prepared: DataFrame, key: str = "id", target: str = "loan_status") -> DataFrame:
-    """Correlations of all numeric features of the cleaned table."""
-    numeric = [c for c in columns_of_type(prepared, "numeric") if c not in (key, target)]
-    return associate.correlation_matrix(prepared, numeric)
-
-
-def screen_features(
-    prepared: DataFrame, key: str = "id", target: str = "loan_status"
-) -> Screening:
-    """Correlations among the features and their information about the target."""
-    features = [c for c in prepared.columns if c not in (key, target)]
-    numeric = [c for c in columns_of_type(prepared, "numeric") if c in features]
-    pairs = [(a, b) for a, b in CORRELATION_PAIRS if {a, b} <= set(numeric)]
-    woe = associate.woe_table(prepared, target, features)
-    return Screening(
-        pairs=associate.pearson_pairs(prepared, pairs),
-        matrix=screen_matrix(prepared, key, target),
-        woe=woe,
-        information_value=associate.information_value(woe),
-    )
+    """Correlations among the features and their information about the target, each made when asked for."""
+
+    def __init__(self, prepared: DataFrame, key: str = "id", target: str = "loan_status"):
+        self.prepared, self.target = prepared, target
+        self.features = [c for c in prepared.columns if c not in (key, target)]
+        self.numeric = [c for c in columns_of_type(prepared, "numeric") if c in self.features]
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        known = [(a, b) for a, b in CORRELATION_PAIRS if {a, b} <= set(self.numeric)]
+        return associate.pearson_pairs(self.prepared, known)
+
+    @cached_property
+    def matrix(self) -> DataFrame:
+        """All numeric features."""
+        return associate.correlation_matrix(self.prepared, self.numeric)
+
+    @cached_property
+    def woe(self) -> DataFrame:
+        return associate.woe_table(self.prepared, self.target, self.features)
+
+    @cached_property
+    def information_value(self) -> DataFrame:
+        return associate.information_value(self.woe)
+
+    def pruned(self, min_abs_r: float = MIN_ABS_R, protected: Sequence[str] = tuple(PREDICTORS)) -> DataFrame:
+        """(column, kept_column, r): which column of each strong pair goes.
+
+        The model's predictors stay; of the others the one that says more about
+        the target does.
+        """
+        matrix = associate.correlation_matrix(self.prepared, [*self.numeric, self.target])
+        order = associate.prune_order(matrix, self.target, protected)
+        return associate.prune_correlated(matrix, min_abs_r, order, protected)
+
+
+def screen_features(prepared: DataFrame, key: str = "id", target: str = "loan_status") -> Screening:
+    return Screening(prepared, key, target)
+
+
+def pruned_features(raw: DataFrame, key: str = "id", min_abs_r: float = MIN_ABS_R) -> list[str]:
+    """What `prepare_loans` should drop: the reviewed columns, and those that a strong pair makes superfluous."""
+    prepared = prepare_loans(raw, key).loans
+    return DROP_REVIEWED + [r["column"] for r in Screening(prepared, key).pruned(min_abs_r).collect()]
 
 
 # -- train ------------------------------------------------------------------
@@ -232,15 +278,17 @@ def train_models(
     """Fit the wanted models of repayment, recovery and conversion on their training rows.
 
     The rows of each model are staged with their split, so that fit, summary and
-    evaluation read a few narrow columns. `without` leaves training rows out.
+    evaluation read a few narrow columns; `prepared` should rest on a staged table.
+    `without` leaves training rows out.
     """
-    defaults = loss.default_targets(prepared, target)
+    defaults = loss.default_targets(prepared, target).select(key, "recovery_rate", "ccf", *predictors)
+    if {"lgd", "ead"} <= set(wanted):  # both read the few defaulted rows
+        defaults = stage(defaults, "defaults")
     sources = {"pd": (prepared, target), "lgd": (defaults, "recovery_rate"), "ead": (defaults, "ccf")}
 
     def fit(name: str) -> tuple[models.LinearModel, DataFrame]:
         rows, y = sources[name]
-        narrow = stage(rows.select(key, y, *predictors), f"{name}-rows")
-        marked = stage(split.stratified_split(narrow, key, y), f"{name}-split")
+        marked = stage(split.stratified_split(rows.select(key, y, *predictors), key, y), f"{name}-split")
         train = marked.filter("is_train")
         return models.fit_ols(train if without is None else train.filter(~without), y, predictors), marked
 

@@ -229,9 +229,17 @@ DOUBLES = ["dti", "funded_amnt", "annual_inc", "revol_bal", "recoveries", "total
 
 
 def _shape() -> str:
+    def sample(c: str) -> str:
+        shown = f'cast("{c}" as varchar)'
+        if c in TEXT_COLUMNS + PERCENT_COLUMNS:
+            shown = f"""'"' || "{c}" || '"'"""
+        elif c in DOUBLES:
+            shown = f'cast(cast(round("{c}", 4) as decimal(38, 4)) as varchar)'
+        return f"(select string_agg(coalesce({shown}, 'NA'), ', ' order by id) from (select * from loans order by id limit 4))"
+
     rows = ", ".join(
         f"""{{'position': {i}, 'column': '{c}', 'type': case typeof(max("{c}")) when 'VARCHAR' then 'character'
- when 'DOUBLE' then 'numeric' else 'integer' end, 'n_rows': count(*)}}"""
+ when 'DOUBLE' then 'numeric' else 'integer' end, 'n_rows': count(*), 'sample': any_value({sample(c)})}}"""
         for i, c in enumerate(VIEW_COLUMNS, 1)
     )
     return _loans(f"select unnest([{rows}], recursive := true) from loans")
@@ -702,7 +710,7 @@ from (select id, {_P} as p from book)""")
     sql["numeric_columns"] = _names(NUMERIC_BOOK, "book")
     sql["distinct_counts"] = _distinct_counts()
     for c in ("term", "desc", "dti"):
-        sql[f"distinct_values_{c}"] = _book(f'select distinct "{c}" from book')
+        sql[f"distinct_values_{c}"] = _book(f'select "{c}", min(id) as first_seen from book group by 1')
     sql["std_by_column"] = _std()
     sql["class_means"] = _class_means()
     sql["histogram_int_rate"] = _book(_histogram("book", "int_rate", RATE_BREAKS))

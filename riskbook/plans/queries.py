@@ -27,6 +27,7 @@ from riskbook.schema import (
     DROP_UNUSED,
     FREQUENCY_COLUMNS,
     IMPUTED_COLUMNS,
+    MIN_ABS_R,
     PREDICTORS,
     RATIO_COLUMNS,
     SEGMENT_KEYS,
@@ -49,7 +50,6 @@ FIXED_CCF = models.LinearModel("ccf", 0.4, {"int_rate": 0.002, "dti": 0.005})
 
 RATE_BREAKS = [float(b) for b in range(6, 26, 2)]
 RESIDUAL_BREAKS = [b / 10 for b in range(-10, 11, 2)]
-MIN_ABS_R = 0.3
 UNSEEN_LEVEL = "G5"
 
 
@@ -87,9 +87,8 @@ def _trained(spark: SparkSession, sf_dir: str, *wanted: str, without: Column | N
 
 
 def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cleaned table of the staged view, staged."""
-    raw = stage(loan_view(spark, sf_dir), "raw")
-    return stage(jobs.prepare_loans(raw).loans, "prepared")
+    """The cleaned table of the view, over the table that its preparation stages."""
+    return jobs.prepare_loans(loan_view(spark, sf_dir)).loans
 
 
 def _staged_book(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,7 +223,7 @@ def conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.profile_shape(loan_view(spark, sf_dir))
+    return profile.profile_shape(loan_view(spark, sf_dir), "id", samples=4)
 
 
 def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,11 +237,11 @@ def column_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text columns of the raw table, before any filter."""
-    return profile.summarize_text(stage(loan_view(spark, sf_dir), "raw"))
+    return profile.summarize_text(loan_view(spark, sf_dir))
 
 
 def null_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(profile.null_profile(_staged_book(spark, sf_dir)))
+    return rounded(profile.null_profile(_book(spark, sf_dir)))
 
 
 def sparse_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,7 +270,7 @@ def distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _distinct(column: str) -> Query:
-    return lambda spark, sf_dir: profile.distinct_values(_book(spark, sf_dir), column)
+    return lambda spark, sf_dir: profile.distinct_values(_book(spark, sf_dir), column, "id")
 
 
 def std_by_column(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,7 +278,7 @@ def std_by_column(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def class_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(jobs.outcome_means(jobs.with_ratios(_staged_book(spark, sf_dir))))
+    return rounded(jobs.outcome_means(jobs.with_ratios(_book(spark, sf_dir))))
 
 
 def histogram_int_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,7 +294,7 @@ PROFILE_TABLES = ("nulls", "class_means", "frequency_purpose")
 
 def _profile_table(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(jobs.portfolio_profile(stage(loan_view(spark, sf_dir), "raw"))[name])
+        return rounded(jobs.portfolio_profile(loan_view(spark, sf_dir))[name])
 
     return run
 
@@ -310,7 +309,7 @@ def imputed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prepared_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    loans = jobs.prepare_loans(stage(loan_view(spark, sf_dir), "raw")).loans
+    loans = _prepared(spark, sf_dir)
     return rounded(
         loans.select(
             *[F.col(c).cast("double").alias(c) if c in columns_of_type(loans, "integer") and c != "id"
@@ -344,11 +343,11 @@ def corr_pairs_incomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corr_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(jobs.screen_matrix(_prepared(spark, sf_dir)))
+    return rounded(jobs.screen_features(_prepared(spark, sf_dir)).matrix)
 
 
 def correlated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matrix = jobs.screen_matrix(_prepared(spark, sf_dir))
+    matrix = jobs.screen_features(_prepared(spark, sf_dir)).matrix
     return rounded(associate.correlated_pairs(matrix, MIN_ABS_R))
 
 

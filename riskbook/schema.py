@@ -15,6 +15,8 @@ PAID_LABEL = "Fully Paid"
 DEFAULT_LABEL = "Default"
 
 MAX_NULL_SHARE = 0.5
+# A pair of columns this much correlated is a strong one.
+MIN_ABS_R = 0.3
 TRAIN_RATIO = "0.7"
 SPLIT_SEED = 42
 SCORE_CUT = 0.62

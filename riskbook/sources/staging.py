@@ -9,8 +9,9 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _RUN: ContextVar[str | None] = ContextVar("run_folder", default=None)
 
@@ -67,3 +68,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stage_observed(df: DataFrame, name: str, metrics: dict[str, Column]) -> tuple[DataFrame, dict[str, Any]]:
+    """stage(), and aggregates of the staged rows taken by the pass that writes them."""
+    observation = Observation(name)
+    columns = [metric.alias(metric_name) for metric_name, metric in metrics.items()]
+    staged = stage(df.observe(observation, *columns), name)
+    return staged, observation.get
