@@ -40,6 +40,7 @@ from riskbook.schema import (
     DROP_UNUSED,
     FREQUENCY_COLUMNS,
     IMPUTED_COLUMNS,
+    LOSS_INPUTS,
     MAX_NULL_SHARE,
     MIN_ABS_R,
     PERCENT_COLUMNS,
@@ -228,11 +229,13 @@ class Screening:
     def information_value(self) -> DataFrame:
         return associate.information_value(self.woe)
 
-    def pruned(self, min_abs_r: float = MIN_ABS_R, protected: Sequence[str] = tuple(PREDICTORS)) -> DataFrame:
+    def pruned(
+        self, min_abs_r: float = MIN_ABS_R, protected: Sequence[str] = tuple(PREDICTORS + LOSS_INPUTS)
+    ) -> DataFrame:
         """(column, kept_column, r): which column of each strong pair goes.
 
-        The model's predictors stay; of the others the one that says more about
-        the target does.
+        The models' predictors and the inputs of the loss stay; of two others the
+        one that says more about the target does.
         """
         matrix = associate.correlation_matrix(self.prepared, [*self.numeric, self.target])
         order = associate.prune_order(matrix, self.target, protected)

@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from riskbook.plans.queries import (
+    DTI_BREAKS,
     FREQUENCY_COLUMNS,
     MIN_ABS_R,
+    NAN_EVERY,
     RATE_BREAKS,
     RESIDUAL_BREAKS,
+    SHARES,
+    UNKNOWN_COLUMNS,
     UNSEEN_LEVEL,
 )
 from riskbook.schema import (
@@ -19,7 +23,9 @@ from riskbook.schema import (
     DROP_UNUSED,
     IMPUTED_COLUMNS,
     KEY_COLUMNS,
+    LOSS_INPUTS,
     PERCENT_COLUMNS,
+    PREDICTORS,
     RATIO_COLUMNS,
     SEGMENT_KEYS,
     STRICT_CLASS_MEANS,
@@ -52,6 +58,9 @@ _OUTCOME = "case when loan_status like '%Paid%' then loan_status else 'Default'
 _UNRESOLVED = _in(["In Grace Period", "Late (16-30 days)", "Current"])
 
 LOANS = f"loans as materialized (\n{loan_view_sql()}\n)"
+# The view with its planted NaN, which is nothing but a missing value.
+_PLANTED = ", ".join(f"case when id % {n} = 0 then null else cast({c} as double) end as {c}" for c, n in NAN_EVERY.items())
+NAN_LOANS = f"loans as materialized (\nselect * replace ({_PLANTED}) from (\n{loan_view_sql()}\n)\n)"
 BOOK = f"""book as materialized (
  select * replace (
   {_OUTCOME} as loan_status,
@@ -174,6 +183,81 @@ def _distinct_counts() -> str:
     ]))
 
 
+def _sketch_columns(text: bool) -> list[str]:
+    kept = VIEW_COLUMNS if text else NUMERIC_BOOK
+    return [c for c in kept if c not in KEY_COLUMNS + ["grade"]]
+
+
+def _sketched_moments() -> str:
+    """Text columns have their missing counts alone."""
+    parts = []
+    for c in _sketch_columns(text=True):
+        number = c in NUMERIC_BOOK or c in PERCENT_COLUMNS
+        least, mean, most = (
+            rnd(f'{f}(cast("{c}" as double))') if number else "cast(null as double)" for f in ("min", "avg", "max")
+        )
+        parts.append(f"""select '{c}' as "column", {least} as "min", {mean} as mean, {most} as "max",
+ count(*) - count("{c}") as n_null from book""")
+    return _book(_union(parts))
+
+
+def _sketched_ranks() -> str:
+    shares = ", ".join(f"({d(s)})" for s in SHARES)
+    return _book(_union([
+        f"""select '{c}' as "column", share, (select count("{c}") from book) as n, true as within
+from (values {shares}) s(share) where (select count("{c}") from book) > 0"""
+        for c in NUMERIC_BOOK + [c for c in PERCENT_COLUMNS if c not in NUMERIC_BOOK] if c not in KEY_COLUMNS
+    ]))
+
+
+def _within(columns: Sequence[str]) -> str:
+    return _book(_union([
+        f"""select '{c}' as "column",
+ cast(count(distinct "{c}") + max(cast("{c}" is null as int)) as bigint) as n_distinct, true as within from book"""
+        for c in columns
+    ]))
+
+
+def _missing(planted: bool) -> str:
+    parts = []
+    for c in VIEW_COLUMNS:
+        nan = f"count(*) filter (id % {NAN_EVERY[c]} = 0)" if planted and c in NAN_EVERY else "0"
+        null = f'count(*) filter ("{c}" is null and not id % {NAN_EVERY[c]} = 0)' if nan != "0" else f'count(*) - count("{c}")'
+        parts.append(f"""select '{c}' as "column", {null} as n_null, cast({nan} as bigint) as n_nan,
+ {rnd(f'({null} + {nan}) / cast(count(*) as double)')} as frac_missing from loans""")
+    return _loans(_union(parts))
+
+
+def _inferred() -> str:
+    """Counts of what each column was made of."""
+    n = {
+        "x_flag": ("id % 11 <> 0", "true", "false", "false", "logical"),
+        "x_whole": ("id % 13 <> 0", "false", "true", "true", "integer"),
+        "x_long": ("true", "false", "false", "true", "double"),
+        "x_amount": ("true", "false", "false", "true", "double"),
+        "x_mixed": ("true", "false", "id % 97 <> 3", "id % 97 <> 3", "text"),
+        "x_letter": ("true", "false", "false", "false", "text"),
+        "x_empty": ("false", "false", "false", "false", "logical"),
+    }
+    return _loans(_union([
+        f"""select '{c}' as "column", count(*) filter ({filled}) as filled, count(*) filter ({filled} and {lg}) as n_logical,
+ count(*) filter ({filled} and {whole}) as n_integer, count(*) filter ({filled} and {num}) as n_number, '{kind}' as "type" from loans"""
+        for c, (filled, lg, whole, num, kind) in n.items()
+    ]))
+
+
+def _typed_unknown() -> str:
+    raw = ", ".join(f"{sql} as {c}" for c, sql in UNKNOWN_COLUMNS.items())
+    return _loans(f"""select id, case x_flag when 'TRUE' then true when 'false' then false end as x_flag,
+ try_cast(x_whole as bigint) as x_whole, cast(x_long as double) as x_long,
+ {rnd("case when x_amount <> 'NaN' then cast(x_amount as double) end")} as x_amount, x_mixed, x_letter,
+ cast(null as boolean) as x_empty from (select id, {raw} from loans)""")
+
+
+def _lines(select: str) -> str:
+    return _loans(f"""{select} from (select *, id || ',' || loan_status || ',' || purpose as fields from loans)""")
+
+
 def _std() -> str:
     return _book(_union([
         f"""select '{c}' as "column", {rnd(f'case when count("{c}") = count(*) then stddev_samp(cast("{c}" as double)) end', 4)} as std
@@ -345,6 +429,62 @@ def _matrix(where: str = "") -> str:
     )
 
 
+PROTECTED = PREDICTORS + LOSS_INPUTS
+
+
+def _pruning() -> str:
+    """Common table expressions up to gone (c, by, r): columns visited by worth, kept without a strong kept partner."""
+    numeric = [c for c in _prepared_columns() if c not in TEXT_COLUMNS]
+    complete = " and ".join(f"{c} is not null" for c in numeric)
+    cells = ", ".join(
+        f"{{'a': '{a}', 'b': '{b}', 'r': {_corr(a, b)}}}" for a in numeric for b in [*numeric, "y"]
+    )
+    first = ", ".join(f"'{c}'" for c in PROTECTED)
+    return (
+        _with(LOANS, BOOK, RATIO_BOOK, _prepared_table(),
+              f"complete as materialized (select * from prepared where {complete})").replace("with ", "with recursive ", 1)
+        + f""",
+cells as materialized (select unnest([{cells}], recursive := true) from complete),
+ranked as materialized (
+ select a as c, a in ({first}) as protected, row_number() over (
+  order by case when a in ({first}) then list_position([{first}], a) else 1000 end,
+   r is null, round(abs(r), 9) desc, a) as k
+ from cells where b = 'y'
+),
+partners as materialized (
+ select k, c, protected, (select coalesce(list(b), []) from cells where a = c and b not in ('y', c) and round(abs(r), 9) >= {MIN_ABS_R}) as strong
+ from ranked
+),
+walk(k, kept) as (
+ select cast(0 as bigint), cast([] as varchar[])
+ union all
+ select p.k, case when p.protected or not list_has_any(w.kept, p.strong) then list_append(w.kept, p.c) else w.kept end
+ from walk w join partners p on p.k = w.k + 1
+),
+finally as materialized (select kept from walk order by k desc limit 1),
+gone as materialized (
+ select p.c, arg_min(x.b, (-round(abs(x.r), 9), x.b)) as "by"
+ from partners p join cells x on x.a = p.c and list_contains(p.strong, x.b) join ranked o on o.c = x.b and o.k < p.k, finally
+ where not list_contains(kept, p.c) and list_contains(kept, x.b)
+ group by p.c
+)"""
+    )
+
+
+def _pruned() -> str:
+    return _pruning() + f"""
+select g.c as "column", g."by" as kept_column, {rnd('x.r')} as r from gone g join cells x on x.a = g.c and x.b = g."by"
+"""
+
+
+def _prepared_pruned() -> str:
+    names = ", ".join(f"('{c}')" for c in ["id", "loan_status", *_prepared_columns()])
+    return _pruning() + f"""
+select "column", (select count(*) from book) as n_rows from (values {names}) v("column")
+where "column" not in (select c from gone)
+"""
+
+
 def _screening_pairs() -> str:
     parts = []
     for a, b in CORRELATION_PAIRS:
@@ -604,10 +744,10 @@ def _loss_rows(digits: int, amount_digits: int) -> str:
  {rnd('"EL"', amount_digits)} as "EL" from el"""
 
 
-def _totals(digits: int, strict: bool = True) -> str:
+def _totals(strict: bool = True) -> str:
     void = 'case when count("EL") = count(*) then {} end' if strict else "{}"
     total, share = void.format('sum("EL")'), void.format('sum("EL") / sum(funded_amnt)')
-    return f"""select {rnd(total, digits)} as total_el, {rnd(share)} as el_share,
+    return f"""select {rnd(total, 4)} as total_el, {rnd(share, 9)} as el_share,
  count(*) as n_loans, count(*) - count("EL") as n_unscored from el"""
 
 
@@ -648,6 +788,15 @@ s as materialized (
 # ---------------------------------------------------------------------------
 
 
+# Queries that are asked again over the view with NaN in it.
+NAN_QUERIES = [
+    "null_profile", "column_summary", "std_by_column", "class_means", "impute_means", "imputed",
+    "prepared_loans", "raw_ranges", "target_ranges", "histogram_dti", "histogram_dti_default_breaks",
+    "mean_dti_by_term_strict", "distinct_values_dti", "distinct_counts", "corr_pairs_incomplete",
+    "woe_dti", "csv_round_trip", "portfolio_loss_unscored",
+]
+
+
 def all_oracles() -> dict[str, str]:
     sql = {"default_rate_by_grade": _rate("grade", 100)}
     for key in [*SEGMENT_KEYS, "purpose"]:
@@ -805,11 +954,36 @@ from (select id, {_P} as p from book)""")
     sql["residual_histogram_fixed_score"] = _fixed_scores(_histogram("s", "e", RESIDUAL_BREAKS))
     sql["residual_trend_fixed_score"] = _fixed_scores(_trend("s", "p", "e"))
     sql["expected_loss_fixed_score"] = _fixed_book("targeted", _loss_rows(6, 4))
-    sql["portfolio_loss_fixed_score"] = _fixed_book("targeted", _totals(2))
-    sql["portfolio_loss_unscored"] = _fixed_book("book", _totals(2, strict=False))
-    sql["portfolio_loss_void"] = _fixed_book("book", _totals(2))
+    sql["portfolio_loss_fixed_score"] = _fixed_book("targeted", _totals())
+    sql["portfolio_loss_unscored"] = _fixed_book("book", _totals(strict=False))
+    sql["portfolio_loss_void"] = _fixed_book("book", _totals())
     sql["pd_test_confusion"] = _pd_test(_cells("s"))
     sql["pd_test_accuracy"] = _pd_test(f"select {rnd('avg(cast(c = y as int))')} as accuracy from s")
     sql["expected_loss_fitted"] = _fitted_book(_loss_rows(4, 2))
-    sql["portfolio_loss_fitted"] = _fitted_book(_totals(1))
+    sql["portfolio_loss_fitted"] = _fitted_book(_totals())
+
+    sql["missing_counts"] = _missing(planted=False)
+    sql["raw_ranges"] = _loans(_union([
+        f"""select '{c}' as "column", {rnd(f'cast(min({c}) as double)')} as "min", {rnd(f'cast(max({c}) as double)')} as "max",
+ count(*) - count({c}) as n_null from loans""" for c in NAN_EVERY
+    ]))
+    sql["histogram_dti"] = _loans(_histogram("loans", "dti", DTI_BREAKS))
+    sql["histogram_dti_default_breaks"] = _with(LOANS) + ",\n" + _default_histogram("loans", "dti")
+    sql["sketched_moments"] = _sketched_moments()
+    sql["sketched_quantile_ranks"] = _sketched_ranks()
+    sql["sketched_distinct_within"] = _within(_sketch_columns(text=True))
+    sql["approximate_distinct_within"] = _within(VIEW_COLUMNS)
+    sql["inferred_types"] = _inferred()
+    sql["typed_unknown_columns"] = _typed_unknown()
+    sql["quarantined_lines"] = _lines(
+        "select case when id % 37 = 0 then fields else fields || ',1,2' end as line"
+    ) + " where id % 37 = 0 or id % 41 = 0"
+    sql["well_formed_loans"] = _lines(
+        f"select id, loan_status, purpose, {rnd('cast(cast(dti as decimal(9,2)) as double)')} as dti"
+    ) + " where not (id % 37 = 0 or id % 41 = 0)"
+    sql["pruned_columns"] = _pruned()
+    sql["prepared_pruned_columns"] = _prepared_pruned()
+    for name in NAN_QUERIES:
+        sql[f"nan_{name}"] = sql[name].replace(LOANS, NAN_LOANS)
+    sql["nan_missing_counts"] = _missing(planted=True)
     return sql

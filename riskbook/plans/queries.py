@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,17 @@ from riskbook.functions.columns import (
     recode_outcome,
     recovery_rate,
 )
-from riskbook.operators import associate, clean, loss, models, profile, segments, split
+from riskbook.operators import (
+    associate,
+    clean,
+    loss,
+    missing,
+    models,
+    profile,
+    segments,
+    sketches,
+    split,
+)
 from riskbook.operators.quantiles import interpolated_quantiles
 from riskbook.plans import jobs
 from riskbook.schema import (
@@ -33,8 +44,10 @@ from riskbook.schema import (
     SEGMENT_KEYS,
     columns_of_type,
 )
-from riskbook.sources import loan_view, read_loans, stage, write_scored
+from riskbook.sources import loan_view as plain_loan_view
+from riskbook.sources import malformed_lines, read_loans, stage, write_scored
 from riskbook.sources.staging import new_path
+from riskbook.sources.types import infer_types
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,11 +61,44 @@ FIXED_PD = models.LinearModel(
 FIXED_RECOVERY = models.LinearModel("recovery_rate", 0.05, {"int_rate": 0.01, "dti": 0.001})
 FIXED_CCF = models.LinearModel("ccf", 0.4, {"int_rate": 0.002, "dti": 0.005})
 
+# Columns of the loan view that get a NaN in every so manieth loan, for the queries named nan_*.
+NAN_EVERY = {
+    "dti": 31, "annual_inc": 29, "avg_cur_bal": 23, "bc_open_to_buy": 41, "acc_now_delinq": 47,
+    "recoveries": 53, "total_rec_prncp": 43, "inq_last_6mths": 37, "open_rv_24m": 59,
+}
+_PLANTED: ContextVar[bool] = ContextVar("planted", default=False)
+
+DTI_BREAKS = [float(b) for b in range(0, 36, 5)]
 RATE_BREAKS = [float(b) for b in range(6, 26, 2)]
 RESIDUAL_BREAKS = [b / 10 for b in range(-10, 11, 2)]
 UNSEEN_LEVEL = "G5"
 
 
+def loan_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loan view, with NaN planted in it where a query asks for that."""
+    loans = plain_loan_view(spark, sf_dir)
+    if not _PLANTED.get():
+        return loans
+    planted = {
+        c: F.when(F.col("id") % n == 0, F.lit(float("nan"))).otherwise(F.col(c).cast("double"))
+        for c, n in NAN_EVERY.items()
+    }
+    return loans.withColumns(planted)
+
+
+def with_nan(query: Query) -> Query:
+    """The same query over the view with NaN planted in it."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        token = _PLANTED.set(True)
+        try:
+            return query(spark, sf_dir)
+        finally:
+            _PLANTED.reset(token)
+
+    return run
+
+
 def rounded(df: DataFrame, digits: int = 6, **other: int) -> DataFrame:
     """Doubles rounded, since summation order differs between engines."""
     return df.select(
@@ -289,6 +335,79 @@ def histogram_default_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(profile.histogram(_book(spark, sf_dir), "int_rate"))
 
 
+def histogram_dti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.histogram(loan_view(spark, sf_dir), "dti", DTI_BREAKS)
+
+
+def histogram_dti_default_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(profile.histogram(loan_view(spark, sf_dir), "dti"))
+
+
+def raw_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges straight over the view, before anything has settled what is missing."""
+    return rounded(profile.range_of(loan_view(spark, sf_dir), list(NAN_EVERY)))
+
+
+def missing_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NULL and NaN of every column as the view has them."""
+    return rounded(missing.missing_counts(loan_view(spark, sf_dir)))
+
+
+# -- sketches ---------------------------------------------------------------
+
+SHARES = (0.05, 0.25, 0.5, 0.75, 0.95)
+
+
+def _merged_sketches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The staged book, and sketches of its columns merged from those of its grades, which are staged."""
+    book = stage(_book(spark, sf_dir).drop("id", "member_id"), "book")
+    columns = [c for c in book.columns if c != "grade"]
+    sliced = stage(sketches.sketch_columns(book, columns, ["grade"]), "sketches")
+    return book, stage(sketches.merge_sketches(sliced), "merged")
+
+
+def sketched_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What merged sketches keep exactly."""
+    _, merged = _merged_sketches(spark, sf_dir)
+    found = sketches.sketched_summary(merged)
+    return rounded(found.select("column", "min", "mean", "max", "n_null"))
+
+
+def sketched_quantile_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(column, share, n, within): whether each sketched quantile's true rank is within the stated error."""
+    book, merged = _merged_sketches(spark, sf_dir)
+    found = stage(sketches.sketched_quantiles(merged, SHARES), "quantiles")
+    values: dict[str, list[float]] = {}
+    for r in found.orderBy("column", "share").collect():  # a few per column
+        values.setdefault(r["column"], []).append(r["value"])
+    ranks = sketches.ranks_of(book, values)
+    spots = F.array(*[F.lit(s) for s in SHARES])
+    checked = ranks.withColumn("share", spots[F.col("position")]).drop("position")
+    off = F.greatest(F.col("below") - F.col("share"), F.col("share") - F.col("upto"))
+    return found.join(checked, ["column", "share"], "left").select(
+        "column", "share", "n", (off <= sketches.rank_error()).alias("within")
+    )
+
+
+def sketched_distinct_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(column, n_distinct, within): exact counts, and whether the merged sketches are within the stated error."""
+    book, merged = _merged_sketches(spark, sf_dir)
+    exact = profile.distinct_counts(book, [c for c in book.columns if c != "grade"])
+    off = F.abs(F.col("estimate") - F.col("n_distinct"))
+    estimates = merged.select("column", sketches.distinct_estimate().alias("estimate"))
+    within = off <= F.lit(sketches.distinct_error()) * F.col("n_distinct")
+    return exact.join(estimates, "column").select("column", "n_distinct", within.alias("within"))
+
+
+def approximate_distinct_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the one-pass approximation, whose standard error is 5 %: five of them are allowed."""
+    book = _staged_book(spark, sf_dir)
+    exact = profile.distinct_counts(book)
+    near = profile.distinct_counts(book, approximate=True).withColumnRenamed("n_distinct", "estimate")
+    within = F.abs(F.col("estimate") - F.col("n_distinct")) <= F.lit(0.25) * F.col("n_distinct")
+    return exact.join(near, "column").select("column", "n_distinct", within.alias("within"))
+
+
 PROFILE_TABLES = ("nulls", "class_means", "frequency_purpose")
 
 
@@ -326,6 +445,55 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(read_loans(spark, path))
 
 
+# Columns that no list names, of every type in the lattice, made from a loan's key.
+UNKNOWN_COLUMNS = {
+    "x_flag": "case when id % 11 = 0 then 'NA' when id % 2 = 0 then 'TRUE' else 'false' end",
+    "x_whole": "case when id % 13 = 0 then '' else cast(id * 3 - 50 as string) end",
+    "x_long": "'1' || cast(id as string) || '00000000000000000000'",
+    "x_amount": "case when id % 17 = 0 then 'NaN' else cast(id as string) || '.25' end",
+    "x_mixed": "case when id % 97 = 3 then 'n/a' else cast(id as string) end",
+    "x_letter": "cast(id as string) || 'd'",
+    "x_empty": "case when id % 2 = 0 then 'NA' else '' end",
+}
+
+
+def _unknown_csv(spark: SparkSession, sf_dir: str) -> str:
+    path = new_path(spark, "unknown-csv")
+    rows = plain_loan_view(spark, sf_dir).selectExpr("id", *[f"{sql} as {c}" for c, sql in UNKNOWN_COLUMNS.items()])
+    rows.write.csv(path, header=True, escape='"', emptyValue="")
+    return path
+
+
+def inferred_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = spark.read.csv(_unknown_csv(spark, sf_dir), header=True, quote='"', escape='"')
+    return infer_types(raw, list(UNKNOWN_COLUMNS))
+
+
+def typed_unknown_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(read_loans(spark, _unknown_csv(spark, sf_dir)))
+
+
+LINE_COLUMNS = ["id", "loan_status", "purpose", "dti"]
+
+
+def _broken_lines(spark: SparkSession, sf_dir: str) -> str:
+    """Lines of four fields; some lack the last one, some have one more."""
+    path = new_path(spark, "lines")
+    fields = "id || ',' || loan_status || ',' || purpose"
+    line = f"""case when id % 37 = 0 then {fields} when id % 41 = 0 then {fields} || ',1,2'
+ else {fields} || ',' || coalesce(cast(cast(dti as decimal(9,2)) as string), 'NA') end"""
+    plain_loan_view(spark, sf_dir).selectExpr(f"{line} as value").write.text(path)
+    return path
+
+
+def quarantined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return malformed_lines(spark, _broken_lines(spark, sf_dir), names=LINE_COLUMNS)
+
+
+def well_formed_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(read_loans(spark, _broken_lines(spark, sf_dir), names=LINE_COLUMNS, drop_malformed=True))
+
+
 # -- associations -----------------------------------------------------------
 
 
@@ -351,6 +519,18 @@ def correlated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(associate.correlated_pairs(matrix, MIN_ABS_R))
 
 
+def pruned_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns that a strong pair makes superfluous, with the one that stays in their place."""
+    return rounded(jobs.screen_features(_prepared(spark, sf_dir)).pruned())
+
+
+def prepared_pruned_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of the table that is prepared without the pruned ones, with its rows."""
+    raw = loan_view(spark, sf_dir)
+    loans = jobs.prepare_loans(raw, drop=jobs.pruned_features(raw)).loans
+    return profile.profile_shape(loans).select("column", "n_rows")
+
+
 def _woe(column: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         book = _book(spark, sf_dir).select(
@@ -523,13 +703,13 @@ def expected_loss_fixed_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def portfolio_loss_fixed_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(loss.portfolio_loss(_fixed_loss(spark, sf_dir)), 2, el_share=6)
+    return rounded(loss.portfolio_loss(_fixed_loss(spark, sf_dir)), 4, el_share=9)
 
 
 def portfolio_loss_unscored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without imputation some loans have no score: the lenient totals."""
     scored = _fixed_loss(spark, sf_dir, impute=False)
-    return rounded(loss.portfolio_loss(scored, strict_nulls=False), 2, el_share=6)
+    return rounded(loss.portfolio_loss(scored, strict_nulls=False), 4, el_share=9)
 
 
 def portfolio_loss_void(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -585,7 +765,7 @@ def expected_loss_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def portfolio_loss_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, totals = jobs.expected_loss_run(_prepared(spark, sf_dir))
-    return rounded(totals, 1, el_share=6)
+    return rounded(totals, 4, el_share=9)
 
 
 def all_queries() -> dict[str, Query]:
@@ -607,7 +787,46 @@ def all_queries() -> dict[str, Query]:
         fitted[f"{name}_residual_histogram_train"] = _fitted_residuals(name, "histogram", "train")
         fitted[f"{name}_residual_trend_train"] = _fitted_residuals(name, "trend", "train")
         fitted[f"{name}_p_values"] = _p_values(name)
+    planted = {
+        f"nan_{name}": with_nan(query)
+        for name, query in {
+            "null_profile": null_profile,
+            "column_summary": column_summary,
+            "std_by_column": std_by_column,
+            "class_means": class_means,
+            "impute_means": impute_means,
+            "imputed": imputed,
+            "prepared_loans": prepared_loans,
+            "raw_ranges": raw_ranges,
+            "target_ranges": target_ranges,
+            "histogram_dti": histogram_dti,
+            "histogram_dti_default_breaks": histogram_dti_default_breaks,
+            "mean_dti_by_term_strict": mean_dti_by_term_strict,
+            "distinct_values_dti": _distinct("dti"),
+            "distinct_counts": distinct_counts,
+            "corr_pairs_incomplete": corr_pairs_incomplete,
+            "woe_dti": _woe("dti"),
+            "csv_round_trip": csv_round_trip,
+            "portfolio_loss_unscored": portfolio_loss_unscored,
+            "missing_counts": missing_counts,
+        }.items()
+    }
     return {
+        **planted,
+        "missing_counts": missing_counts,
+        "raw_ranges": raw_ranges,
+        "histogram_dti": histogram_dti,
+        "histogram_dti_default_breaks": histogram_dti_default_breaks,
+        "sketched_moments": sketched_moments,
+        "sketched_quantile_ranks": sketched_quantile_ranks,
+        "sketched_distinct_within": sketched_distinct_within,
+        "approximate_distinct_within": approximate_distinct_within,
+        "inferred_types": inferred_types,
+        "typed_unknown_columns": typed_unknown_columns,
+        "quarantined_lines": quarantined_lines,
+        "well_formed_loans": well_formed_loans,
+        "pruned_columns": pruned_columns,
+        "prepared_pruned_columns": prepared_pruned_columns,
         "default_rate_by_grade": default_rate_by_grade,
         **by_segment,
         "segment_report": segment_report,

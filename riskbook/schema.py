@@ -22,6 +22,8 @@ SPLIT_SEED = 42
 SCORE_CUT = 0.62
 RECOVERY_CAP = 1.0
 PREDICTORS = ["sub_grade", "int_rate", "dti", "term"]
+# What the expected loss needs of a loan besides the predictors.
+LOSS_INPUTS = ["funded_amnt", "recoveries", "total_rec_prncp"]
 
 TEXT_COLUMNS = [
     "loan_status", "grade", "sub_grade", "term", "issue_d", "purpose", "title",
