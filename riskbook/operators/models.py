@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskbook.functions.columns import bin_index_sql
+from riskbook.operators.absorb import AbsorbedModel, fit_absorbed
 from riskbook.operators.quantiles import discrete_quantiles
 from riskbook.schema import PREDICTORS, columns_of_type
 
@@ -53,6 +54,13 @@ class LinearModel:
         return score
 
 
+Model = LinearModel | AbsorbedModel
+
+
+class TooManyLevels(ValueError):
+    """Text predictors have more levels than the normal equations hold."""
+
+
 def category_levels(df: DataFrame, columns: Sequence[str], most: int = MAX_FEATURES) -> dict[str, list[str]]:
     """The sorted levels of each column, in one pass; more than `most` in all are an error."""
     if not columns:
@@ -66,7 +74,7 @@ def category_levels(df: DataFrame, columns: Sequence[str], most: int = MAX_FEATU
         .collect()
     )
     if len(rows) > most:
-        raise ValueError(f"more than {most} levels in {list(columns)}")
+        raise TooManyLevels(f"more than {most} levels in {list(columns)}")
     return {c: sorted(r["level"] for r in rows if r["column"] == c) for c in columns}
 
 
@@ -75,7 +83,7 @@ def fit_ols(
     target: str,
     predictors: Sequence[str] = tuple(PREDICTORS),
 ) -> LinearModel:
-    """Least squares with an intercept; text predictors enter as levels.
+    """Least squares with an intercept; text predictors enter as levels; `fit` takes any number of them.
 
     The alphabetically first level is the baseline. Rows with a missing value
     are left out. A level that no training row has is unknown to the model: its
@@ -137,13 +145,36 @@ def fit_ols(
     )
 
 
+def fit(
+    train: DataFrame, target: str, predictors: Sequence[str] = tuple(PREDICTORS), most: int = MAX_FEATURES
+) -> LinearModel | AbsorbedModel:
+    """Least squares; with more than `most` features the text predictor with most levels is absorbed."""
+    text = [p for p in predictors if p in columns_of_type(train, "character")]
+    if not text:
+        return fit_ols(train, target, predictors)
+    counts = train.agg(*[F.approx_count_distinct(c).alias(c) for c in text]).first()
+    widest = max(text, key=lambda c: (counts[c], c))
+    # the approximation is off by some percent, so near the limit the exact way decides
+    if sum(counts) < most / 2:
+        return fit_ols(train, target, predictors)
+    try:
+        category_levels(train, text, most - len(predictors) + len(text))
+    except TooManyLevels:
+        others = [c for c in text if c != widest]
+        rows = train.select(F.col(target), *predictors).na.drop()
+        return fit_absorbed(train, target, widest, predictors, category_levels(rows, others, most))
+    return fit_ols(train, target, predictors)
+
+
 def coefficient_table(spark: SparkSession, model: LinearModel) -> DataFrame:
     """(term, estimate, std_error, t_value, p_value), one row per coefficient."""
     return spark.createDataFrame([tuple(r) for r in model.coefficients], COEFFICIENT_SCHEMA)
 
 
-def score(model: LinearModel, df: DataFrame, out: str = "prediction") -> DataFrame:
+def score(model: LinearModel | AbsorbedModel, df: DataFrame, out: str = "prediction") -> DataFrame:
     """The table with the model's prediction, unclipped."""
+    if isinstance(model, AbsorbedModel):
+        return model.score(df, out)
     return df.withColumn(out, model.prediction())
 
 
@@ -163,7 +194,10 @@ def fit_stats(model: LinearModel, train: DataFrame) -> DataFrame:
             (F.var_pop(y) * F.count(F.lit(1))).alias("null_deviance"),
         )
     )
-    k = len(model.coefficients) - 1
+    if isinstance(model, AbsorbedModel):
+        k = len(model.features) + model.levels.count() - 1
+    else:
+        k = len(model.coefficients) - 1
     n, sse, sst = F.col("n"), F.col("deviance"), F.col("null_deviance")
     df_resid = n - (k + 1)
     r2 = 1 - F.try_divide(sse, sst)

@@ -113,10 +113,7 @@ def prepare_loans(raw: DataFrame, key: str = "id", drop: Sequence[str] = tuple(D
     the table, because the splits need it. `drop` names what goes besides the
     unread columns: the reviewed ones, or a list that `pruned_features` gave.
     """
-    resolved = resolve(raw)
-    used = {key, RATIO_DENOMINATOR, "loan_status"}
-    unread = {*DROP_UNUSED, *DROP_OBSERVED, "grade", "issue_d", *drop} - used
-    kept = resolved.drop(*unread)
+    kept = resolve(raw).drop(*({*DROP_UNUSED, *DROP_OBSERVED, "grade", "issue_d"} - {key}))
     screened = [c for c in kept.columns if c != key]
     imputed = present(kept, IMPUTED_COLUMNS)
 
@@ -129,7 +126,8 @@ def prepare_loans(raw: DataFrame, key: str = "id", drop: Sequence[str] = tuple(D
     found = clean.screen_stats(kept)
     metrics = {f"{stat}_{i}": F.expr(statistic_sql(found[stat], c)) for i, c in enumerate(screened) for stat in found}
     metrics |= {f"mean_{i}": F.expr(mean(c)) for i, c in enumerate(imputed)}
-    kept, seen = stage_observed(kept, "kept", metrics)
+    staying = [c for c in kept.columns if c not in drop or c == RATIO_DENOMINATOR]
+    kept, seen = stage_observed(kept, "kept", metrics, staying)
 
     sparse = [c for i, c in enumerate(screened) if (seen[f"null_share_{i}"] or 0.0) > MAX_NULL_SHARE]
     constant = [c for i, c in enumerate(screened) if seen[f"is_constant_{i}"] and c not in sparse]
@@ -262,9 +260,9 @@ MODELS = ("pd", "lgd", "ead")
 class Trained:
     """The fitted models and the split tables they were fitted on; None if not asked for."""
 
-    pd: models.LinearModel | None = None
-    lgd: models.LinearModel | None = None
-    ead: models.LinearModel | None = None
+    pd: models.Model | None = None
+    lgd: models.Model | None = None
+    ead: models.Model | None = None
     pd_rows: DataFrame | None = None
     lgd_rows: DataFrame | None = None
     ead_rows: DataFrame | None = None
@@ -289,11 +287,11 @@ def train_models(
         defaults = stage(defaults, "defaults")
     sources = {"pd": (prepared, target), "lgd": (defaults, "recovery_rate"), "ead": (defaults, "ccf")}
 
-    def fit(name: str) -> tuple[models.LinearModel, DataFrame]:
+    def fit(name: str) -> tuple[models.Model, DataFrame]:
         rows, y = sources[name]
         marked = stage(split.stratified_split(rows.select(key, y, *predictors), key, y), f"{name}-split")
         train = marked.filter("is_train")
-        return models.fit_ols(train if without is None else train.filter(~without), y, predictors), marked
+        return models.fit(train if without is None else train.filter(~without), y, predictors), marked
 
     # The fits do not depend on each other, so their jobs run side by side.
     with ThreadPoolExecutor(len(wanted)) as pool:
@@ -313,7 +311,7 @@ def evaluate_pd(trained: Trained, threshold: float = SCORE_CUT) -> dict[str, Dat
     }
 
 
-def evaluate_ols(model: models.LinearModel, rows: DataFrame) -> dict[str, DataFrame]:
+def evaluate_ols(model: models.Model, rows: DataFrame) -> dict[str, DataFrame]:
     """Errors, residual histogram and residual trend of a model over some rows."""
     scored = models.with_residual(models.score(model, rows), model.target, "prediction")
     return {
@@ -327,14 +325,11 @@ def evaluate_ols(model: models.LinearModel, rows: DataFrame) -> dict[str, DataFr
 
 
 def score_book(prepared: DataFrame, trained: Trained, threshold: float = SCORE_CUT) -> DataFrame:
-    """Every loan with its predictions and expected loss, without a shuffle."""
-    return loss.expected_loss(
-        prepared,
-        trained.pd.prediction(),
-        trained.lgd.prediction(),
-        trained.ead.prediction(),
-        threshold,
-    )
+    """Every loan with its predictions and expected loss; a join only for absorbed levels."""
+    scored = prepared
+    for model, out in ((trained.pd, "p_paid"), (trained.lgd, "recovery_rate"), (trained.ead, "ccf")):
+        scored = models.score(model, scored, out)
+    return loss.expected_loss(scored, F.col("p_paid"), F.col("recovery_rate"), F.col("ccf"), threshold)
 
 
 def expected_loss_run(prepared: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:

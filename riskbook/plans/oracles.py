@@ -687,6 +687,20 @@ select count(*) as n_loans, count(*) - count(p) as n_unscored, {rnd('avg(p)')} a
 from (select {_predicted('pd')} as p from pd_rows b, pd_slopes)"""
 
 
+def _many_levels(final: str) -> str:
+    """The same equations with a level for one or two loans in the place of the sub-grade."""
+    leveled = "leveled as materialized (select * replace ('v' || cast(floor(id / 5.0) as bigint) as sub_grade) from targeted)"
+    rows = f"pd_rows as materialized ({_ranked('leveled', 'y')})"
+    return _with(LOANS, BOOK, TARGETED, leveled, rows, _ols("pd", "pd_rows", "y")) + "\n" + final
+
+
+_MANY_LEVEL_SLOPES = f"""select term, {rnd('estimate', 5)} as estimate, {rnd('sqrt(v * s2)', 5)} as std_error,
+ {rnd('estimate / sqrt(v * s2)', 4)} as t_value
+from ({_union([f"select '{t}' as term, b{k} as estimate, i_{k}{k} as v from pd_slopes"
+               for t, k in (("term 60 months", "t"), ("int_rate", "r"), ("dti", "d"))])}) c,
+ (select sse / (n - k - 1) as s2 from pd_stats)"""
+
+
 def _stats(name: str) -> str:
     return _fitted(name) + f"""
 select n, cast(k as int) as df_model, n - k - 1 as df_residual, {rnd('1 - sse/sst')} as r2,
@@ -943,6 +957,12 @@ from (select id, {_P} as p from book)""")
         sql[f"{name}_p_values"] = _p_values(name)
     sql["coefficient_p_values"] = _p_values("pd")
     sql["scores_of_unseen_level"] = _unseen_level()
+    sql["many_level_slopes"] = _many_levels(_MANY_LEVEL_SLOPES)
+    sql["many_level_scores"] = _many_levels(f"""select b.id, {rnd(
+        "l.a + bt * cast(b.term = ' 60 months' as int) + br * b.int_rate + bd * b.dti")} as prediction
+from pd_rows b left join pd_levels l on l.sub_grade = b.sub_grade, pd_slopes""")
+    sql["many_level_fit_stats"] = _many_levels(f"""select n, cast(k as int) as df_model, n - k - 1 as df_residual,
+ {rnd('1 - sse/sst', 5)} as r2, {rnd('sqrt(sse / (n - k - 1))', 5)} as sigma from pd_stats""")
 
     sql["confusion_fixed_score"] = _fixed_scores(_cells("s"))
     sql["accuracy_fixed_score"] = _fixed_scores(

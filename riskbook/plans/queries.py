@@ -664,6 +664,30 @@ def scores_of_unseen_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
+def _many_level_fit(spark: SparkSession, sf_dir: str) -> tuple[models.Model, DataFrame]:
+    """The repayment model with a level for one or two loans in the place of the sub-grade."""
+    level = F.concat(F.lit("v"), F.floor(F.col("id") / 5).cast("string"))
+    book = stage(_targeted(spark, sf_dir).withColumn("sub_grade", level), "levels")
+    rows = stage(split.stratified_split(book.select("id", "loan_status", *PREDICTORS), "id", "loan_status"), "split")
+    # the limit is lowered so that the small tables are fitted by the same path as large ones
+    return models.fit(rows.filter("is_train"), "loan_status", PREDICTORS, most=64), rows
+
+
+def many_level_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_many_level_fit(spark, sf_dir)[0].coefficients(), 5, t_value=4)
+
+
+def many_level_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all loans; those of a level without a training row have none."""
+    model, rows = _many_level_fit(spark, sf_dir)
+    return rounded(models.score(model, rows).select("id", "prediction"))
+
+
+def many_level_fit_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, rows = _many_level_fit(spark, sf_dir)
+    return rounded(models.fit_stats(model, rows.filter("is_train")).select("n", "df_model", "df_residual", "r2", "sigma"), 5)
+
+
 def _fit_stats(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         model, rows = _model(_trained(spark, sf_dir, name), name)
@@ -889,6 +913,9 @@ def all_queries() -> dict[str, Query]:
         **fitted,
         "coefficient_p_values": _p_values("pd"),
         "scores_of_unseen_level": scores_of_unseen_level,
+        "many_level_slopes": many_level_slopes,
+        "many_level_scores": many_level_scores,
+        "many_level_fit_stats": many_level_fit_stats,
         "confusion_fixed_score": confusion_fixed_score,
         "accuracy_fixed_score": accuracy_fixed_score,
         "error_metrics_fixed_score": error_metrics_fixed_score,

@@ -38,11 +38,15 @@ def malformed_lines(
 ) -> DataFrame:
     """(line): the rows with another number of fields than the header, as they stand in the file."""
     raw, line = _raw(spark, path, multi_line, names)
-    # the reader counts only the fields that are asked for, so all are; none of their text is taken
-    nothing = F.left(F.concat_ws("", *[F.col(quoted(c)) for c in raw.columns if c != line]), F.lit(0))
+    nothing = _all_fields(raw, line)
     return raw.filter(F.col(line).isNotNull()).select(F.concat(line, nothing).alias("line"))
 
 
+def _all_fields(raw: DataFrame, line: str) -> Column:
+    """Empty text that hangs on every field: the reader counts only the fields that are asked for."""
+    return F.left(F.concat_ws("", *[F.col(quoted(c)) for c in raw.columns if c != line]), F.lit(0))
+
+
 def read_loans(
     spark: SparkSession,
     path: str | list[str],
@@ -63,7 +67,7 @@ def read_loans(
     """
     if drop_malformed:
         raw, line = _raw(spark, path, multi_line, names)
-        raw = raw.filter(F.col(line).isNull()).drop(line)
+        raw = raw.filter(F.col(line).isNull() & (_all_fields(raw, line) == "")).drop(line)
     elif names:
         raw, line = _raw(spark, path, multi_line, names)
         raw = raw.drop(line)

@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
 from typing import Any
@@ -70,9 +70,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stage_observed(df: DataFrame, name: str, metrics: dict[str, Column]) -> tuple[DataFrame, dict[str, Any]]:
-    """stage(), and aggregates of the staged rows taken by the pass that writes them."""
+def stage_observed(
+    df: DataFrame, name: str, metrics: dict[str, Column], columns: Sequence[str] | None = None
+) -> tuple[DataFrame, dict[str, Any]]:
+    """stage() of some columns, and aggregates over the rows taken by the pass that writes them."""
     observation = Observation(name)
-    columns = [metric.alias(metric_name) for metric_name, metric in metrics.items()]
-    staged = stage(df.observe(observation, *columns), name)
+    observed = df.observe(observation, *[metric.alias(label) for label, metric in metrics.items()])
+    staged = stage(observed if columns is None else observed.select(*columns), name)
     return staged, observation.get

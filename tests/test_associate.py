@@ -71,3 +71,38 @@ def test_woe_rates_text_with_any_number_of_levels(frame):
     assert sum(r["variable"] == "many" for r in found) == 1500
     assert {r["variable"] for r in found} == {"many", "few"}
     assert all(r["woe"] == 0 for r in found if r["variable"] == "many")
+
+
+def matrix_of(frame, strong, names, target="y"):
+    """All cells of a matrix with the given correlations, others 0."""
+    cells = {(a, b): 1.0 if a == b else 0.0 for a in [*names, target] for b in [*names, target]}
+    for (a, b), r in strong.items():
+        cells[a, b] = cells[b, a] = r
+    return frame([(a, b, r) for (a, b), r in cells.items()], "var_a string, var_b string, r double")
+
+
+def test_pruning_keeps_the_column_that_says_more(frame):
+    strong = {("a", "b"): 0.9, ("b", "c"): -0.8, ("c", "d"): 0.2, ("a", "y"): 0.1, ("b", "y"): -0.5, ("c", "y"): 0.3}
+    m = matrix_of(frame, strong, "abcd")
+    order = associate.prune_order(m, "y")
+    assert order == ["b", "c", "a", "d"]
+    gone = {r["column"]: (r["kept_column"], r["r"]) for r in associate.prune_correlated(m, 0.7, order).collect()}
+    assert gone == {"a": ("b", 0.9), "c": ("b", -0.8)}
+    # nothing is strong at 0.95; the limit itself is strong
+    assert associate.prune_correlated(m, 0.95, order).count() == 0
+    assert associate.prune_correlated(m, 0.9, order).count() == 1
+
+
+def test_a_chain_loses_only_what_a_kept_column_covers(frame):
+    m = matrix_of(frame, {("a", "b"): 0.9, ("b", "c"): 0.9, ("a", "y"): 0.3, ("b", "y"): 0.2, ("c", "y"): 0.1}, "abc")
+    gone = [r["column"] for r in associate.prune_correlated(m, 0.5, associate.prune_order(m, "y")).collect()]
+    assert gone == ["b"]  # c is strong with b alone, which goes
+
+
+def test_protected_columns_stay_and_ties_go_by_name(frame):
+    m = matrix_of(frame, {("a", "b"): 0.9, ("b", "c"): 0.9, ("a", "y"): None, ("c", "y"): 0.2, ("b", "y"): 0.2}, "abc")
+    assert associate.prune_order(m, "y") == ["b", "c", "a"]
+    order = associate.prune_order(m, "y", ["c", "x"])
+    assert order == ["c", "b", "a"]
+    gone = {r["column"] for r in associate.prune_correlated(m, 0.5, ["c", "b", "a"], ["c", "b"]).collect()}
+    assert gone == {"a"}

@@ -60,6 +60,56 @@ def test_profile_tables(raw):
     assert report["frequency_purpose"].count() == 5
 
 
+def jobs_of(spark, name, run):
+    spark.sparkContext.setJobGroup(name, name)
+    out = run()
+    found = len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    spark.sparkContext.setJobGroup("rest", "rest")
+    return out, found
+
+
+def test_tables_that_nobody_asks_for_cost_no_job(spark, raw, prepared):
+    report, n = jobs_of(spark, "profile", lambda: jobs.portfolio_profile(raw))
+    assert n == 0 and len(report) == len(list(report)) > 10
+    _, n = jobs_of(spark, "frequency", lambda: report["frequency_purpose"].collect())
+    assert n <= 3
+    assert report["nulls"] is report["nulls"]
+    screening, n = jobs_of(spark, "screen", lambda: jobs.screen_features(prepared.loans))
+    assert n == 0
+    _, n = jobs_of(spark, "pairs", lambda: screening.pairs.collect())
+    assert n <= 2
+
+
+def test_preparing_takes_its_statistics_while_staging(spark, sf_dir):
+    loans, n = jobs_of(spark, "prepare", lambda: jobs.prepare_loans(loan_view(spark, sf_dir)).loans.collect())
+    assert n <= 6 and len(loans) == jobs.resolve(loan_view(spark, sf_dir)).count()
+
+
+def test_an_empty_table_is_prepared(spark, sf_dir):
+    empty = jobs.prepare_loans(loan_view(spark, sf_dir).filter("id < 0"))
+    assert empty.loans.count() == 0 and set(empty.means.values()) == {None}
+    assert empty.dropped_sparse == [] and empty.dropped_constant == []
+
+
+def test_profile_shows_samples_and_missing_values(raw):
+    report = jobs.portfolio_profile(raw)
+    shape = {r["column"]: r["sample"] for r in report["shape"].collect()}
+    first = jobs.resolve(raw).orderBy("id").limit(4).collect()
+    assert shape["id"] == ", ".join(str(r["id"]) for r in first)
+    assert shape["term"] == ", ".join(f'"{r["term"]}"' for r in first)
+    assert report["missing"].count() == len(raw.columns)
+
+
+def test_pruned_features_can_be_dropped(raw, prepared):
+    drop = jobs.pruned_features(raw)
+    gone = set(drop) - set(schema.DROP_REVIEWED)
+    assert gone and not gone & set(schema.PREDICTORS + schema.LOSS_INPUTS)
+    left = jobs.prepare_loans(raw, drop=drop)
+    assert set(prepared.loans.columns) - set(left.loans.columns) == gone
+    screening = jobs.screen_features(left.loans)
+    assert screening.pruned().count() == 0
+
+
 def test_segment_report(raw):
     report = jobs.segment_risk_report(raw)
     n = jobs.resolve(raw).count()

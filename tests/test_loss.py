@@ -38,3 +38,23 @@ def test_totals(scored):
     assert loose["total_el"] == pytest.approx(20.0) and loose["el_share"] == pytest.approx(20 / 450)
     known = loss.portfolio_loss(scored.filter("EL is not null")).first()
     assert known["total_el"] == pytest.approx(20.0) and known["el_share"] == pytest.approx(20 / 400)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e9])
+def test_totals_have_the_same_bits_under_any_partitions(spark, scale):
+    amount = (F.sin(F.col("id")) * scale + 0.1)
+    scored = spark.range(20_000).select(amount.alias("EL"), F.abs(amount).alias("funded_amnt"))
+    rows = {tuple(loss.portfolio_loss(scored.repartition(n)).first()) for n in (1, 7, 200)}
+    assert len(rows) == 1
+    assert rows.pop()[0] == pytest.approx(sum(r["EL"] for r in scored.collect()), abs=1e-6 * scale)
+
+
+def test_amounts_without_a_sum_void_the_totals(frame):
+    nan, inf = float("nan"), float("inf")
+    df = frame([(1.5, 2.0), (inf, 1.0)], "EL double, funded_amnt double")
+    assert loss.portfolio_loss(df).first()["total_el"] is None
+    unscored = frame([(1.5, 2.0), (nan, 1.0)], "EL double, funded_amnt double")
+    row = loss.portfolio_loss(unscored, strict_nulls=False).first()
+    assert (row["total_el"], row["el_share"], row["n_unscored"]) == (1.5, 0.5, 1)
+    empty = loss.portfolio_loss(df.limit(0)).first()
+    assert (empty["total_el"], empty["n_loans"]) == (None, 0)

@@ -157,3 +157,55 @@ def test_residual_trend(frame):
     rows = models.residual_trend(df, "p", "e", bins=4).orderBy("bin").collect()
     assert [r["n"] for r in rows] == [24, 25, 25, 26]
     assert rows[0]["mean_abs_residual"] == pytest.approx(12.5) == rows[0]["mean_prediction"]
+
+
+def leveled(frame, n=600, levels=150):
+    rng = random.Random(9)
+    rows = []
+    for _ in range(n):
+        g = min(rng.randrange(levels), rng.randrange(levels)) if rng.random() < 0.6 else 0
+        t, r, d = rng.choice([" 36 months", " 60 months"]), rng.uniform(5, 25), rng.uniform(0, 40)
+        y = g / 50 - 0.2 * (t == " 60 months") - 0.03 * r + rng.gauss(0, 0.1)
+        rows.append((y, f"v{g:03d}", t, r, d))
+    return rows, frame(rows, SCHEMA)
+
+
+def test_absorbed_levels_give_the_same_fit(spark, frame):
+    _, train = leveled(frame)
+    whole, absorbed = models.fit(train, "y"), models.fit(train, "y", most=50)
+    assert isinstance(whole, models.LinearModel) and isinstance(absorbed, models.AbsorbedModel)
+    assert absorbed.level == "sub_grade" and absorbed.predictors == ["sub_grade", "int_rate", "dti", "term"]
+    wanted = {r["term"]: r for r in models.coefficient_table(spark, whole).collect()}
+    for r in absorbed.coefficients().collect():
+        for c in ("estimate", "std_error", "t_value"):
+            assert r[c] == pytest.approx(wanted[r["term"]][c], rel=1e-6)
+    effects = as_dict(absorbed.level_effects(), "level", "effect")
+    assert effects["v000"] == pytest.approx(wanted["(Intercept)"]["estimate"])
+    assert effects["v007"] - effects["v000"] == pytest.approx(wanted["sub_gradev007"]["estimate"])
+    stats = [models.fit_stats(m, train).first().asDict() for m in (whole, absorbed)]
+    assert stats[0] == pytest.approx(stats[1], rel=1e-6)
+
+
+def test_absorbed_scores_of_unseen_and_missing(frame):
+    rows, train = leveled(frame)
+    model = models.fit(train, "y", most=50)
+    nan = float("nan")
+    asked = [(0.0, "v000", " 60 months", 10.0, 1.0), (0.0, "new", " 60 months", 10.0, 1.0), (0.0, None, " 60 months", 10.0, 1.0),
+             (0.0, "v000", None, 10.0, 1.0), (0.0, "v000", " 60 months", nan, 1.0)]
+    scores = [r["prediction"] for r in models.score(model, frame(asked, SCHEMA)).orderBy(F.col("prediction").desc_nulls_last()).collect()]
+    assert scores[0] is not None and scores[1:] == [None] * 4
+    whole = models.fit(train, "y")
+    left = sorted(r["prediction"] for r in models.score(model, train).collect())
+    right = sorted(r["prediction"] for r in models.score(whole, train).collect())
+    assert left == pytest.approx(right)
+
+
+def test_absorbing_singletons_and_empty_training(frame):
+    alone = frame([(float(i), f"v{i}", " 36 months", i / 2, 1.0) for i in range(60)], SCHEMA)
+    model = models.fit(alone, "y", most=20)
+    # every level explains its own row: nothing is left for the slopes
+    assert set(model.slopes) == {0.0} and model.variance is None
+    assert models.score(model, alone).filter("abs(prediction - y) < 1e-9").count() == 60
+    from riskbook.operators.absorb import fit_absorbed
+    empty = fit_absorbed(alone.limit(0), "y", "sub_grade", ["sub_grade", "int_rate"])
+    assert models.score(empty, alone).filter("prediction is not null").count() == 0

@@ -14,6 +14,9 @@ CHECKED = [
     "residual_trend_fixed_score", "expected_loss_fixed_score", "pd_coefficients",
     "portfolio_loss_fixed_score", "woe_many_levels", "many_strata_split", "quantiles_by_brackets",
     "scores_of_unseen_level", "target_ranges", "shape", "lgd_p_values",
+    "pruned_columns", "prepared_pruned_columns", "sketched_quantile_ranks", "sketched_distinct_within", "inferred_types",
+    "typed_unknown_columns", "quarantined_lines", "distinct_values_desc", "many_level_slopes", "many_level_scores",
+    "nan_null_profile", "nan_class_means", "nan_histogram_dti_default_breaks", "nan_prepared_loans", "nan_missing_counts",
 ]
 
 
