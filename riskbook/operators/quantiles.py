@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskbook.functions.text import double_literal, quoted
-from riskbook.operators.batched import MAX_BUFFERS, column_aggregates
+from riskbook.operators.batched import column_aggregates
 from riskbook.schema import columns_of_type
 
 # Values of one bracket that are ranked together, by one task.
 MAX_VALUES = 200_000
+# Brackets counted in one pass, with four counts each.
+MAX_COUNTED = 24
 # Brackets ranked in one pass.
 MAX_BRACKETS = 40
 SKETCH_ERROR = 1e-4
@@ -70,7 +72,7 @@ def _narrow(df: DataFrame, targets: list[_Target], error: float) -> tuple[list[_
     }
 
     open_targets, found = [], {}
-    batch = MAX_BUFFERS // 4
+    batch = MAX_COUNTED
     for start in range(0, len(targets), batch):
         part = targets[start : start + batch]
         brackets = [

@@ -155,10 +155,10 @@ def portfolio_profile(raw: DataFrame, key: str = "id", samples: int = 4) -> Lazy
             "shape": lambda: profile.profile_shape(book, key, samples),
             "missing": lambda: missing_counts(raw),
             "summary": lambda: profile.summarize_columns(staged["book"], numeric),
-            "nulls": lambda: profile.null_profile(book),
+            "nulls": lambda: profile.null_profile(staged["book"]),
             "distinct": lambda: profile.distinct_counts(staged["book"]),
             "std": lambda: profile.std_by_column(staged["book"], numeric),
-            "class_means": lambda: outcome_means(book),
+            "class_means": lambda: outcome_means(staged["book"]),
             **{
                 f"frequency_{c}": partial(segments.frequency, book, c)
                 for c in present(book, FREQUENCY_COLUMNS)

@@ -31,6 +31,7 @@ from riskbook.operators import (
 from riskbook.operators.quantiles import interpolated_quantiles
 from riskbook.plans import jobs
 from riskbook.schema import (
+    CLASS_MEANS,
     CORRELATION_PAIRS,
     DEFAULT_LABEL,
     DROP_OBSERVED,
@@ -41,7 +42,9 @@ from riskbook.schema import (
     MIN_ABS_R,
     PREDICTORS,
     RATIO_COLUMNS,
+    RATIO_DENOMINATOR,
     SEGMENT_KEYS,
+    STRICT_CLASS_MEANS,
     columns_of_type,
 )
 from riskbook.sources import loan_view as plain_loan_view
@@ -287,7 +290,7 @@ def text_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def null_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(profile.null_profile(_book(spark, sf_dir)))
+    return rounded(profile.null_profile(_staged_book(spark, sf_dir)))
 
 
 def sparse_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,7 +327,9 @@ def std_by_column(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def class_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(jobs.outcome_means(jobs.with_ratios(_book(spark, sf_dir))))
+    book = _book(spark, sf_dir)
+    asked = [c for c in book.columns if c in {"loan_status", RATIO_DENOMINATOR, *STRICT_CLASS_MEANS, *CLASS_MEANS}]
+    return rounded(jobs.outcome_means(jobs.with_ratios(stage(book.select(*asked), "book"))))
 
 
 def histogram_int_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
