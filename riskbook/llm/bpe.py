@@ -16,7 +16,8 @@ import functools
 import hashlib
 import heapq
 import json
-from collections.abc import Iterator, Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from .pretoken import Pieces
 from .textbuf import text_slices
 
 #: Distinct pieces that a worker remembers before it starts afresh.
-MEMORY = 400_000
+MEMORY = 1 << 21
 
 
 def byte_signs() -> dict[int, str]:
@@ -169,7 +170,9 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        # hashes of the pieces seen, ascending, and the number of each in the order of learning
+        self.known = np.zeros(0, dtype=np.uint64)
+        self.numbers = np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.int32)
         self.starts = np.zeros(1, dtype=np.int64)
 
@@ -182,6 +185,23 @@ class Encoder:
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
         return counts
 
+    def entries(self, forms: np.ndarray, spelled: Callable[[list[int]], list[str]]) -> np.ndarray:
+        """The number of each distinct form (a hash), after learning the new ones by their spelling."""
+        order = np.argsort(forms)
+        asked = forms[order]
+        place = np.searchsorted(self.known, asked)
+        found = place < len(self.known)
+        found[found] = self.known[place[found]] == asked[found]
+        out = np.empty(len(forms), dtype=np.int64)
+        out[order[found]] = self.numbers[place[found]]
+        new = order[~found]
+        if len(new):
+            self.learn(spelled(new.tolist()))
+            out[new] = len(self.known) + np.arange(len(new))
+            self.known = np.insert(self.known, place[~found], asked[~found])
+            self.numbers = np.insert(self.numbers, place[~found], out[new])
+        return out
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's ids start (and the last end)."""
         parts, owner, special = texts, None, {}
@@ -191,13 +211,7 @@ class Encoder:
         numbers, forms, first = pieces.distinct()
         if len(self.known) + len(forms) > MEMORY:
             self.forget()
-        known = self.known
-        new = [i for i, f in enumerate(forms.tolist()) if f not in known]
-        if new:
-            self.learn([pieces.form(first[i]) for i in new])
-            base = len(known)
-            known.update((f, base + i) for i, f in enumerate(forms[new].tolist()))
-        entry = np.array([known[f] for f in forms.tolist()], dtype=np.int64)[numbers] if len(forms) else np.zeros(0, np.int64)
+        entry = self.entries(forms, lambda new: [pieces.form(first[i]) for i in new])[numbers]
         counts = np.diff(self.starts)[entry]
         ids = self.ids[ranges(self.starts[entry], counts)]
         ends = np.append(0, np.cumsum(counts))[pieces.bounds]
@@ -215,19 +229,17 @@ class Encoder:
         parts: list[str] = []
         owner: list[int] = []
         special: dict[int, int] = {}
+        longest_first = sorted(self.vocab.special, key=len, reverse=True)
+        pattern = re.compile("|".join(map(re.escape, longest_first)))
         for i, text in enumerate(texts):
-            while text is not None:
-                hits = [(at, s) for s in self.vocab.special if (at := text.find(s)) >= 0]
-                at, s = min(hits, key=lambda h: (h[0], -len(h[1])), default=(len(text), None))
-                parts.append(text[:at])
-                owner.append(i)
-                if s is None:
-                    text = None
-                else:
-                    special[len(parts)] = self.vocab.special[s]
-                    parts.append("")
-                    owner.append(i)
-                    text = text[at + len(s) :]
+            end = 0
+            for hit in pattern.finditer(text):  # one walk, however many there are
+                special[len(parts) + 1] = self.vocab.special[hit.group()]
+                parts += [text[end : hit.start()], ""]
+                owner += [i, i]
+                end = hit.end()
+            parts.append(text[end:])
+            owner.append(i)
         return parts, owner, special
 
 

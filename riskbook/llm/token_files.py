@@ -104,6 +104,26 @@ def library_encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
+class _Growing:
+    """A flat array that grows at its end, by half of its size at a time."""
+
+    def __init__(self, kind: type, room: int = 1 << 16):
+        self.room, self.size = np.empty(room, dtype=kind), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        size = self.size + len(values)
+        if size > len(self.room):
+            room = np.empty(max(size, len(self.room) * 3 // 2), dtype=self.room.dtype)
+            room[: self.size] = self.room[: self.size]
+            self.room = room
+        self.room[self.size : size] = values
+        self.size = size
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.room[: self.size]
+
+
 class Pairs:
     """The pairs of neighbours of a shard, how often each occurs, and where.
 
@@ -111,36 +131,50 @@ class Pairs:
     round, and later rounds only end some. So a pair that begins too rare stays too rare.
     """
 
-    def __init__(self) -> None:
-        self.keys = self.counts = self.starts = self.sizes = self.places = self.open = np.zeros(0, dtype=np.int64)
+    def __init__(self, room: int) -> None:
+        self._keys, self._counts = _Growing(np.int64), _Growing(np.int32)
+        self._starts, self._sizes = _Growing(np.int64), _Growing(np.int32)
+        self._places = _Growing(np.int32, room)
+        self.open = np.zeros(0, dtype=np.int32)
+
+    keys = property(lambda self: self._keys.values)
+    counts = property(lambda self: self._counts.values)
+    starts = property(lambda self: self._starts.values)
+    sizes = property(lambda self: self._sizes.values)
+    places = property(lambda self: self._places.values)
 
     def add(self, at: np.ndarray, left: np.ndarray, right: np.ndarray, pair: np.ndarray) -> None:
         """Take in the new pairs that begin at ``at``, and write their numbers to ``pair``."""
         if not len(at):
             return
         wide, deep = int(max(left.max(), right.max())).bit_length(), int(at.max()).bit_length()
-        key = left << wide | right
+        key = left.astype(np.int64) << wide | right
         if 2 * wide + deep < 64:  # one sort of plain numbers is several times faster than its order
             key = np.sort(key << deep | at)
-            key, at = key >> deep, key & ((1 << deep) - 1)
+            at = key & ((1 << deep) - 1)
+            key >>= deep
         else:
             order = np.argsort(key)
             key, at = key[order], at[order]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         sizes = np.diff(np.append(first, len(key)))
         often = sizes >= LEAST_COUNT
-        at, key, sizes = at[np.repeat(often, sizes)], key[first[often]], sizes[often]
-        numbers = np.arange(len(self.keys), len(self.keys) + len(key))
+        first, sizes_kept = first[often], sizes[often]
+        at, key, sizes = at[np.repeat(often, sizes)], key[first], sizes_kept
+        numbers = np.arange(len(self.keys), len(self.keys) + len(key), dtype=np.int32)
         pair[at] = np.repeat(numbers, sizes)
-        self.keys = np.append(self.keys, key >> wide << 32 | key & ((1 << wide) - 1))
-        self.counts, self.sizes = np.append(self.counts, sizes), np.append(self.sizes, sizes)
-        self.starts = np.append(self.starts, len(self.places) + np.cumsum(sizes) - sizes)
-        self.places, self.open = np.append(self.places, at), np.append(self.open, numbers)
+        self._starts.extend(len(self.places) + np.cumsum(sizes) - sizes)
+        self._keys.extend(key >> wide << 32 | key & ((1 << wide) - 1))
+        self._counts.extend(sizes)
+        self._sizes.extend(sizes)
+        self._places.extend(at)
+        self.open = np.append(self.open, numbers)
 
     def frequent(self) -> np.ndarray:
         """The pairs of this round, the most frequent first; none when no pair pays any more."""
-        self.open = self.open[self.counts[self.open] >= LEAST_COUNT]
         counts = self.counts[self.open]
+        pays = counts >= LEAST_COUNT
+        self.open, counts = self.open[pays], counts[pays]
         best = self.open[counts >= counts.max(initial=0) * ROUND_SHARE]
         return best[np.lexsort((self.keys[best], -self.counts[best]))]
 
@@ -159,17 +193,18 @@ def compress(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     what it replaces: symbols are linked, and only pairs beside a new symbol are counted anew.
     """
     n = len(ids)
-    symbols = np.append(ids, 0).astype(np.int64)
-    after, before = np.arange(1, n + 2), np.arange(-1, n)  # n: nothing there
+    # 32 bits throughout: the arrays are gone through at random, and half the bytes fit the cache better
+    symbols = np.append(ids, 0).astype(np.int32)
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)  # n: nothing there
     filled = np.diff(bounds) > 0
     after[np.append(bounds[1:][filled] - 1, n)] = n
     before[np.append(bounds[:-1][filled], n)] = n
-    pair = np.full(n + 1, -1)
+    pair = np.full(n + 1, -1, dtype=np.int32)
     alive = np.append(np.ones(n, dtype=bool), False)
     new = np.append(np.zeros(n, dtype=bool), True)
-    none = np.iinfo(np.int64).max
-    rank = np.full(n + 1, none)
-    pairs = Pairs()
+    none = np.iinfo(np.int32).max
+    rank = np.full(n + 1, none, dtype=np.int32)
+    pairs = Pairs(n)
     at = np.flatnonzero(after < n)
     pairs.add(at, symbols[at], symbols[at + 1], pair)
     rules: list[np.ndarray] = []
@@ -177,8 +212,9 @@ def compress(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     while len(chosen := pairs.frequent()):
         sizes = pairs.sizes[chosen]
         at = pairs.places[ranges(pairs.starts[chosen], sizes)]
-        valid = pair[at] == np.repeat(chosen, sizes)
-        both = np.sort(at[valid] << 32 | np.repeat(np.arange(len(chosen)), sizes)[valid])
+        number = np.repeat(np.arange(len(chosen)), sizes)
+        valid = np.flatnonzero(pair[at] == chosen[number])
+        both = np.sort(at[valid].astype(np.int64) << 32 | number[valid])
         at, number = both >> 32, both & 0xFFFFFFFF
         # of pairs that overlap the more frequent goes first; the others wait for a later round
         rank[at] = number
@@ -198,11 +234,11 @@ def compress(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
             continue
         keys = pairs.keys[chosen[pays]]
         rules.append(np.stack([keys >> 32, keys & 0xFFFFFFFF], axis=1))
-        gone, ahead = after[at], before[at]
+        gone, ahead = after[at].astype(np.int64), before[at].astype(np.int64)
         alive[gone] = False
         ended = np.concatenate([at, gone, ahead[alive[ahead]]])
         lost = pair[ended]
-        pairs.counts -= np.bincount(lost[lost >= 0], minlength=len(pairs.counts))
+        np.subtract(pairs.counts, np.bincount(lost[lost >= 0], minlength=len(pairs.counts)), out=pairs.counts, casting="unsafe")
         pair[ended] = -1
         symbols[at] = VOCABULARY + made + (np.cumsum(pays) - 1)[number]
         made += len(keys)
@@ -210,7 +246,7 @@ def compress(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
         before[after[at]] = at
         before[n] = n
         new[at] = True
-        ahead = before[at]
+        ahead = before[at].astype(np.int64)
         begun = np.concatenate([at, ahead[~new[ahead]]])
         new[at] = False
         begun = begun[after[begun] < n]

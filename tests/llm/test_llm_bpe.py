@@ -66,3 +66,28 @@ def test_documents(frame, library):
 
 def test_empty_table(frame):
     assert bpe.encode_documents(frame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_a_text_full_of_special_strings_is_walked_once():
+    import time
+
+    coder = bpe.encoder(PATH)
+    spent = []
+    for n in (20_000, 80_000):
+        start = time.perf_counter()
+        ids, ends = coder.encode(["a<|endoftext|>" * n, "b"])
+        spent.append(time.perf_counter() - start)
+        assert len(ids) == 2 * n + 1 and list(ends) == [0, 2 * n, 2 * n + 1] and (ids[1 : 2 * n : 2] == 50256).all()
+    assert spent[1] < 10 * max(spent[0], 0.05)
+
+
+def test_forgetting_changes_nothing(monkeypatch):
+    texts = [f"word{i} is not word{i * 7 % 31}, nor {i}\n" for i in range(40)]
+    whole = [bpe.Encoder(bpe.vocabulary(PATH)).encode(texts[i : i + 4])[0].tolist() for i in range(0, 40, 4)]
+    monkeypatch.setattr(bpe, "MEMORY", 30)
+    coder = bpe.Encoder(bpe.vocabulary(PATH))
+    assert [coder.encode(texts[i : i + 4])[0].tolist() for i in range(0, 40, 4)] == whole
+    monkeypatch.undo()
+    coder = bpe.Encoder(bpe.vocabulary(PATH))
+    assert [coder.encode(texts[i : i + 4])[0].tolist() for i in range(0, 40, 4)] == whole
+    assert (coder.known[1:] > coder.known[:-1]).all() and coder.encode([]) [0].size == 0
