@@ -29,7 +29,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Control strings: their first sign, the backslashes after it, and the rest.
@@ -47,6 +47,12 @@ def unescape(text: str) -> str:
     return _CONTROL.sub(lambda m: f"{m[1]}{m[2][1:]}{m[3]}" if m[1] else f"{m[4]}{m[5][1:]}{m[6]}", text)
 
 
+def unescaped(formatted: Column) -> Column:
+    """The same for a column of texts without placeholders."""
+    plain = F.regexp_replace(formatted, r"<\\(\\*(?:/?s|(?:image|audio|document):[0-9]+)>)", "<$1")
+    return F.regexp_replace(plain, r"\[\\(\\*/?INST\])", "[$1")
+
+
 @dataclass(frozen=True)
 class Part:
     """A piece of a turn: ``kind`` is text, image, audio or document."""
@@ -266,7 +272,11 @@ def read_back(formatted: DataFrame) -> DataFrame:
             row = current.row()
             yield pa.RecordBatch.from_arrays([pa.array([row[n]], k) for n, k in zip(names, kinds)], names=names)
 
-    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
+    # turns that tie go by their texts as they were before escaping
+    length = F.char_length("formatted") - F.col("loss_start") - F.lit(len("</s>"))
+    body = F.substring(F.col("formatted"), (F.col("loss_start") + 1).cast("int"), length.cast("int"))
+    order = [F.col("conv_id"), F.col("turn"), F.coalesce("role", F.lit("")), unescaped(body)]
+    ordered = formatted.repartition("conv_id").sortWithinPartitions(*order)
     return ordered.select("conv_id", "formatted", "loss_start", "loss_end", "attachments").mapInArrow(batches, DIGEST_SCHEMA)
 
 

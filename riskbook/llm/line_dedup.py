@@ -23,6 +23,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .workspace import free_name
+
 BLANKS = "".join(map(chr, [0x20, *range(0x09, 0x0E)]))
 SALTS = 16
 
@@ -79,29 +81,30 @@ def drop_common_lines(
     with one of these names is replaced.
     """
     drops = frequent_keys_by_document(docs, id_column, text, least_documents, least_signs)
-    drops = drops.select(F.col("doc").alias("_line_doc"), F.col("drop").alias("_line_drop"))
-    joined = docs.join(drops, docs[id_column].eqNullSafe(drops["_line_doc"]), "left")
+    doc, drop, left = (free_name(docs, n) for n in ("_line_doc", "_line_drop", "_line_kept"))
+    drops = drops.select(F.col("doc").alias(doc), F.col("drop").alias(drop))
+    joined = docs.join(drops, docs[id_column].eqNullSafe(drops[doc]), "left")
     pairs = F.arrays_zip(
         split_lines(F.col(text)).alias("line"), line_keys(F.col(text)).alias("key")
     )
     kept = F.when(
-        F.col("_line_drop").isNull(), split_lines(F.col(text))
+        F.col(drop).isNull(), split_lines(F.col(text))
     ).otherwise(
         F.transform(
             F.filter(
                 pairs,
                 lambda p: (F.char_length(p["key"]) < least_signs)
-                | ~F.array_contains(F.col("_line_drop"), key_hash(p["key"])),
+                | ~F.array_contains(F.col(drop), key_hash(p["key"])),
             ),
             lambda p: p["line"],
         )
     )
     names = [c for c in docs.columns if c not in ("lines_before", "lines_dropped")]
     return (
-        joined.withColumn("_line_kept", kept)
+        joined.withColumn(left, kept)
         .withColumn("lines_before", F.size(split_lines(F.col(text))).cast("long"))
-        .withColumn("lines_dropped", F.col("lines_before") - F.size("_line_kept"))
-        .withColumn(text, F.array_join("_line_kept", "\n"))
+        .withColumn("lines_dropped", F.col("lines_before") - F.size(left))
+        .withColumn(text, F.array_join(left, "\n"))
         .select(*names, "lines_before", "lines_dropped")
     )
 

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .workspace import Workspace
+from .workspace import Workspace, free_name
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST_COPIES = 3
@@ -157,12 +157,11 @@ def plan_mix(docs: DataFrame, id_column: str = "doc_id", source: str = "source",
 def mix(docs: DataFrame, id_column: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """``docs`` with each row as many times as the mix takes it."""
     plan = plan_mix(docs, id_column, source, text, weights).where(F.col("copies") > 0)
-    plan = plan.select(F.col("doc_id").alias("_mix_id"), F.col("place").alias("_mix_place_"), F.col("copies").alias("_mix_copies"))
-    placed = docs.withColumn("_mix_place", row_order(id_column, source, text))
-    chosen = placed.join(
-        plan, placed[id_column].eqNullSafe(plan["_mix_id"]) & (placed["_mix_place"] == plan["_mix_place_"])
-    )
-    return chosen.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*docs.columns)
+    doc, at, place, copies, copy = (free_name(docs, f"_mix_{n}") for n in ("id", "at", "place", "copies", "copy"))
+    plan = plan.select(F.col("doc_id").alias(doc), F.col("place").alias(at), F.col("copies").alias(copies))
+    placed = docs.withColumn(place, row_order(id_column, source, text))
+    chosen = placed.join(plan, placed[id_column].eqNullSafe(plan[doc]) & (placed[place] == plan[at]))
+    return chosen.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)
 
 
 #: The plan of ``documents`` for DuckDB.

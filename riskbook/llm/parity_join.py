@@ -47,7 +47,7 @@ from pyspark.sql.window import Window
 from .bpe import ranges
 from .components import connected_components
 from .textbuf import LOWER, Slice, _random, mix, text_slices, windows
-from .workspace import Workspace
+from .workspace import Workspace, free_name
 
 _U = np.uint64
 HASH_BITS = 54
@@ -185,14 +185,14 @@ class Grams:
         return np.concatenate(out_row), np.concatenate(out_token)
 
 
-CHUNK = 1 << 22  # n-grams that are counted together
+CHUNK = 1 << 20  # n-grams that are counted together
 
 
 def describe(docs: DataFrame, link: Link) -> DataFrame:
     """One pass over all texts: each row's node, set size and bit sketch, and n-grams seen often.
 
     Rows with ``gram`` set are counts of n-grams that occur in three or more sets of a chunk
-    of about four million n-grams.
+    of about a million n-grams.
     """
 
     def often(chunk: list[np.ndarray]) -> pa.RecordBatch | None:
@@ -352,9 +352,9 @@ def block_pairs(members: DataFrame, nodes: DataFrame, link: Link, every: bool) -
     return spread.mapInArrow(batches, "group long, a long, b long")
 
 
-CHUNK_ROWS = 16_384
+CHUNK_ROWS = 8_192
 #: Pairs that are compared at once.
-CHUNK_PAIRS = 1 << 17
+CHUNK_PAIRS = 1 << 16
 
 
 def _as_pairs(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
@@ -580,5 +580,6 @@ def keep_one(docs: DataFrame, link: Link = Link()) -> DataFrame:
     left = docs.join(gone, "doc_id", "left_anti")
     again = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
     passes = without | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    worded = left.where(~passes).withColumn("_same_id", again).where(F.col("_same_id") == 1).drop("_same_id")
+    number = free_name(docs, "_same_id")
+    worded = left.where(~passes).withColumn(number, again).where(F.col(number) == 1).drop(number)
     return left.where(passes).unionByName(worded)

@@ -5,10 +5,11 @@ keyboard walks, sequences and brute-force spans so that the product of the guess
 parts is smallest (a shortest path over the value's positions). Values that need many guesses
 are secrets; placeholders such as "password: changeme123" need few and are no finding.
 
-Words are ranked by how many documents of the table hold them, over the whole table, beside a
+Words are ranked by how many rows of the table hold them, over the whole table, beside a
 fixed list of words common in passwords; the lower rank counts. A word is a run of ``LEAST_LETTERS``
-to ``MOST_LETTERS`` letters in any script, lower-cased. It is ranked if at least ``LEAST_DOCS``
-documents hold it and it is among the words above the lowest count that at most ``MOST_WORDS`` words
+to ``MOST_LETTERS`` letters in any script, lower-cased. Values in credential contexts are left out
+of the counts, so a secret that many rows repeat does not become a word. A word is ranked if at
+least ``LEAST_DOCS`` rows hold it and it is among the words above the lowest count that at most ``MOST_WORDS`` words
 reach. So what is sent to executors never exceeds MOST_WORDS words of MOST_LETTERS letters,
 at four bytes each below 10 MB. Scripts without spaces have only their whole runs as words.
 
@@ -201,7 +202,10 @@ def guessed_spans(text: str, options: ScanOptions, ranks: Mapping[str, int] = RA
 
 
 def document_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n): how many rows of ``docs`` hold each word; tasks add up their own counts first."""
+    """(word, n): how many rows of ``docs`` hold each word outside credential values.
+
+    Tasks add up their own counts first.
+    """
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
@@ -210,8 +214,13 @@ def document_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(counts, pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
 
         for batch in source:
-            for whole in batch.column(0):
-                held = set(LETTERS.findall((whole.as_py() or "").lower()))
+            texts = pc.fill_null(batch.column(0), "")
+            near = pc.match_substring_regex(texts, CONTEXT_HINT).to_pylist()
+            for whole, has_context in zip(texts, near):
+                plain = whole.as_py()
+                if has_context:
+                    plain = CONTEXT.sub(lambda m: m.group()[: m.start(1) - m.start()], plain)
+                held = set(LETTERS.findall(plain.lower()))
                 counts.update(w for w in held if LEAST_LETTERS <= len(w) <= MOST_LETTERS)
                 if len(counts) >= HELD_WORDS:
                     yield passed_on()

@@ -53,8 +53,8 @@ PATTERNS = [(i, j) for i in range(1, SPAN - 1) for j in range(1, SPAN - i)]
 SENTENCE_WORDS = 64
 #: Sentences of a document that its score hangs on.
 TOP = 3
-#: Bytes of text that fitting works on at once.
-FIT_BYTES = 1 << 19
+#: Bytes of text that fitting and scoring work on at once.
+FIT_BYTES = SCORE_BYTES = 1 << 19
 ENDS_SENTENCE = np.zeros(256, dtype=bool)
 ENDS_SENTENCE[[ord(c) for c in ".!?"]] = True
 
@@ -71,15 +71,28 @@ def _triples(codes: np.ndarray, word: np.ndarray) -> Iterator[tuple[np.ndarray,
         yield at, (wide[at] * SIGNS + wide[at + i]) * SIGNS + wide[at + i + j], DECAY ** (i + j + 1)
 
 
-def _norms(longest: int) -> np.ndarray:
-    """Length of a word's triple vector by its number of signs, repeats not merged."""
-    out = np.ones(longest + 1)
-    for n in range(3, longest + 1):
-        out[n] = np.sqrt(sum(max(0, n - i - j) * DECAY ** (2 * (i + j + 1)) for i, j in PATTERNS))
-    return out
+def _owned_triples(codes: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+    """(number of the word, number of the triple, weight) for each gap pattern."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    for at, triple, weight in _triples(codes, owner):
+        yield owner[at], triple, weight
+
+
+#: Longer words (in signs) add up their repeated triples exactly; shorter ones hold few.
+LONG = 48
+
+#: Places and squared weights of the gap patterns: a word of n signs has n - reach triples of each.
+_REACH = np.array([i + j for i, j in PATTERNS])
+_SQUARES = DECAY ** (2.0 * (_REACH + 1))
+
+
+def norms(sizes: np.ndarray) -> np.ndarray:
+    """Length of each word's triple vector by its number of signs, repeats not merged; 1 without triples."""
+    forms, number = np.unique(sizes, return_inverse=True)
+    squared = (np.maximum(0, forms[:, None] - _REACH) * _SQUARES).sum(axis=1)
+    return np.sqrt(np.where(squared > 0, squared, 1.0))[number]
 
 
-NORMS = _norms(256)
 _SIGN_HASH = _random(256, 11)
 
 
@@ -89,7 +102,21 @@ class Words:
     def __init__(self, codes: np.ndarray, bounds: np.ndarray):
         self.codes, self.bounds = codes, bounds
         self.sizes = np.diff(bounds)
-        self.norms = NORMS[np.minimum(self.sizes, 256)]
+        self.norms = norms(self.sizes)
+        long = np.flatnonzero(self.sizes > LONG)
+        if len(long):
+            self.norms[long] = self._merged_norms(long)
+
+    def _merged_norms(self, numbers: np.ndarray) -> np.ndarray:
+        """Lengths of some words' triple vectors with repeated triples added up."""
+        sizes = self.sizes[numbers]
+        codes = self.codes[ranges(self.bounds[numbers], sizes)]
+        found = [(owner, triple, weight) for owner, triple, weight in _owned_triples(codes, sizes)]
+        key = np.concatenate([owner.astype(np.int64) * SIGNS**3 + triple for owner, triple, _ in found])
+        weight = np.concatenate([np.full(len(triple), w) for _, triple, w in found])
+        forms, number = np.unique(key, return_inverse=True)
+        total = np.bincount(number, weight)
+        return np.sqrt(np.bincount(forms // SIGNS**3, total * total, minlength=len(numbers)))
 
     def pick(self, numbers: np.ndarray) -> "Words":
         sizes = self.sizes[numbers]
@@ -235,9 +262,16 @@ class Machine:
 
 @dataclass(frozen=True)
 class Options:
-    """``most_rows`` bounds the labelled sample; landmarks are letters-only words of its toxic texts."""
+    """``most_rows`` bounds the labelled sample; landmarks are letters-only words of its toxic texts.
+
+    Landmarks are chosen among the ``most_leaning`` words that toxic texts prefer most, and the
+    ``most_near`` words most like them of the ``most_usual`` most frequent others.
+    """
 
     most_rows: int = 4000
+    most_leaning: int = 2000
+    most_usual: int = 20_000
+    most_near: int = 1000
     landmarks: int = 48
     least_docs: int = 4
     rounds: int = 5
@@ -261,7 +295,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, options: Options) -> DataF
     half = options.most_rows // 2
     order = [F.xxhash64(F.col("doc_id"), F.lit(8)), F.col("doc_id")]
     chosen = [marked.where(F.col("toxic") == t).orderBy(*order).limit(half) for t in (0, 1)]
-    return docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").select("doc_id", "text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
+    # of rows that share an id one counts, the first by a hash of its text: a task passes on one an id
+    first = F.min_by("text", F.struct(F.xxhash64("text"), F.coalesce("text", F.lit(""))))
+    return rows.groupBy("doc_id").agg(first.alias("text"), F.max("toxic").alias("toxic"))
 
 
 def choose_landmarks(texts: list[str], toxic: np.ndarray, options: Options) -> list[bytes]:
@@ -299,12 +336,12 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray, options: Options) -> l
 
     often = [w for w, c in bad.items() if c >= options.least_docs and 5 <= len(w) <= 40]
     leaning = sorted((w for w in often if lean(w) > 2.5 and bad[w] / n1 > 4 * clean[w] / n0), key=lambda w: (-lean(w), w))
-    chosen = _spread(leaning[:2000], options.landmarks * 3 // 4)
+    chosen = _spread(leaning[: options.most_leaning], options.landmarks * 3 // 4)
     if not chosen:
         return sorted(often or [*clean, *bad], key=lambda w: (-bad[w], w))[: options.landmarks]
-    usual = sorted((w for w, c in clean.items() if c >= options.least_docs and 5 <= len(w) <= 40 and lean(w) < 0), key=lambda w: (-clean[w], w))[:20000]
+    usual = sorted((w for w, c in clean.items() if c >= options.least_docs and 5 <= len(w) <= 40 and lean(w) < 0), key=lambda w: (-clean[w], w))[: options.most_usual]
     like = Kernel(chosen).dense(Words.of(usual)).max(axis=1) if usual else np.zeros(0)
-    near = [usual[i] for i in np.lexsort((np.arange(len(usual)), -like))[:1000]]
+    near = [usual[i] for i in np.lexsort((np.arange(len(usual)), -like))[: options.most_near]]
     return _spread(chosen + near, options.landmarks)
 
 
@@ -437,7 +474,24 @@ def score_text(machine: Machine, text: str = "text"):
     def score(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kernel = Kernel(machine.landmarks)
         for texts in column:
-            found = [machine.scores(machine.margins(part, kernel)) for part in text_slices(texts)]
-            yield pa.array(np.concatenate(found) if found else np.zeros(0))
+            yield pa.array(_scores(machine, kernel, texts))
 
     return score(F.col(text))
+
+
+def _scores(machine: Machine, kernel: Kernel, texts: pa.Array) -> np.ndarray:
+    """Scores of an Arrow column of texts, in slices that bound the memory of a task."""
+    found = [machine.scores(machine.margins(part, kernel)) for part in text_slices(texts, SCORE_BYTES)]
+    return np.concatenate(found) if found else np.zeros(0)
+
+
+def drop_toxic(docs: DataFrame, machine: Machine, text: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` scored below ``limit``; dropped ones are not handed back to Spark."""
+    at = docs.columns.index(text)
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel = Kernel(machine.landmarks)
+        for batch in source:
+            yield batch.filter(pa.array(_scores(machine, kernel, batch.column(at)) < limit))
+
+    return docs.mapInArrow(batches, docs.schema)

@@ -1,12 +1,21 @@
-"""Tables that a job writes in the shared folder to cut lineage, and drops when done."""
+"""Tables that a job writes in the shared folder to cut lineage, and drops when done.
 
-from __future__ import annotations
+Inside ``run_folder`` they lie in the run's folder and go with it.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskbook.sources.staging import checkpoint_folder
+from riskbook.sources.staging import new_path
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 class Workspace:
@@ -15,7 +24,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.names: set[str] = set()
-        self.folder = f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.folder = new_path(spark, name)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as Parquet and read it back: later readers don't compute it again."""

@@ -76,3 +76,13 @@ def test_attachments_are_counted(frame):
 def test_empty_table(frame):
     typed = frame([], "conv_id long, turn long, role string, text string").withColumn("parts", chat.text_parts())
     assert chat.read_back(chat.format_turns(typed)).collect() == []
+
+
+def test_ties_go_by_the_texts_before_escaping(frame):
+    texts = ["<s>", "<a", "<\\s>", "[INST]", "[A", "a", "aA", "a<", "[\\/INST]", "", "<image:1>", "<j"]
+    rows = [(1, 0, "user", x) for x in texts] + [(1, 0, None, "z"), (1, 0, "", "y"), (1, 0, "assistant", "<s>"), (1, 0, "assistant", "<t")]
+    typed = frame(rows, "conv_id long, turn long, role string, text string").withColumn("parts", chat.text_parts())
+    row = chat.read_back(chat.format_turns(typed)).first()
+    ordered = sorted(rows, key=lambda r: ((r[2] or "").encode(), r[3].encode()))
+    turns = "".join(f"{r[2] or ''}\n{r[3]}\n" for r in ordered)
+    assert row["turns_sha256"] == hashlib.sha256(turns.encode()).hexdigest()

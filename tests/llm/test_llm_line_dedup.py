@@ -57,3 +57,9 @@ def test_no_python_in_the_plan(frame):
     docs = frame([(1, "a")], "doc_id long, text string")
     plan = line_dedup.drop_common_lines(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_columns_with_the_names_of_its_own(frame):
+    docs = frame([(i, f"same\n{i}", 1, "b", 2.0) for i in range(12)], "doc_id long, text string, _line_drop int, _line_doc string, _Line_Kept double")
+    rows = line_dedup.drop_common_lines(docs).collect()
+    assert sorted((r["text"], r["_line_drop"], r["_line_doc"], r["_Line_Kept"]) for r in rows) == sorted((str(i), 1, "b", 2.0) for i in range(12))

@@ -95,3 +95,9 @@ def test_rows_come_as_often_as_they_are_taken(frame):
 def test_no_words_at_all(frame):
     assert planned(frame, []) == []
     assert planned(frame, [(1, None, "a"), (2, " ", None)]) == [("1", 0, 0, 0.0, 0), ("2", 0, 0, 0.0, 0)]
+
+
+def test_columns_with_the_names_of_its_own(frame):
+    docs = frame([(i, f"a b {i}", "s", 70 + i, "x") for i in range(3)], "doc_id long, text string, source string, _mix_place int, _mix_id string")
+    rows = mixing.mix(docs).collect()
+    assert {(r["doc_id"], r["_mix_place"], r["_mix_id"]) for r in rows} == {(i, 70 + i, "x") for i in range(3)}

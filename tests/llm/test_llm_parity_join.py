@@ -134,3 +134,9 @@ def test_blank_rows_of_an_id_leave_its_worded_row(frame):
     kept = [tuple(r) for r in p.keep_one(frame(rows, "doc_id long, text string")).collect()]
     wanted = [(1, ""), (1, "some words of a text"), (1, None), (2, " "), (None, "x y z"), (None, "x y z")]
     assert sorted(kept, key=str) == sorted(wanted, key=str)
+
+
+def test_keeping_one_leaves_a_column_of_its_own_name(frame):
+    docs = frame([(1, "a b c", 5), (1, "a b c", 6), (2, "a b c", 7)], "doc_id long, text string, _same_id int")
+    rows = p.keep_one(docs).collect()
+    assert [(r["doc_id"], r["_same_id"] in (5, 6)) for r in rows] == [(1, True)]

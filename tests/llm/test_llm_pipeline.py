@@ -95,7 +95,7 @@ def test_empty_documents(spark, tmp_path):
 
 def test_registry():
     names = set(llm_queries())
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in names and set(llm_oracles()) <= names
 
 

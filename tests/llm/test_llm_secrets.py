@@ -94,3 +94,14 @@ def test_kinds_of_parts():
     assert s.guess_cost("x9Kq2LmZ7p")[0] > 12
     assert s.guess_cost("")[0] == 0
     assert s.guess_cost("a" * 100_000)[0] < 8
+
+
+def test_a_secret_that_many_rows_repeat_is_still_one(frame):
+    rows = [(i, "auth: xqzvkjwpmtr") for i in range(6)] + [(9, "auth: bnrtklwqzxv"), (10, "AUTH = 'xqzvkjwpmtr' and pin=management")]
+    rows += [(20 + i, "the management of it") for i in range(8)]
+    found = {r["doc_id"]: r["spans"] for r in s.scan(frame(rows, "doc_id long, text string")).collect()}
+    assert all(found[i] == "guess:6:17" for i in (0, 5, 9))
+    # a word that texts hold outside such values stays cheap
+    assert found[10] == "guess:8:19"
+    counts = {r["word"]: r["n"] for r in s.document_counts(frame(rows, "doc_id long, text string")).collect()}
+    assert counts["management"] == 8 and "xqzvkjwpmtr" not in counts and counts["auth"] == 8

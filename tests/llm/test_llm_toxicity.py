@@ -61,10 +61,14 @@ def test_kernel_is_the_sum_over_common_triples():
                 for c in range(b + 1, min(len(signs), a + t.SPAN)):
                     key = (signs[a], signs[b], signs[c])
                     out[key] = out.get(key, 0) + t.DECAY ** (c - a + 1)
-        return out, t.NORMS[len(signs)]
+        n = len(signs)
+        if n > t.LONG:
+            return out, sum(v * v for v in out.values()) ** 0.5
+        squares = [t.DECAY ** (2 * (c - a + 1)) for a in range(n) for b in range(a + 1, n) for c in range(b + 1, min(n, a + t.SPAN))]
+        return out, sum(squares) ** 0.5
 
     code = lambda w: bytes([t.START, *[ord(c) - 97 for c in w], t.END])
-    words, marks = ["idiot", "editor", "aaaa", "xyz", "idixot"], ["idiot", "moron"]
+    words, marks = ["idiot", "editor", "aaaa", "xyz", "idixot", "idiotmoron" * 60, "a"], ["idiot", "moron", "moron" * 70]
     got = t.Kernel([code(m) for m in marks]).dense(t.Words.of([code(w) for w in words]))
     for i, w in enumerate(words):
         for j, m in enumerate(marks):
@@ -105,3 +109,31 @@ def test_without_both_labels(frame):
     for marks, want in (([], 0.0), ([(1, 1), (2, 1), (6, 1)], 1.0)):
         machine = t.train(docs, frame(marks, "doc_id long, toxic int"))
         assert [round(r[0]) for r in docs.select(t.score_text(machine)).collect()] == [want, want]
+
+
+def test_a_long_word_is_not_like_its_own_beginning():
+    rng = random.Random(7)
+    word = bytes([t.START, *[rng.randrange(26) for _ in range(2000)], t.END])
+    part = word[:700] + bytes([t.END])
+    (near,) = t.Kernel([part]).dense(t.Words.of([word]))[0]
+    assert 0.1 < near < 0.6
+
+
+def test_an_id_with_many_rows_brings_one_text(frame):
+    docs = frame([(1, f"text {i}") for i in range(3000)] + [(2, None), (2, "b"), (4, "c"), (None, "d")], "doc_id long, text string")
+    labels = frame([(1, 1), (1, 0), (2, 0), (4, None)], "doc_id long, toxic int")
+    rows = t.training_rows(docs, labels, t.Options()).collect()
+    ids = [r["doc_id"] for r in rows]
+    assert sorted(ids) == sorted({i for i in (1, 2) if zlib.crc32(str(i).encode()) % 5})
+    assert all(r["toxic"] == (1 if r["doc_id"] == 1 else 0) for r in rows)
+    assert rows == t.training_rows(docs.repartition(7), labels, t.Options()).collect()
+
+
+def test_dropping_agrees_with_the_scores(machine, frame):
+    texts = ["you idiot moron. worthless scumbag", "an lomating suer", None, "", "you idiot moron. worthless scumbag"]
+    docs = frame([(i, x, "s") for i, x in enumerate(texts)], "doc_id long, text string, _toxic_score string")
+    left = t.drop_toxic(docs, machine)
+    assert left.columns == docs.columns
+    scored = docs.select("doc_id", t.score_text(machine).alias("p")).collect()
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted(r["doc_id"] for r in scored if r["p"] < 0.5)
+    assert 0 < left.count() < len(texts)
