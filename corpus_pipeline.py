@@ -29,8 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the machine, trained on the labelled rows not held out, scores below 0.5."""
     ship_package(spark)
     machine = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = docs.select("*", toxicity.score_text(machine).alias("_toxic_score"))
-    return scored.where(F.col("_toxic_score") < 0.5).select(*docs.columns)
+    return toxicity.drop_toxic(docs, machine)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
