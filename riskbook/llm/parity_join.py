@@ -17,9 +17,11 @@ similarity reaches a threshold; the components of all links are found exactly.
   difference rule a link out.
 * Groups that this leaves in several pieces have the pieces' members compared in blocks,
   inside a task; a block reports a spanning forest of the pairs that may link, never all pairs.
-* The reported pairs are verified on the n-grams themselves. Across the components they leave,
-  all pairs that sketches don't rule out are then listed and verified too. Every other pair is
-  ruled out by the bound or lies in one component already, so no link is lost.
+* The reported pairs are verified on the n-grams themselves. Groups whose sketches still leave a
+  link possible across the components found have the members of those components compared
+  once more, now with their sets beside them: wider sketches rule out nearly all pairs, the sets
+  decide the others inside the task, and again only a forest of true links is reported. Every
+  other pair is ruled out by the bound or lies in one component already, so no link is lost.
 
 Equal sets are one node from the start, so a large group of copies is one row. Common n-grams
 only rank last; that choice affects the work, never the result.
@@ -310,17 +312,19 @@ def plausible(pairs: DataFrame, nodes: DataFrame, link: Link) -> DataFrame:
     return both.mapInArrow(batches, "a long, b long")
 
 
-def block_pairs(members: DataFrame, nodes: DataFrame, link: Link, every: bool) -> DataFrame:
-    """Pairs (group, a, b) across the pieces of each group that sizes and sketches don't rule out.
+def block_pairs(members: DataFrame, content: DataFrame, link: Link, exact: bool = False) -> DataFrame:
+    """A spanning forest (group, a, b) over the pieces of each group, of pairs that may link.
 
-    ``members``: (group, node, n, piece). Without ``every`` a block reports a spanning
-    forest over the pieces. Groups above ``link.block`` members are cut into blocks by a hash
-    of the node, and every pair of blocks is compared by itself. A task streams over its
-    blocks in order, as many at a time as fit ``CHUNK_ROWS``. Sketches join last, so they
-    are shuffled once.
+    ``members``: (group, node, n, piece); ``content``: (node, bits) with their bit sketches, or if
+    ``exact`` (node, grams) with their sets, which leaves pairs that do link. Groups above
+    ``link.block`` members or ``BLOCK_GRAMS`` n-grams are cut into blocks by a hash of the node, and
+    every pair of blocks is compared by itself. A task streams over its blocks in order, as
+    many at a time as fit ``CHUNK_ROWS`` and ``CHUNK_BYTES``. The content joins last, so it is
+    shuffled once.
     """
-    sized = members.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("group")))
-    parts = F.ceil(F.col("size") / link.block).cast("int")
+    of_group = Window.partitionBy("group")
+    sized = members.withColumn("size", F.count(F.lit(1)).over(of_group)).withColumn("total", F.sum("n").over(of_group))
+    parts = F.ceil(F.greatest(F.col("size") / link.block, F.col("total") / BLOCK_GRAMS)).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(5)), parts).cast("int")
     other = F.explode(F.sequence(F.lit(0), parts - 1))
     keys = ["group", "low", "high"]
@@ -328,31 +332,34 @@ def block_pairs(members: DataFrame, nodes: DataFrame, link: Link, every: bool) -
         sized.withColumn("parts", parts).withColumn("own", own).withColumn("other", other)
         .withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
         .select(*keys, "own", "node", "piece", "n")
-        .join(nodes.select("node", "bits"), "node")
-        .select(*keys, "own", "node", "piece", "n", "bits")
+        .join(content.select("node", F.col("grams" if exact else "bits").alias("content")), "node")
+        .select(*keys, "own", "node", "piece", "n", "content")
         .repartition(*keys).sortWithinPartitions(*keys, "n", "node")
     )
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        rows = 0
+        rows = size = 0
         for got in source:
             held.append(got)
             rows += got.num_rows
-            if rows >= CHUNK_ROWS:
+            size += got.nbytes
+            if rows >= CHUNK_ROWS or size >= CHUNK_BYTES:
                 table = pa.Table.from_batches(held).combine_chunks()
                 whole = _last_start(table, keys)
                 if whole:
-                    yield _as_pairs(compare_blocks(table.slice(0, whole), link, every))
+                    yield _as_pairs(compare_blocks(table.slice(0, whole), link, exact))
                 held = table.slice(whole).combine_chunks().to_batches()
-                rows = table.num_rows - whole
+                rows, size = table.num_rows - whole, sum(b.nbytes for b in held)
         if rows:
-            yield _as_pairs(compare_blocks(pa.Table.from_batches(held).combine_chunks(), link, every))
+            yield _as_pairs(compare_blocks(pa.Table.from_batches(held).combine_chunks(), link, exact))
 
     return spread.mapInArrow(batches, "group long, a long, b long")
 
 
-CHUNK_ROWS = 8_192
+#: Rows and bytes of blocks that are read together, and n-grams of a block.
+CHUNK_ROWS, CHUNK_BYTES = 8_192, 1 << 25
+BLOCK_GRAMS = 1 << 20
 #: Pairs that are compared at once.
 CHUNK_PAIRS = 1 << 16
 
@@ -374,7 +381,14 @@ def _last_start(table: pa.Table, keys: list[str]) -> int:
     return int(_changes(table, keys)[-1])
 
 
-def compare_blocks(table: pa.Table, link: Link, every: bool) -> list[tuple[int, int, int]]:
+def wide_bits(grams: np.ndarray) -> np.ndarray:
+    """The bit sketch of one set at sixteen times its size or more; folds to its narrow one."""
+    size = 1 << int(np.ceil(np.log2(max(16 * len(grams), 64))))
+    odd = np.bincount((grams & _U(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def compare_blocks(table: pa.Table, link: Link, exact: bool) -> list[tuple[int, int, int]]:
     """(group, node, node) of whole blocks (see ``block_pairs``), sorted by block, size and node."""
     starts = _changes(table, ["group", "low", "high"])
     count = table.num_rows
@@ -390,7 +404,8 @@ def compare_blocks(table: pa.Table, link: Link, every: bool) -> list[tuple[int,
     wide = np.int64(1) << 40
     until = np.searchsorted(block * wide + n, block * wide + np.minimum(link.largest_partner(n), wide - 1), side="right")
     many = np.maximum(until - np.arange(count) - 1, 0)
-    raw = _words(table["bits"].combine_chunks())
+    raw = _words(table["content"].combine_chunks())
+    sets, raw = (raw, [wide_bits(x) for x in raw]) if exact else (None, raw)
     widths = np.array([len(b) for b in raw])
     folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -421,10 +436,12 @@ def compare_blocks(table: pa.Table, link: Link, every: bool) -> list[tuple[int,
                 bits = np.bitwise_count(sketches[place[i[part]]] ^ sketches[place[j[part]]]).sum(axis=1)
                 may[part] = bits <= link.most_difference(n[i[part]], n[j[part]])
         for x, y in zip(i[may].tolist(), j[may].tolist()):
-            if every or root[piece[x]] != root[piece[y]]:
-                found.append((int(group[x]), int(node[x]), int(node[y])))
-            if not every and root[piece[x]] != root[piece[y]]:
-                root[root == root[piece[y]]] = root[piece[x]]
+            if root[piece[x]] == root[piece[y]]:
+                continue
+            if exact and not link.linked(len(np.intersect1d(sets[x], sets[y], assume_unique=True)), len(sets[x]), len(sets[y])):
+                continue
+            found.append((int(group[x]), int(node[x]), int(node[y])))
+            root[root == root[piece[y]]] = root[piece[x]]
         low = high
     return found
 
@@ -522,7 +539,7 @@ def similar_components(docs: DataFrame, link: Link = Link()) -> DataFrame:
     # groups that their hubs don't hold together, in blocks
     stars = near.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("piece"))
     starred = in_pieces(grouped.select("token", "node", "n"), stars)
-    found = work.save(block_pairs(open_groups(starred), nodes, link, every=False), "found")
+    found = work.save(block_pairs(open_groups(starred), nodes, link), "found")
     pairs = work.save(near.unionByName(found.select("a", "b")).distinct(), "pairs")
 
     # verify what holds the groups together
@@ -532,16 +549,17 @@ def similar_components(docs: DataFrame, link: Link = Link()) -> DataFrame:
     labels = connected_components(checked.where("linked").select("a", "b"), work, "links")
     labels = labels.withColumnRenamed("component", "piece")
 
-    # Pairs across the pieces that may still link are all verified. They can only be in groups
-    # that reported a pair before, or whose members a hub held together and no longer does.
+    # Groups that may still hold a link: they reported a pair before, or a hub held their members
+    # together and no longer does. Of those, the pieces that sketches still join are compared by their sets.
     named = labels.select("node", F.col("piece").alias("true_piece"))
     real = work.save(starred.join(named, "node", "left").withColumn("true_piece", F.coalesce("true_piece", "node")), "real")
     broken = real.groupBy("token", "piece").agg(F.min("true_piece").alias("least"), F.max("true_piece").alias("most"))
     again = broken.where("least < most").select("token").unionByName(found.select(F.col("group").alias("token"))).distinct()
     real = real.join(again, "token").select("token", "node", "n", F.col("true_piece").alias("piece"))
-    left = block_pairs(open_groups(real), nodes, link, every=True).select("a", "b").distinct()
-    known = checked.select("a", "b").unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    late = verified(left.join(known, ["a", "b"], "left_anti"), sets, link).where("linked").select("a", "b")
+    opened = work.save(open_groups(real), "opened")
+    maybe = block_pairs(opened, nodes, link).select("group", F.explode(F.array("a", "b")).alias("node")).distinct()
+    joined = work.save(maybe.join(opened, ["group", "node"]).select("group", "piece").distinct(), "joined")
+    late = block_pairs(opened.join(joined, ["group", "piece"]), sets, link, exact=True).select("a", "b").distinct()
 
     # rows that share an id hold their nodes together
     shared = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
@@ -583,3 +601,40 @@ def keep_one(docs: DataFrame, link: Link = Link()) -> DataFrame:
     number = free_name(docs, "_same_id")
     worded = left.where(~passes).withColumn(number, again).where(F.col(number) == 1).drop(number)
     return left.where(passes).unionByName(worded)
+
+
+#: Set sizes and components of ``documents`` for DuckDB. Copies are one class, as in the operator; classes
+#: that share an n-gram are compared by counts of shared n-grams.
+SQL = r"""
+with recursive texts as (
+  select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+), sets as (
+  select doc_id, case
+    when len(w) = 0 then []
+    when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) end as grams
+  from texts
+), classes as (
+  select min(doc_id) as class, len(grams) as n, grams, list(doc_id) as ids from sets where len(grams) > 0 group by grams
+), entries as (
+  select class, n, unnest(grams) as gram from classes
+), links as (
+  select a.class as a, b.class as b from entries a join entries b on a.gram = b.gram and a.class < b.class
+  where 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+  group by a.class, b.class, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), sides as (
+  select a, b from links union all select b, a from links
+), reach as (
+  select class, class as other from classes
+  union
+  select r.class, l.b from reach r join sides l on l.a = r.other
+), named as (
+  select class, min(other) as component_id from reach group by class
+), members as (
+  select unnest(c.ids) as doc_id, component_id from classes c join named using (class)
+)
+select s.doc_id, len(s.grams) as n_shingles, coalesce(m.component_id, s.doc_id) as component_id
+from sets s left join members m using (doc_id)
+"""

@@ -126,6 +126,7 @@ def llm_oracles() -> dict[str, str]:
     found = {
         "op1_chat": chat.SQL,
         "op3_neighbours": ann.SQL,
+        "op5_ngram_join": parity_join.SQL,
         "op6_mix": mixing.SQL,
         "op10_lines": line_dedup.SQL,
         "op11_shards": sharding.SQL,

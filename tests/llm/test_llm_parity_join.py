@@ -140,3 +140,38 @@ def test_keeping_one_leaves_a_column_of_its_own_name(frame):
     docs = frame([(1, "a b c", 5), (1, "a b c", 6), (2, "a b c", 7)], "doc_id long, text string, _same_id int")
     rows = p.keep_one(docs).collect()
     assert [(r["doc_id"], r["_same_id"] in (5, 6)) for r in rows] == [(1, True)]
+
+
+def families(size, own):
+    """Two families of near copies; across them the similarity is just below 0.75 with 67 own words, above with fewer."""
+    core = [f"c{i}" for i in range(400)]
+    return [" ".join([*core, *[f"{name}{i}" for i in range(own)], f"{name}end{k}"]) for name in "ab" for k in range(size)]
+
+
+@pytest.mark.parametrize("own, components", [(67, 2), (60, 1)])
+def test_families_below_the_threshold_report_no_list_of_pairs(spark, frame, own, components):
+    rows = list(enumerate(families(700, own)))
+    link = p.Link()
+    (gram_sets,) = [[grams(t) for _, t in (rows[0], rows[700])]]
+    assert (100 * len(gram_sets[0] & gram_sets[1]) >= 75 * len(gram_sets[0] | gram_sets[1])) == (components == 1)
+    docs = frame(rows, "doc_id long, text string")
+    nodes = p.describe(docs, link).where("gram is null").select("doc_id", "node", "n", "bits")
+    members = nodes.selectExpr("1L as group", "node", "n", "case when doc_id < 700 then 0L else 1L end as piece")
+    sets = p.sets_of(docs, nodes, link)
+    assert p.block_pairs(members, nodes, link).count() <= 3  # at most one for each pair of blocks
+    assert 0 <= p.block_pairs(members, sets, link, exact=True).count() <= 3 * (components == 1)
+    found = {r["doc_id"]: r["component_id"] for r in p.similar_components(docs, link).collect()}
+    assert set(found.values()) == ({0, 700} if components == 2 else {0})
+
+
+def test_blocks_are_cut_by_their_n_grams_too(frame, monkeypatch):
+    monkeypatch.setattr(p, "BLOCK_GRAMS", 3_000)
+    monkeypatch.setattr(p, "CHUNK_BYTES", 10_000)
+    rows = corpus(9)
+    assert joined(frame, rows) == brute(rows)
+
+
+def test_the_wide_sketch_folds_to_the_narrow_one():
+    g = grams_of([" ".join(f"w{i}" for i in range(300))], p.Link())
+    narrow = np.frombuffer(g.bits()[0], np.uint64)
+    assert (p.fold(p.wide_bits(g.hashes), len(narrow)) == narrow).all()
