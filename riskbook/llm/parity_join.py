@@ -488,16 +488,21 @@ def in_pieces(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels, "node", "left").withColumn("piece", F.coalesce("piece", "node"))
 
 
-def open_groups(placed: DataFrame) -> DataFrame:
+def open_groups(placed: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """The members of groups of three or more in several pieces; of groups with the same members, one.
 
-    (A group of two is settled by its only pair.)
+    A group of two is settled by its only pair: it is left out, or with ``known`` pairs (a, b)
+    only if its pair is one of them.
     """
     print_of = F.bit_xor(F.xxhash64("node", F.lit(3)))
     groups = placed.groupBy("token").agg(
-        F.min("piece").alias("least"), F.max("piece").alias("most"), F.count(F.lit(1)).alias("count"), print_of.alias("print")
+        F.min("piece").alias("least"), F.max("piece").alias("most"), F.count(F.lit(1)).alias("count"), print_of.alias("print"),
+        F.min("node").alias("low"), F.max("node").alias("high"),
     )
-    groups = groups.where((F.col("count") >= 3) & (F.col("least") < F.col("most")))
+    groups = groups.where((F.col("count") >= (3 if known is None else 2)) & (F.col("least") < F.col("most")))
+    if known is not None:
+        settled = known.select(F.lit(2).cast("long").alias("count"), F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
+        groups = groups.join(settled.distinct(), ["count", "low", "high"], "left_anti")
     chosen = groups.groupBy("print", "count").agg(F.min("token").alias("token")).select("token")
     return placed.join(chosen, "token").select(F.col("token").alias("group"), "node", "n", "piece")
 
@@ -559,7 +564,11 @@ def similar_components(docs: DataFrame, link: Link = Link()) -> DataFrame:
     opened = work.save(open_groups(real), "opened")
     maybe = block_pairs(opened, nodes, link).select("group", F.explode(F.array("a", "b")).alias("node")).distinct()
     joined = work.save(maybe.join(opened, ["group", "node"]).select("group", "piece").distinct(), "joined")
-    late = block_pairs(opened.join(joined, ["group", "piece"]), sets, link, exact=True).select("a", "b").distinct()
+    # groups that are left with the same pieces become one, so a set is sent once for them
+    same = joined.groupBy("group").agg(F.bit_xor(F.xxhash64("piece", F.lit(4))).alias("token"))
+    left = opened.join(joined.join(same, "group"), ["group", "piece"]).select("token", "node", "n", "piece").distinct()
+    left = open_groups(left, checked)
+    late = block_pairs(left, sets, link, exact=True).select("a", "b").distinct()
 
     # rows that share an id hold their nodes together
     shared = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
