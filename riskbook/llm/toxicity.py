@@ -20,6 +20,8 @@ if there is none); null labels are left out; repeated rows are scored each.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -463,7 +465,21 @@ def fit(texts: list[str], toxic: list[int], options: Options = Options()) -> Mac
 def train(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> Machine:
     """Fit on the bounded labelled sample; that sample alone comes to the driver."""
     rows = training_rows(docs, labels, options).orderBy("doc_id", "text").collect()
-    return fit([r["text"] or "" for r in rows], [r["toxic"] for r in rows], options)
+    texts, toxic = [r["text"] or "" for r in rows], [r["toxic"] for r in rows]
+    del rows
+    machine = fit(texts, toxic, options)
+    del texts
+    _hand_back()
+    return machine
+
+
+def _hand_back() -> None:
+    """Give memory that the fit has freed back to the system, where the C library can (the driver lives on)."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def score_text(machine: Machine, text: str = "text"):
