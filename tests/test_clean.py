@@ -83,3 +83,20 @@ def test_many_columns_in_batches(frame):
     df = frame([tuple(range(130)), tuple(range(1, 131))], ", ".join(f"{n} int" for n in names))
     means = {r["column"]: r["mean"] for r in clean.column_means(df, names).collect()}
     assert means == {n: i + 0.5 for i, n in enumerate(names)}
+
+
+def test_screening_values_taken_once_say_what_the_statistics_say(frame):
+    nan = float("nan")
+    df = clean.nan_to_null(frame(
+        [(1, "a", "x", None, 2.0, 5, nan, True), (2, "a", None, None, 2.0, None, nan, True),
+         (3, "a", None, None, 2.0, 5, 1.0, True)],
+        "id int, same string, gaps string, empty string, level double, holes int, some double, flag boolean",
+    ))
+    for rows in (df, df.filter("id = 1"), df.filter("id < 0")):
+        metrics = clean.screen_metrics(rows, rows.columns)
+        assert len(metrics) <= 3 * len(rows.columns) + 1
+        seen = rows.selectExpr(*[f"{sql} as {label}" for label, sql in metrics.items()]).first().asDict()
+        shares, constant = clean.screened(rows, rows.columns, seen)
+        known = {r["column"]: r for r in clean.column_screen(rows).collect()}
+        assert shares == {c: r["null_share"] for c, r in known.items()}
+        assert constant == [c for c in rows.columns if known[c]["is_constant"]]
