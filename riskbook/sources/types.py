@@ -58,7 +58,9 @@ def filled_text(name: str) -> Column:
 
 def typed(name: str, kind: str) -> Column:
     """A text column in one of the types above, text excepted."""
-    value = filled_text(name)
     if kind == "logical":
+        value = filled_text(name)
         return F.when(value.isin(*TRUE_TEXTS), True).when(value.isin(*FALSE_TEXTS), False)
+    # blank text and NA read as no number, and a cast passes over spaces, so numbers need no filled text
+    value = F.col(quoted(name))
     return value.try_cast("bigint") if kind == "integer" else number_from_text(value)

@@ -1,8 +1,14 @@
 import os
+import sys
+
 import pytest
 from pyspark.sql import types as T
 
-from riskbook.sources import checkpoint_folder, read_loans, run_folder, stage, write_scored
+import riskbook.sources.loan_view  # noqa: F401  (the package's own loan_view is the function)
+from riskbook.sources import checkpoint_folder, read_loans, run_folder, stage, staging, write_scored
+from riskbook.sources.types import typed
+
+view = sys.modules["riskbook.sources.loan_view"]
 
 CSV = '''id,loan_status,int_rate,dti,desc,extra,note,empty
 1,Fully Paid, 13.5%,10.5,"said ""yes"", twice",1,a,
@@ -65,3 +71,36 @@ def test_nothing_is_left_of_a_run(spark, frame):
         staged = stage(frame([(1,)], "k int"), "t")
         assert staged.count() == 1 and all(folder in f for f in staged.inputFiles())
     assert not os.path.exists(folder)
+
+
+def test_wide_tables_are_staged_with_split_methods(spark, frame):
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(limit)
+    wide = frame([tuple(range(30))], ", ".join(f"c{i} int" for i in range(30)))
+    with staging.split_methods(wide):
+        assert int(spark.conf.get(limit)) <= 8000
+    assert spark.conf.get(limit) == before
+    with staging.split_methods(wide.select("c0")):
+        assert spark.conf.get(limit) == before
+
+
+def test_more_tasks_make_the_view_of_larger_files(spark, sf_dir, monkeypatch):
+    few = view.view_tasks(spark, sf_dir)
+    assert few == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = view.loan_view(spark, sf_dir).select("id", "revol_bal").collect()
+    monkeypatch.setattr(view, "TASK_BYTES", 1 << 12)
+    assert view.view_tasks(spark, sf_dir) > 2 * few
+    staged = stage(view.loan_view(spark, sf_dir).select("id", "revol_bal"), "view")
+    assert len(staged.inputFiles()) > 2 * few
+    assert sorted((r["id"], round(r["revol_bal"] or 0.0, 4)) for r in staged.collect()) == sorted(
+        (r["id"], round(r["revol_bal"] or 0.0, 4)) for r in rows)
+
+
+def test_numbers_are_cast_without_a_trimmed_copy(frame):
+    texts = [" 7 ", "NA", " NA ", "", "  ", "1.5d", "2f ", "1.d", "-3.25", "1e3", "x", "NaN", None, "Infinity"]
+    df = frame([(t,) for t in texts], "a string")
+    got = [r[0] for r in df.select(typed("a", "double")).collect()]
+    assert got == [7.0, None, None, None, None, None, None, None, -3.25, 1000.0, None, None, None, float("inf")]
+    got = [r[0] for r in df.select(typed("a", "integer")).collect()]
+    assert got[:5] == [7, None, None, None, None] and got[10:12] == [None, None]
+    assert not any("trim" in str(typed("a", kind)) for kind in ("double", "integer"))
