@@ -14,18 +14,19 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from fractions import Fraction
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskbook.functions.text import double_literal, quoted
-from riskbook.operators.batched import column_aggregates
+from riskbook.operators.batched import MAX_BUFFERS, column_aggregates
 from riskbook.schema import columns_of_type
 
 # Values of one bracket that are ranked together, by one task.
 MAX_VALUES = 200_000
-# Brackets counted in one pass, with four counts each.
-MAX_COUNTED = 24
+# Brackets counted by one aggregate, with four counts each.
+MAX_COUNTED = MAX_BUFFERS // 4
 # Brackets ranked in one pass.
 MAX_BRACKETS = 40
 SKETCH_ERROR = 1e-4
@@ -71,40 +72,38 @@ def _narrow(df: DataFrame, targets: list[_Target], error: float) -> tuple[list[_
         for p, v in zip(probabilities, values)
     }
 
-    open_targets, found = [], {}
-    batch = MAX_COUNTED
-    for start in range(0, len(targets), batch):
-        part = targets[start : start + batch]
-        brackets = [
-            [at[(t.column, t.low, t.high), p] for p in _bracket_shares(t, error)] for t in part
-        ]
-        narrowed, done = _count_brackets(df, part, brackets)
-        open_targets += narrowed
-        found |= done
-    return open_targets, found
+    brackets = [tuple(at[(t.column, t.low, t.high), p] for p in _bracket_shares(t, error)) for t in targets]
+    return _count_brackets(df, targets, brackets)
 
 
 def _count_brackets(
-    df: DataFrame, targets: list[_Target], brackets: list[list[float]]
+    df: DataFrame, targets: list[_Target], brackets: list[tuple[float, float]]
 ) -> tuple[list[_Target], dict]:
-    counts = []
-    for i, (t, bracket) in enumerate(zip(targets, brackets)):
-        v = f"({t.inside()})"
-        lo, hi = map(double_literal, bracket)
-        counts += [
-            f"count_if({v} < {lo}) as below_{i}",
-            f"count_if({v} = {lo}) as lo_{i}",
-            f"count_if({v} > {lo} and {v} < {hi}) as between_{i}",
-            f"count_if({v} = {hi} and {v} > {lo}) as hi_{i}",
-        ]
-    row = df.selectExpr(*counts).first()
+    # Neighbouring ranks mostly share a bracket, which is counted once. Each batch is one
+    # aggregate of few fields over few columns, and all of them are one job.
+    spots = [(t.column, t.low, t.high, *bracket) for t, bracket in zip(targets, brackets)]
+    distinct = {spot: t for spot, t in zip(spots, targets)}
+    listed = list(distinct)
+    parts = []
+    for start in range(0, len(listed), MAX_COUNTED):
+        counts, rows = [], []
+        for i, spot in enumerate(listed[start : start + MAX_COUNTED], start):
+            v = f"({distinct[spot].inside()})"
+            lo, hi = map(double_literal, spot[-2:])
+            counts += [
+                f"count_if({v} < {lo}) as below_{i}",
+                f"count_if({v} = {lo}) as lo_{i}",
+                f"count_if({v} > {lo} and {v} < {hi}) as between_{i}",
+                f"count_if({v} = {hi} and {v} > {lo}) as hi_{i}",
+            ]
+            rows.append(f"struct({i} as i, below_{i} as below, lo_{i} as lo, between_{i} as between, hi_{i} as hi)")
+        parts.append(df.selectExpr(*counts).selectExpr(f"inline(array({', '.join(rows)}))"))
+    counted = {listed[r["i"]]: r for r in reduce(DataFrame.unionAll, parts).collect()}
 
     open_targets, found = [], {}
-    for i, (t, (lo, hi)) in enumerate(zip(targets, brackets)):
+    for t, spot, (lo, hi) in zip(targets, spots, brackets):
         rank = t.rank
-        below, at_lo, between, at_hi = (
-            row[f"{part}_{i}"] for part in ("below", "lo", "between", "hi")
-        )
+        below, at_lo, between, at_hi = (counted[spot][part] for part in ("below", "lo", "between", "hi"))
         if rank < below:
             open_targets.append(replace(t, high=lo, size=below))
         elif rank < below + at_lo:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskbook.functions.text import quoted, text_literal
+from riskbook.operators.batched import MAX_BUFFERS
 from riskbook.operators.missing import nan_to_null
 from riskbook.schema import kind_of
 
@@ -131,9 +132,11 @@ def ranks_of(df: DataFrame, values: dict[str, Sequence[float]]) -> DataFrame:
     df = nan_to_null(df)
     parts = []
     names = list(values)
-    for i in range(0, len(names), BATCH):
+    # a column takes a count, and two more for each value
+    size = max(1, MAX_BUFFERS // (1 + 2 * max(map(len, values.values()), default=0)))
+    for i in range(0, len(names), size):
         counts, rows = [], []
-        for j, c in enumerate(names[i : i + BATCH]):
+        for j, c in enumerate(names[i : i + size]):
             v = F.col(quoted(c)).cast("double")
             counts.append(F.count(v).alias(f"n_{j}"))
             for p, at in enumerate(values[c]):

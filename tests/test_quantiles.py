@@ -3,6 +3,8 @@ import random
 import numpy as np
 import pytest
 
+from riskbook.operators import quantiles
+from riskbook.operators.batched import MAX_BUFFERS
 from riskbook.operators.quantiles import discrete_quantiles, interpolated_quantiles
 
 SHARES = ["0", "0.1", "0.25", "0.5", "0.75", "0.9", "1"]
@@ -64,3 +66,12 @@ def test_infinite_ends(frame, limits):
     inf = float("inf")
     df = frame([(1.0,), (2.0,), (inf,), (inf,)], "a double")
     assert interpolated_quantiles(df, ["a"], ["0", "0.9", "1"], **limits) == {"a": [1.0, inf, inf]}
+
+
+def test_brackets_are_counted_by_aggregates_of_few_fields(table):
+    assert quantiles.MAX_COUNTED * 4 <= MAX_BUFFERS
+    data, df = table
+    at = [quantiles._Target("smooth", i, r, 3000) for i, r in enumerate((10, 11, 1500))]
+    opened, found = quantiles._count_brackets(df, at, [(-9.0, 0.0), (-9.0, 0.0), (-9.0, 0.0)])
+    below = sum(v < 0 for v in data["smooth"])
+    assert not found and [t.size for t in opened[:2]] == [below, below] and opened[2].rank in (1500, 1500 - below)

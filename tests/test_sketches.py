@@ -57,3 +57,12 @@ def test_merging_by_slice_and_empty_table(df):
     rows = sketches.sketched_summary(nothing).collect()
     assert {(r["column"], r["median"], r["n_distinct"]) for r in rows} == {("x", None, 0), ("t", None, 0)}
     assert sketches.sketched_quantiles(nothing, [0.5]).count() == 0
+
+
+def test_ranks_are_counted_by_aggregates_of_few_fields(frame):
+    names = [f"c{i}" for i in range(5)]
+    df = frame([tuple(float(i + j) for j in range(5)) for i in range(10)], ", ".join(f"{c} double" for c in names))
+    ranks = sketches.ranks_of(df, {c: [2.0, 3.0, 4.0, 5.0, 6.0] for c in names})
+    assert ranks._jdf.queryExecution().logical().toString().count("Aggregate") == 3  # two columns each
+    got = {(r["column"], r["position"]): (r["below"], r["upto"]) for r in ranks.collect()}
+    assert got["c0", 0] == (0.2, 0.3) and got["c4", 4] == (0.2, 0.3) and len(got) == 25
