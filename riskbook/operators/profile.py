@@ -203,8 +203,9 @@ def class_means(
 ) -> DataFrame:
     """(column, mean_paid, mean_default) among the exactly so labelled rows.
 
-    One grouped pass for both classes, with a sum and a count per column. A
-    strict mean is void if its class has a missing value in the column;
+    One grouped pass for both classes, with sums and a count per column. Whole
+    and broken parts are summed apart, so that the order of the rows does not
+    show in a mean that ends in a 5. A strict mean is void if its class has a missing value in the column;
     ``strict_nulls`` may also name the strict columns.
     """
     columns = list(columns)
@@ -214,12 +215,16 @@ def class_means(
 
     def mean_of(name: str) -> str:
         c = quoted(name)
-        mean = f"try_divide(sum(double({c})), count({c}))"
+        whole = f"rint(double({c}))"
+        broken = f"case when abs(double({c})) < {2**53}D then double({c}) - {whole} else 0D end"
+        # 0D of a missing value does not count, since the sum of whole parts is NULL without values
+        mean = f"try_divide(sum({whole}) + sum({broken}), count({c}))"
         return f"case when count({c}) = count(*) then {mean} end" if name in strict else mean
 
     parts = []
-    for i in range(0, len(columns), MAX_BUFFERS // 2):
-        part = columns[i : i + MAX_BUFFERS // 2]
+    size = MAX_BUFFERS // 3
+    for i in range(0, len(columns), size):
+        part = columns[i : i + size]
         by_class = of_class.groupBy(F.col(label).alias("class")).agg(
             *[F.expr(mean_of(c)).alias(f"m{j}") for j, c in enumerate(part)]
         )

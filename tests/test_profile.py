@@ -99,3 +99,15 @@ def test_decimals_stay_apart_and_nan_is_missing(frame):
     assert {r["column"]: r["n_distinct"] for r in profile.distinct_counts(df).collect()} == {"d": 3, "x": 3}
     row = profile.summarize_columns(df, ["x"]).first()
     assert (row["min"], row["mean"], row["max"], row["q3"], row["n_null"]) == (1.0, 3.0, 5.0, 4.0, 1)
+
+
+def test_class_means_do_not_show_the_order_of_rows(frame):
+    values = [1e9 + 0.1, 0.1, 0.2, 0.3] * 25
+    found = set()
+    for rows in (values, sorted(values), sorted(values, reverse=True)):
+        df = frame([("Default", v) for v in rows] + [("Fully Paid", float("inf")), ("Fully Paid", None)],
+                   "loan_status string, v double").coalesce(1)
+        [row] = profile.class_means(df, ["v"]).collect()
+        found.add(row["mean_default"])
+        assert row["mean_paid"] == float("inf")
+    assert len(found) == 1
