@@ -474,7 +474,7 @@ def train(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> M
 
 
 def _hand_back() -> None:
-    """Give memory that the fit has freed back to the system, where the C library can (the driver lives on)."""
+    """Give freed memory back to the system, where the C library can (driver and workers live on)."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -507,7 +507,10 @@ def drop_toxic(docs: DataFrame, machine: Machine, text: str = "text", limit: flo
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = Kernel(machine.landmarks)
+        batch = None
         for batch in source:
             yield batch.filter(pa.array(_scores(machine, kernel, batch.column(at)) < limit))
+        del kernel, batch
+        _hand_back()  # Spark keeps the process for later stages
 
     return docs.mapInArrow(batches, docs.schema)
